@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, rules, warc
+from . import chat, mixing, rules, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(chat.probe(spark))))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -34,7 +39,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_topk": op7_topk,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
 }
-ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op8_warc": warc.SQL, "op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op7_topk": topk.SQL, "op8_warc": warc.SQL, "op9_mixing": mixing.SQL}
