@@ -17,6 +17,7 @@ other columns are ignored; an empty table writes no records.
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import uuid
@@ -49,10 +50,16 @@ def _clean(value: str) -> str:
     return _BREAKS.sub(" ", value)
 
 
-def record(row: dict, date: str) -> bytes:
-    """A whole record. A response's block is an HTTP message with the payload as body; a revisit's has no body."""
-    payload = row["payload"] if row["type"] == "response" else b""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % row["payload_length"]
+def record(row: dict, date: str, packed: bool = True) -> bytes:
+    """A whole record. A response's block is an HTTP message with the payload as body; a revisit's has no body.
+
+    A packed body is under the transfer coding gzip, which leaves the payload and its digest what they are and the
+    record's header readable, so that a reader can still seek past what it doesn't want.
+    """
+    payload, coding = row["payload"] if row["type"] == "response" else b"", b"Content-Length: %d" % row["payload_length"]
+    if packed and len(payload) >= 256:
+        payload, coding = gzip.compress(payload, 6, mtime=0), b"Transfer-Encoding: gzip"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n%s\r\n\r\n" % coding
     head = ["WARC/1.1", f"WARC-Type: {row['type']}", f"WARC-Record-ID: <{_clean(row['record_id'])}>", f"WARC-Date: {date}"]
     if row["target_uri"] is not None:
         head.append(f"WARC-Target-URI: {_clean(row['target_uri'])}")
@@ -72,6 +79,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = options["path"].rstrip("/")
         self.file_bytes = int(options.get("file_bytes", 64 << 20))
         self.date = options.get("date", "2000-01-01T00:00:00Z")
+        self.packed = str(options.get("packed", "true")).lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.path)
@@ -83,7 +91,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None:
                         files.append(f"part-{uuid.uuid4().hex}.warc")
                         out = store.open_output_stream(f"{root}/{files[-1]}")
-                    out.write(record({c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}, self.date))
+                    out.write(record({c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}, self.date, self.packed))
                     if out.tell() >= self.file_bytes:
                         out.close()
                         out = None
@@ -148,8 +156,11 @@ def value_of(head: dict[str, str], column: str) -> str | int | None:
 
 
 def body(block: bytes, content_type: str | None) -> bytes:
-    """The payload of a block: the body of an HTTP message, or all of it."""
-    return block.partition(b"\r\n\r\n")[2] if (content_type or "").startswith("application/http") else block
+    """The payload of a block: the body of an HTTP message without its transfer coding, or all of it."""
+    if not (content_type or "").startswith("application/http"):
+        return block
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return gzip.decompress(payload) if re.search(rb"\r\nTransfer-Encoding:\s*gzip\s*(\r\n|$)", head, re.I) else payload
 
 
 class WarcReader(DataSourceReader):
@@ -245,7 +256,7 @@ class _Raw:
 
 
 class WarcSource(DataSource):
-    """format("warc"): options path, payload (true), partition_bytes; for writing also file_bytes and date."""
+    """format("warc"): options path, payload (true), partition_bytes; for writing also file_bytes, date and packed (true)."""
 
     @classmethod
     def name(cls) -> str:
