@@ -5,6 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from redactory.functions.detectors import DETECTORS, PRESETS, preset
+from redactory.operators import native
+from redactory.operators.redact import Redactor, detectors_frame
+
+#: Rules of all presets that need no plugged-in model.
+ALL = tuple(d for d in DETECTORS if d != "person_name")
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@query("detection_counts")
+def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of every rule over all documents, by rule."""
+    found = Redactor({"rules": dict.fromkeys(ALL, "redact")}).detections(table(spark, sf_dir, "documents"), "doc_id")
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def _native(rules: tuple[str, ...]) -> Query:
+    return lambda spark, sf_dir: native.detect_all(table(spark, sf_dir, "documents"), rules, "doc_id")
+
+
+# Every rule that expressions carry, in batches of a scan each.
+for _k in range(0, len(native.RULES), 24):
+    _rules = native.RULES[_k : _k + 24]
+    query(f"detect_native_{_k // 24 + 1}", native.sql_detect_all(_rules, "documents", "doc_id"))(_native(_rules))
