@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions.detectors import DETECTORS, PRESETS, preset
-from redactory.operators import native
-from redactory.operators.redact import Redactor, detectors_frame
+from redactory.operators import evaluate, native, semantic, session, structured, vault
+from redactory.operators.redact import Redactor, detectors_frame, restored
+from redactory.plans.policy import Policy, Semantic
+from redactory.streaming import redact as streams
 
 #: Rules of all presets that need no plugged-in model.
 ALL = tuple(d for d in DETECTORS if d != "person_name")
@@ -49,3 +51,153 @@ def _native(rules: tuple[str, ...]) -> Query:
 for _k in range(0, len(native.RULES), 24):
     _rules = native.RULES[_k : _k + 24]
     query(f"detect_native_{_k // 24 + 1}", native.sql_detect_all(_rules, "documents", "doc_id"))(_native(_rules))
+
+
+#: Rules that the queries below use together: all in expressions, with hits in prose.
+SMALL = ("aws_access_key", "github_token", "imei", "ipv4", "payment_card", "postal_code", "us_ssn")
+_FOUND = native.sql_detect_all(SMALL, "documents", "doc_id")
+
+
+@query("inspect_arrow", native.sql_detect_all(native.RULES, "documents", "doc_id"))
+def inspect_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arrow backend on every rule that SQL can express, by way of inspect()."""
+    found = Redactor({"rules": dict.fromkeys(native.RULES, "redact")}).inspect(F.col("text"))
+    groups = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("g"))
+    return groups.select("doc_id", F.explode("g.matches").alias("m")).select("doc_id", "m.rule_id", "m.start", "m.end", "m.value")
+
+
+@query("overlap_groups", f"SELECT doc_id, rule_id, group_start, group_end, value FROM ({native.sql_groups(_FOUND, 'doc_id')})")
+def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = native.detect_all(table(spark, sf_dir, "documents"), SMALL, "doc_id")
+    return native.groups(found, "doc_id").select("doc_id", "rule_id", "group_start", "group_end", "value")
+
+
+@query("redact_native", native.sql_redact(_FOUND, "documents", "doc_id"))
+def redact_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return native.redact(docs, native.detect_all(docs, SMALL, "doc_id"), "doc_id")
+
+
+@query("redact_arrow", native.sql_redact(_FOUND, "documents", "doc_id"))
+def redact_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = Redactor({"rules": dict.fromkeys(SMALL, "redact")})
+    return table(spark, sf_dir, "documents").select("doc_id", small.redact(F.col("text")).alias("redacted"))
+
+
+_ALLOW = "SELECT DISTINCT value FROM found WHERE rule_id = 'postal_code' AND value LIKE '%0'"
+
+
+@query("allowlist", f"WITH found AS ({_FOUND}) SELECT * FROM found WHERE value NOT IN ({_ALLOW})")
+def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = native.detect_all(table(spark, sf_dir, "documents"), SMALL, "doc_id")
+    return native.without_allowed(found, found.where("rule_id = 'postal_code' and value like '%0'").select("value").distinct())
+
+
+_HELD = """(SELECT doc_id, '[CARD] ' || coalesce(text, '') || ' [A_B] 12345' AS text FROM documents)"""
+
+
+@query("placeholder_filter", native.sql_detect("postal_code", _HELD, "doc_id"))
+def placeholder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders in texts are left alone: they hold no detection and hide none beside them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[CARD] "), F.coalesce("text", F.lit("")), F.lit(" [A_B] 12345")).alias("text"))
+    return native.without_placeholders(native.detect(docs, "postal_code", "doc_id"), docs, "doc_id")
+
+
+_ACTIONS = {
+    "format-preserve": ({"action": "format-preserve"}, "translate(value, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'XXXXXXXXXX' || repeat('*', 52))"),
+    "mask": ({"action": "mask", "first": 1, "last": 2}, "value[1] || repeat('*', length(value)::INT - 3) || value[length(value) - 1 : length(value)]"),
+    "token-replace": ({"action": "token-replace"}, f"'{DETECTORS['postal_code'].token}'"),
+    "custom-token": ({"action": "token-replace", "tokens": {"postal_code": "ZIP"}}, "'ZIP'"),
+    "remove": ({"action": "remove"}, "''"),
+    "redact": ({"action": "redact", "replacement": "<zip>"}, "'<zip>'"),
+}
+_ONE = native.sql_detect("postal_code", "documents", "doc_id")
+
+
+@query("actions", "\nUNION ALL\n".join(f"SELECT doc_id, '{a}' AS action, \"start\", {sql} AS replacement FROM ({_ONE})" for a, (_, sql) in _ACTIONS.items()))
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), None
+    for name, (given, _) in _ACTIONS.items():
+        groups = Redactor({"rules": {"postal_code": given}}).inspect(F.col("text"))
+        rows = docs.select("doc_id", F.lit(name).alias("action"), F.explode(groups).alias("g")).select("doc_id", "action", "g.start", "g.replacement")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("restore_round_trip", "SELECT doc_id, text AS restored FROM documents")
+def restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Redactor({"presets": ("pii", "security"), "restore": True}).redact(F.col("text"))
+    done = table(spark, sf_dir, "documents").select("doc_id", r.alias("r"))
+    return done.select("doc_id", restored(F.col("r.text"), F.col("r.map")).alias("restored"))
+
+
+@query("session_round_trip", "SELECT conv_id, turn, role, text AS restored FROM conversations")
+def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = session.redact_turns(table(spark, sf_dir, "conversations"), Redactor({"presets": ("pii",)}))
+    return done.select("conv_id", "turn", "role", restored(F.col("redacted"), F.col("map")).alias("restored"))
+
+
+@query("stream_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS stream_id, text FROM documents WHERE text IS NOT NULL")
+def stream_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut in chunks, redacted as streams with restoration, put together and restored."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    pieces = F.transform(F.sequence(F.lit(0), (F.length("text") / 1000).cast("int")), lambda k: F.struct(k.alias("seq"), F.substr(F.col("text"), k * 1000 + 1, F.lit(1000)).alias("chunk")))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.explode(pieces).alias("c")).select("stream_id", "c.*")
+    events = streams.redact_chunks(chunks, Redactor({"presets": ("pii",), "restore": True}))
+    maps = events.where("event_type = 'complete'").select("stream_id", F.from_json("map", "map<string,string>").alias("map"))
+    return streams.joined(events).join(maps, "stream_id").select("stream_id", restored(F.col("text"), F.col("map")).alias("text"))
+
+
+@query("structured", f"SELECT doc_id, redacted AS body, CASE WHEN source IS NOT NULL THEN '[REDACTED]' END AS token, lang FROM ({native.sql_redact(_FOUND, 'documents', 'doc_id')}) JOIN documents USING (doc_id)")
+def structured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with texts in arrays and a secret field, redacted through and through."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.array("text").alias("parts"), F.col("source").alias("token"), F.struct("lang").alias("meta")).alias("record"))
+    done = structured.redact_nested(docs, Redactor({"rules": dict.fromkeys(SMALL, "redact")}))
+    return done.select("doc_id", F.col("record.parts")[0].alias("body"), "record.token", "record.meta.lang")
+
+
+@query("evaluation", f"SELECT rule_id, count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM ({_FOUND}) GROUP BY ROLLUP (rule_id)")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arrow backend measured against the relational one."""
+    docs = table(spark, sf_dir, "documents")
+    expected = native.detect_all(docs, SMALL, "doc_id").withColumnRenamed("doc_id", "case_id")
+    actual = Redactor({"rules": dict.fromkeys(SMALL, "redact")}).detections(docs, "doc_id").withColumnRenamed("doc_id", "case_id")
+    return evaluate.metrics(evaluate.outcomes(expected, actual))
+
+
+@query("vault_round_trip", "SELECT doc_id, '[SOURCE_1]' AS placeholder, source AS original FROM documents WHERE source IS NOT NULL")
+def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.create_map(F.lit("[SOURCE_1]"), "source").alias("map"))
+    provider = vault.LocalProvider("a passphrase for this query")
+    opened = vault.open_sealed(vault.seal(maps, provider), provider)
+    return opened.select("doc_id", F.explode("map").alias("placeholder", "original"))
+
+
+@query("semantic_confirmation")
+def semantic_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names confirmed by a stand-in scorer."""
+    policy = Policy(rules={"person_name_lite": "redact"}, semantic=Semantic(semantic.Preset({"person_name_lite": 0.9})))
+    done = Redactor(policy).redact_confirmed(F.concat(F.lit("Dr. Smith wrote: "), F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", done.alias("r")).select("doc_id", "r.text", F.size("r.detections").alias("n"))
+
+
+@query("json_logs")
+def json_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Redactor({"presets": ("security",)})
+    return table(spark, sf_dir, "events").select("event_id", structured.redact_json(F.col("props"), r).alias("props"))
+
+
+@query("page_query_keys")
+def page_query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Redactor({"rules": {"url_query_key": "redact", "email": "redact", "phone": "redact"}})
+    return table(spark, sf_dir, "pages").select("page_id", r.redact(F.col("html")).alias("html"))
+
+
+@query("preset_sizes", "SELECT * FROM (VALUES ('pii', 96), ('gdpr', 39), ('hipaa', 29), ('ccpa', 86), ('pci-dss', 6), ('healthcare', 19), ('finance', 15), ('education', 6), ('soc2', 56), ('security', 40)) t(preset, rules)")
+def preset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p, len(preset(p))) for p in PRESETS], "preset string, rules int")
+
+
+@query("list_detectors", "SELECT kind, n::BIGINT AS n FROM (VALUES ('context', 99), ('keyword', 7)) t(kind, n)")
+def list_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors_frame(spark).where("kind in ('context', 'keyword')").groupBy("kind").agg(F.count("*").alias("n"))
