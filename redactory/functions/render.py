@@ -183,7 +183,7 @@ class StreamRestorer:
     def push(self, chunk: str) -> str:
         text = self.held + chunk
         at = text.rfind("[", max(0, len(text) - HELD))
-        cut = at if at >= 0 and re.match(r"\[[A-Z][A-Z0-9_]*\Z", text[at:]) else len(text)
+        cut = at if at >= 0 and re.match(r"\[(?:[A-Z][A-Z0-9_]*)?\Z", text[at:]) else len(text)
         self.held = text[cut:]
         return restore(text[:cut], self.given)
 

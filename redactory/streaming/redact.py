@@ -149,7 +149,8 @@ class RedactProcessor(StatefulProcessor):
         else:
             self.state.update((json.dumps(asdict(flow)),))
         names = [x.split()[0] for x in EVENTS.split(", ")]
-        yield pd.DataFrame([{"stream_id": key[0], **e} for e in out], columns=names)
+        made = [{"stream_id": key[0], **e} for e in out]
+        yield pd.DataFrame({n: pd.Series([e.get(n) for e in made], dtype="int64" if n == "pos" else object) for n in names})
 
     def close(self) -> None:
         pass
