@@ -110,10 +110,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, range-sorted by virtual finish time."""
     names = docs.columns
-    taken = plan(docs, weights, most).where("epochs > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.explode(F.transform(F.sequence(F.lit(0), F.col("epochs") - 1), lambda e: _finish(e))).alias("mix_finish")).distinct()
+    taken = plan(docs, weights, most).where("epochs > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.explode(F.transform(F.sequence(F.lit(0), F.col("epochs") - 1), lambda e: _finish(e))).alias("__mix_finish")).distinct()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    found = docs.withColumn("mix_words", size).join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size")))
-    return found.repartitionByRange("mix_finish", "doc_id").sortWithinPartitions("mix_finish", "doc_id").select(*names)
+    found = docs.withColumn("__mix_words", size).join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size")))
+    return found.repartitionByRange("__mix_finish", "doc_id").sortWithinPartitions("__mix_finish", "doc_id").select(*names)
 
 
 #: The same result by plain windows, for DuckDB.

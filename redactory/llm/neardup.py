@@ -255,5 +255,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
 def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class, that of the smallest id (rows that repeat its id stay with it)."""
-    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -39,6 +39,7 @@ PART_ROWS, CHUNK_BYTES, LEAST_CHUNKS = 3_000_000, 8 << 20, 24
 #: Bins that prefixes of each length are counted in, and those lengths.
 BITS, PREFIXES = 14, (1, 2, 4)
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, passages array<struct<start:int,words:int>>"
+CHUNK = "__chunk"  # no column of the input is called this
 LAST = np.iinfo(np.int64).max
 
 
@@ -148,7 +149,7 @@ def _send(plan: Plan) -> Callable:
             new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             rows.append((part, chunk.fingerprint[place].tobytes(), doc[new].tobytes(), np.diff(np.append(new, len(doc))).astype(np.uint32).tobytes()))
         part, leaves, docs, runs = zip(*rows, strict=True) if rows else ((),) * 4
-        number = table.column("chunk")[0].as_py()
+        number = table.column(CHUNK)[0].as_py()
         return pa.table([pa.array([number] * len(rows), pa.int32()), pa.array(part, pa.int32()), pa.array(leaves, pa.binary()), pa.array(docs, pa.binary()), pa.array(runs, pa.binary())], ["chunk", "part", "leaves", "docs", "runs"])
 
     return send
@@ -227,10 +228,10 @@ def _verdicts(docs: DataFrame, length: int, part_rows: int, finish: Callable, sc
     arrow_rows(docs.sparkSession)
     p = plan(docs, length, part_rows)
     held = docs.sparkSession.sparkContext.broadcast(p)  # bounded: len(PREFIXES) tables of 2^BITS entries
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(p.chunks)).cast("int"))
-    sent = chunked.groupBy("chunk").applyInArrow(lambda t: _send(held.value)(t), "chunk int, part int, leaves binary, docs binary, runs binary")
+    chunked = docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id"), F.lit(p.chunks)).cast("int"))
+    sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _send(held.value)(t), "chunk int, part int, leaves binary, docs binary, runs binary")
     told = sent.groupBy("part").applyInArrow(_judge, "chunk int, part int, bits binary")
-    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, _Verdict(a, b, held.value)), schema)
+    return chunked.groupBy(CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, _Verdict(a, b, held.value)), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:
