@@ -7,6 +7,9 @@ header of a record is parsed first, and the block of a record that fails them, o
 ``payload=false``, is skipped by seeking without being read or decoded. Files go through pyarrow's file systems, so a
 path may be local, file://, s3://, gs:// or hdfs://.
 
+Spark 4.1 plans a Python source once for each loaded frame, with the predicates of the first query on it: load a frame
+anew (``spark.read.format("warc")``) for each query that filters it.
+
 ``archive_pages`` turns a pages table into rows for the writer: of equal payloads of at least ``least`` bytes, the one
 with the smallest page_id is a response and the others are revisits of it without a payload.
 
