@@ -254,7 +254,7 @@ class Rule:
                 yield a, a + len(value), ("format",)
 
     def _custom(self) -> Callable:
-        spec, compiled = self.spec, re.compile(self.spec.pattern, self.spec.flags)
+        spec, compiled = self.spec, regex.compile(self.spec.pattern, self.spec.flags)
 
         def find(text: str) -> Iterator[tuple]:
             for m in compiled.finditer(text):
@@ -378,6 +378,19 @@ _FIRST = {"crypto_address": _RUN.search, "person_name_lite": lambda text: any(na
 _HR_CODES = _spans("[A-Z0-9]{6,16}", "i")
 
 
+#: A custom detector as an example: two capitals and six digits behind a label.
+_EMPLOYEE_LABEL = regex.compile(r"(?:^|[^\p{L}\p{M}\p{N}_])Employee ID[ \t]{0,8}[:#]?[ \t]{0,8}\Z", regex.I)
+EMPLOYEE_ID = CustomDetector(
+    "employee_id_example",
+    r"(?<![\p{L}\p{M}\p{N}_])[A-Z]{2}[0-9]{6}(?![\p{L}\p{M}\p{N}_])",
+    entity_type="employee_id",
+    replacement="[EMPLOYEE_ID]",
+    left=20,
+    max_match=8,
+    validate=lambda value, before, after: ["employee_id_example.context"] if _EMPLOYEE_LABEL.search(before) else None,
+)
+
+
 class Scanner:
     """Detections of some rules in a text, without those in placeholders or on the allowlist."""
 

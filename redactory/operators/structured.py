@@ -115,3 +115,26 @@ def redact_json(column: Column, redactor: Redactor) -> Column:
         return pd.Series([one(v) for v in values], dtype=object)
 
     return record(column)
+
+
+def redact_messages(messages: Column, redactor: Redactor) -> Column:
+    """A request of any nesting (messages with roles, content blocks, tool calls), with one numbering over all its strings.
+
+    Gives struct<messages: string (JSON), map>: equal values have one placeholder, so a response can be restored by the map.
+    """
+    import json
+
+    from redactory.functions.render import Restoration
+
+    policy = redactor.policy
+
+    @F.pandas_udf("struct<messages:string,map:map<string,string>>")
+    def request(values: pd.Series) -> pd.DataFrame:
+        texts, maps = [], []
+        for v in values:
+            state = Restoration(by_value=True)
+            texts.append(None if v is None else json.dumps(walk(json.loads(v), lambda t, s=state: redact_text(policy, t, s)), ensure_ascii=False))
+            maps.append(state.map)
+        return pd.DataFrame({"messages": pd.Series(texts, dtype=object), "map": pd.Series(maps, dtype=object)})
+
+    return request(F.to_json(messages))

@@ -173,6 +173,16 @@ def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.select("doc_id", F.explode("map").alias("placeholder", "original"))
 
 
+@query("messages_round_trip", "SELECT conv_id, string_agg(coalesce(text, ''), '|' ORDER BY turn) AS said FROM conversations GROUP BY conv_id")
+def messages_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chat requests: redacted with one map each, then restored by it."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    done = chats.select("conv_id", structured.redact_messages(F.col("messages"), Redactor({"presets": ("pii",)})).alias("r"))
+    back = F.from_json(restored(F.col("r.messages"), F.col("r.map")), "array<struct<turn:long,role:string,content:string>>")
+    return done.select("conv_id", F.array_join(F.transform(back, lambda m: m["content"]), "|").alias("said"))
+
+
 @query("semantic_confirmation")
 def semantic_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names confirmed by a stand-in scorer."""

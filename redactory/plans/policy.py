@@ -6,7 +6,7 @@ Resolution happens once on the driver; tasks get the small resolved policy.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from redactory.functions import detectors as built_in
 from redactory.functions.detectors import DETECTORS, Detector
@@ -83,11 +83,11 @@ class Policy:
         for rule in self.rules | merged:
             if rule not in known:
                 raise RedactionError("UNKNOWN_RULE", "rules")
-        for rule in custom:
-            if self.rules.get(rule) != OFF:
-                merged.setdefault(rule, Setting())
         if not merged:
             raise RedactionError("EMPTY_POLICY")
+        for rule in custom.keys() & merged.keys():
+            if merged[rule].replacement is None and custom[rule].replacement:
+                merged[rule] = replace(merged[rule], replacement=custom[rule].replacement)
         specs = tuple(self._spec(known[rule]) for rule in sorted(merged))
         return Resolved(specs, tuple(sorted(merged.items())), frozenset(self.allowlist), self.restore, self.detect_only, self.max_input)
 

@@ -112,6 +112,13 @@ def test_nested(spark):
     assert got == ['{"msg":"[EMAIL]","token":"[REDACTED]","k":null}', "[EMAIL] plain"]
 
 
+def test_messages(spark):
+    request = [{"role": "user", "content": "a@b.co"}, {"role": "assistant", "content": "to a@b.co, c@d.co"}]
+    df = spark.createDataFrame([(request,)], "m array<struct<role:string,content:string>>")
+    r = df.select(structured.redact_messages(F.col("m"), Redactor({"rules": {"email": "redact"}})).alias("r")).first().r
+    assert [x["content"] for x in json.loads(r.messages)] == ["[EMAIL_1]", "to [EMAIL_1], [EMAIL_2]"] and r.map == {"[EMAIL_1]": "a@b.co", "[EMAIL_2]": "c@d.co"}
+
+
 def test_semantic(spark):
     df = spark.createDataFrame([("Dr. Smith, a@b.co",)], "t string")
 

@@ -3,7 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from redactory.functions.render import Restoration, Setting, StreamRestorer, fnv1a, grouped, replacement, restore
-from redactory.functions.scan import CustomDetector, Match
+from redactory.functions.scan import EMPLOYEE_ID, CustomDetector, Match
 from redactory.operators.redact import redact_text
 from redactory.plans.errors import RedactionError
 from redactory.plans.policy import Policy
@@ -90,6 +90,15 @@ def test_policy_errors():
         x.value.problem({"INPUT_LIMIT": 503})
 
 
+def test_custom_detector_in_a_policy():
+    text = "Employee ID: AB123456, xAB123456, AB123456"
+    config = {"detectors": [EMPLOYEE_ID], "rules": {"employee_id_example": "redact"}}
+    assert redact(text, **config) == "Employee ID: [EMPLOYEE_ID], xAB123456, AB123456"
+    assert redact(text, **config | {"restore": True}) == "Employee ID: [EMPLOYEE_ID_1], xAB123456, AB123456"
+    assert redact(text, **config | {"rules": {"employee_id_example": "token-replace"}}) == f"Employee ID: [REDACTED_{fnv1a('AB123456'):08X}], xAB123456, AB123456"
+    assert redact("X-My-Auth: abc9 x", rules={"http_auth_header": "redact"}, custom_headers=["X-My-Auth"]) == "X-My-Auth: [HTTP_AUTH_HEADER] x"
+
+
 def test_preset_versions_and_off():
     assert len(Policy(presets=("pii@1",)).resolve().specs) == 96
     assert len(Policy(presets=("pii",), rules={"email": "off"}).resolve().specs) == 95
