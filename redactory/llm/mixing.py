@@ -4,9 +4,9 @@ Every document of a source is shuffled by a hash of its id and queued up to ``mo
 time is the source's words queued up to and including it, divided by the source's target. The queue of all sources is
 range-sorted by finish time and cut where the words taken reach the budget, the words of all documents.
 
-Prefix sums never gather a source in one task: each is split in hash buckets, buckets are summed first (at most
-sources x buckets rows), and rows are ordered inside their bucket alone. The cut is found the same way, from sums by
-slice of finish time; one slice is then ordered. The number of buckets follows the number of rows.
+Prefix sums never gather a source in one task: each source is split in hash buckets by its number of rows, buckets are
+summed first, and rows are ordered inside their bucket alone. The cut is found the same way, from sums by slice of
+finish time; one slice is then ordered.
 
 Defined results: a null text has size 0; size-0 documents are never taken (0 words) and do not move the queue; a null
 source is a source of its own, last in order; rows of equal id, source and size are peers, taken together or not at
@@ -22,7 +22,8 @@ from pyspark.sql.window import Window as W
 from .session import written
 
 WEIGHTS, MOST = (5, 2, 1), 3
-ROWS_IN_BUCKET = 20_000
+#: Rows of a source in a hash bucket, at most about; rows in a slice of finish times, about.
+ROWS_IN_BUCKET, ROWS_IN_SLICE = 1_000, 20_000
 #: Tables of group sums are broadcast up to so many rows (under 16 MB); larger ones are joined by shuffle, and hash buckets keep that even.
 BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     ranked = sizes.withColumn("r", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("r") % len(weights) + 1).cast("int")).cast("long")
     by_fill = W.orderBy(F.col("cap") / F.col("weight"), "r")
-    all_rows = W.partitionBy()
+    all_rows = W.partitionBy()  # one row a source
     full = F.col("full")
     return (
         ranked.withColumn("weight", weight)
@@ -54,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         .withColumn("left", F.col("total") - F.sum(F.when(full, F.col("cap")).otherwise(0)).over(all_rows))
         .withColumn("sharing", F.sum(F.when(full, 0).otherwise(F.col("weight"))).over(all_rows))
         .withColumn("target", F.when(full, F.col("cap").cast("double")).otherwise(F.col("left").cast("double") * F.col("weight") / F.col("sharing")))
-        .select("source", "source_size", "r", "weight", "target", "total")
+        .select(*sizes.columns, "r", "weight", "target", "total")
     )
 
 
@@ -70,21 +71,22 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     """One row per document: doc_id, source, size, source_size, target, queued (its source's words up to it), epochs (times taken), taken (words)."""
     rows = written(_sized(docs), "mix-sizes")
     count = rows.count()
-    bits = max(0, (count // ROWS_IN_BUCKET).bit_length())
-    slices = max(16, 2 * count // ROWS_IN_BUCKET)
-    rows = rows.withColumn("b", F.shiftright("h", 60 - bits))
-
-    groups = rows.groupBy("source", "b").agg(F.sum("size").alias("group_size"))
-    running = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    sources = targets(groups.groupBy("source").agg(F.sum("group_size").alias("source_size")), weights, most)
-    groups = groups.withColumn("ahead", F.coalesce(F.sum("group_size").over(running), F.lit(0)))
-    groups = groups.withColumnRenamed("source", "s").join(sources.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2", "group_size").withColumnRenamed("b", "b2")
+    slices = max(16, 2 * count // ROWS_IN_SLICE)
+
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / ROWS_IN_BUCKET))).cast("int")
+    sources = written(targets(sources, weights, most).withColumnRenamed("source", "s").withColumn("bits", bits), "mix-sources")
+    known = rows.join(_small(sources, sources.count()), F.col("source").eqNullSafe(F.col("s"))).withColumn("b", F.expr("shiftright(h, 60 - bits)"))
+
+    groups = known.groupBy("r", "b").agg(F.sum("size").alias("group_size"))
+    running = W.partitionBy("r").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select(F.col("r").alias("r2"), F.col("b").alias("b2"), F.coalesce(F.sum("group_size").over(running), F.lit(0)).alias("ahead"))
     groups = written(groups, "mix-groups")
 
-    inside = W.partitionBy("source", "b").orderBy("h", "doc_id", "size")
+    inside = W.partitionBy("r", "b").orderBy("h", "doc_id", "size")
     queued = (
-        rows.withColumn("here", F.sum("size").over(inside))
-        .join(_small(groups, groups.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("b2")))
+        known.withColumn("here", F.sum("size").over(inside))
+        .join(_small(groups, groups.count()), (F.col("r") == F.col("r2")) & (F.col("b") == F.col("b2")))
         .select("doc_id", "source", "size", "h", "r", "source_size", "target", "total", (F.col("ahead") + F.col("here")).alias("queued"))
     )
     queued = written(queued, "mix-queue")
