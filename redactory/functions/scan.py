@@ -145,9 +145,24 @@ def literal(pattern: str) -> str:
     return found.replace("\\", "")
 
 
+def beginnings(pattern: str) -> list[str]:
+    """Plain texts with which, one of them, every match begins."""
+    out = []
+    for x in alternatives(pattern):
+        end = _closing(x) if x.startswith("(?:") else -1
+        if end < 0 or x[end + 1 : end + 2] in ("?", "*", "{"):
+            out.append(literal(x))
+            continue
+        for inner in alternatives(x[3:end]):
+            begin = literal(inner)
+            whole = re.fullmatch(r"(?:[^\\\[\](){}?*+.|^$]|\\[-.])*", inner)
+            out.append(begin + literal(x[end + 1 :]) if whole else begin)
+    return out
+
+
 def literals(pattern: str) -> list[str] | None:
     """What texts must hold, one of them, to match; None if that is unknown."""
-    found = [literal(x) for x in alternatives(pattern)]
+    found = beginnings(pattern)
     return found if all(len(x) > 1 for x in found) else None
 
 
@@ -187,7 +202,7 @@ class Rule:
                 self.labelled = re.compile(rf"(?<!\w){spec.labels}", re.I)
             elif spec.keywords:
                 self.gate, self.folded = [k.lower() for k in spec.keywords], True
-            elif spec.kind in ("token", "custom", "capture") and spec.id not in ("ipv4", "ipv6", "mac_address"):
+            elif spec.kind in ("token", "custom", "capture") and spec.id not in ("ipv4", "ipv6", "mac_address", "person_name_lite", "url_query_key"):
                 self.gate, self.folded = literals(spec.pattern), "i" in spec.flags
             if self.gate and self.folded:
                 self.gate = [x.lower() for x in self.gate]
@@ -374,7 +389,12 @@ _COMMON = frozenset("the and for admin but not are was has had this that with fr
 #: Cheap tests that a text must pass for dear patterns: a long run of letters and digits; a known name in capitals.
 _RUN = re.compile("[A-Za-z0-9]{20}")
 _CAPITALISED = re.compile("[A-Z][a-z]+")
-_FIRST = {"crypto_address": _RUN.search, "person_name_lite": lambda text: any(names.known(w.lower()) for w in set(_CAPITALISED.findall(text)))}
+_FIRST = {
+    "crypto_address": _RUN.search,
+    "ipv4": re.compile(r"[0-9]\.[0-9]").search,
+    "mac_address": lambda text: text.count(":") > 4 or text.count("-") > 4,
+    "person_name_lite": lambda text: any(names.known(w.lower()) for w in set(_CAPITALISED.findall(text))),
+}
 _HR_CODES = _spans("[A-Z0-9]{6,16}", "i")
 
 
