@@ -113,30 +113,43 @@ def scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     return best, cosine, size
 
 
+def _predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the language's name, the score, and whether it is rejected."""
+    lettered = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+    if not model.languages:
+        return np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    best, cosine, size = scores(texts, model)
+    named, far = np.array(model.languages, object)[best], (cosine < model.least[best]) & (size >= SHORT)
+    return np.where(lettered, named, "und"), np.where(lettered, np.clip(cosine, 0, 1), 0.0), ~lettered | far
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (cosine to the nearest centroid) and rejected for every text."""
     arrow_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        names = np.array(model.languages, object)
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text")
-                lettered = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()]) & bool(model.languages)
-                if model.languages:
-                    best, cosine, size = scores(texts, model)
-                    named, far = names[best], (cosine < model.least[best]) & (size >= SHORT)
-                else:
-                    named, cosine, far = np.full(len(texts), "und", object), np.zeros(len(texts)), True
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(np.where(lettered, named, "und"), pa.string()), pa.array(np.where(lettered, np.clip(cosine, 0, 1), 0.0)), pa.array(~lettered | far)], ["doc_id", "lang_pred", "score", "rejected"]
-                )
+                named, score, far = _predict(part.column("text"), held.value)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(named, pa.string()), pa.array(score), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, SCHEMA)
 
 
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not rejected, as they are; no shuffle."""
+    arrow_rows(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(~_predict(part.column("text"), held.value)[2]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """The rows that may be learned from: a language, and a crc32 remainder by 4 other than 2."""
     return docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "lang")

@@ -261,3 +261,15 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_RO
         return table.filter(pa.array((lost == 0) | (lost < verdict.w.counts)))
 
     return _verdicts(docs, length, part_rows, finish, docs.schema)
+
+
+#: The digests by plain windows of words, for DuckDB.
+SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+m AS (SELECT key, min(doc_id) AS first_id FROM x GROUP BY key),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM x JOIN m USING (key) WHERE first_id < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT t.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS kept FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.i = g.i GROUP BY t.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
