@@ -123,7 +123,7 @@ def _mask(text: str, group: Group, found: list[Match], settings: dict[str, Setti
     for m in found:
         a, b = hidden(text[m.start : m.end], settings[m.rule_id].first, settings[m.rule_id].last)
         covered |= set(range(m.start + a, m.start + b))
-    out, k = [], group.start
+    out = []
     for m in regex.finditer(r"\X", text[group.start : group.end]):
         at = group.start + m.start()
         out.append("*" if at in covered else m[0])
