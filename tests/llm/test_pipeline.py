@@ -1,7 +1,10 @@
 """The pipeline's stages in a row, and the registered queries."""
 
-import corpus_pipeline
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
+import corpus_pipeline
 from redactory.llm import queries
 
 from . import brute
@@ -44,3 +47,17 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    expected = c.execute(queries.ORACLES[name])
+    names = sorted(d[0] for d in expected.description)
+    got = queries.QUERIES[name](spark, DIR)
+    assert sorted(got.columns) == names
+    key = lambda row: tuple(str(row[n]) for n in names)
+    columns = [d[0] for d in expected.description]
+    assert sorted(key(r.asDict()) for r in got.collect()) == sorted(key(dict(zip(columns, r, strict=True))) for r in expected.fetchall())
