@@ -15,8 +15,7 @@ from redactory.llm.session import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nearest centroids: documents that are rejected (no letters, or far from every language) go; a kept one keeps its lang."""
-    rejected = language.fitted(docs).where("rejected").select(F.col("doc_id").alias("__gone"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return language.kept(docs, language.train(docs, language.labelled(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
