@@ -5,9 +5,12 @@ Poisson process of rate equal to its weight to random registers; a register keep
 and a text stops early, once no shingle's next arrival can come before its slowest register. Two texts agree in a
 register with the probability Jaccard similarity of their weighted sets.
 
-1. Exact copies fold into one row per text hash. 2. Signatures of 252 registers are cut into 42 bands of 6; a pair of
-similarity 0.8 shares a band with chance over 0.99999. 3. Texts that share bands form loose clusters, joined through
-the smallest text of each band, never by pairs. 4. Inside a cluster pairs are taken by falling register agreement; pairs
+A text in which shingles repeat has a second signature with all weights 1, whose registers agree with the Jaccard
+similarity of shingle sets; without repeats the two are one. So a pair is found by either kind of similarity.
+
+1. Exact copies fold into one row per text hash. 2. Signatures of 252 registers are cut into 42 bands of 6, those of both
+signatures under the same keys; a pair of similarity 0.8 of either kind shares a band with chance over 0.99999. 3. Texts that share bands form loose clusters, joined through
+the smallest text of each band, never by pairs. 4. Inside a cluster pairs are taken by falling register agreement, the larger of both kinds; pairs
 that are already connected are passed over, the others are verified on their whole shingle sets. Clusters of more than
 ``block`` texts are dealt in blocks, each pair of blocks a task of its own, so that a task is bounded whatever the
 cluster's size and still every pair of texts is considered. 5. Links of verified pairs form the classes.
@@ -38,8 +41,8 @@ BLOCK = 512
 #: Texts that a verification group holds, roughly; small clusters share a group.
 GROUP = 2_000
 SIGNED = "doc_id long, copies string, bands array<long>"
-PREPARED = "copies string, node long, root long, own int, blocks int, signature binary, shingles binary, counts binary"
-#: Pairs under this register agreement are not verified: 0.8 less over four standard deviations of an estimate from 252 registers.
+PREPARED = "copies string, node long, root long, own int, blocks int, signature binary, plain binary, shingles binary, counts binary"
+#: Pairs under this register agreement of both kinds are not verified: 0.8 less over four standard deviations of an estimate from 252 registers.
 AGREE = 0.68
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +85,13 @@ def signatures(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int,
     return best.reshape(n, m) & np.uint64(0xFFFFFF)
 
 
+def plain(rows: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in which a shingle repeats, and their registers with all weights 1; other rows have those already."""
+    some = np.unique(rows[counts > 1])
+    own = np.isin(rows, some)
+    return some, signatures(np.searchsorted(some, rows[own]), keys[own], np.ones(int(own.sum()), np.int64), len(some))
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """Keys of each row's bands."""
     parts = signature.reshape(len(signature), BANDS, ROWS)
@@ -96,24 +106,30 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, most=2 << 20):
             rows, keys, counts = shingles(part.column("text"))
             some = np.unique(rows)
-            signature = signatures(rows, keys, counts, part.num_rows)[some]
-            band = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS), pa.int32()), pa.array(bands(signature).ravel()))
+            heavy, second = plain(rows, keys, counts)
+            key, of = np.concatenate([bands(signatures(rows, keys, counts, part.num_rows)[some]), bands(second)]), np.concatenate([some, heavy])
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], some, "right") * BANDS
+            band = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(key[order].ravel()))
             picked = part.take(pa.array(some, pa.int64()))
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), picked.column("copies"), band], ["doc_id", "copies", "bands"])
 
 
 def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature and shingle set of each row; counts only where one is over 1."""
+    """Signature and shingle set of each row; counts and the signature without them only where one is over 1."""
     for batch in batches:
         for part in slices(batch, most=2 << 20):
             rows, keys, counts = shingles(part.column("text"))
             signature = (signatures(rows, keys, counts, part.num_rows) & np.uint64(0xFFFF)).astype(np.uint16)
+            second = [b""] * part.num_rows
+            for k, x in zip(*plain(rows, keys, counts), strict=True):
+                second[k] = (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
             at = np.searchsorted(rows, np.arange(part.num_rows + 1))
             keys, counts = keys.astype(np.uint32), np.minimum(counts, 2**31).astype(np.uint32)
             spans = list(zip(at[:-1], at[1:], strict=True))
-            made = [[x.tobytes() for x in signature], [keys[a:b].tobytes() for a, b in spans], [counts[a:b].tobytes() if b > a and counts[a:b].max() > 1 else b"" for a, b in spans]]
+            made = [[x.tobytes() for x in signature], second, [keys[a:b].tobytes() for a, b in spans], [counts[a:b].tobytes() if b > a and counts[a:b].max() > 1 else b"" for a, b in spans]]
             kept = ["copies", "node", "root", "own", "blocks"]
-            yield pa.RecordBatch.from_arrays([*map(part.column, kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, "signature", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, "signature", "plain", "shingles", "counts"])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -160,13 +176,15 @@ def probability_jaccard(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> flo
     return float((1 / (upto / x + beyond / y)).sum())
 
 
-def _links(nodes: np.ndarray, signature: np.ndarray, sets: list, first: int | None, threshold: float) -> list[tuple[int, int]]:
-    """Verified links that connect texts with each other, or the first so many with the rest."""
+def _links(nodes: np.ndarray, signature: np.ndarray, second: np.ndarray | None, sets: list, first: int | None, threshold: float) -> list[tuple[int, int]]:
+    """Verified links that connect texts with each other, or the first so many with the rest; second: the signatures without counts, if any differ."""
     n = len(nodes)
     a, b, agree = [], [], []
     for i in range(n - 1 if first is None else first):
         begin = i + 1 if first is None else first
         share = (signature[begin:] == signature[i]).mean(1)
+        if second is not None:
+            share = np.maximum(share, (second[begin:] == second[i]).mean(1))
         got = np.flatnonzero(share >= AGREE)
         a.append(np.full(len(got), i))
         b.append(got + begin)
@@ -200,7 +218,7 @@ def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("root", "ascending"), ("low", "ascending"), ("high", "ascending")])
         root, low, high, own, node = (table.column(c).to_numpy() for c in ("root", "low", "high", "own", "node"))
-        columns = [table.column(c).to_pylist() for c in ("signature", "shingles", "counts")]
+        columns = [table.column(c).to_pylist() for c in ("signature", "plain", "shingles", "counts")]
         new = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
         out = []
         for start, end in zip(new, np.append(new[1:], len(root)), strict=True):
@@ -211,7 +229,8 @@ def _verify(threshold: float):
                 at = at[np.argsort(own[at] != low[start], kind="stable")]
             if len(at) > 1:
                 signature = np.stack([np.frombuffer(columns[0][i], np.uint16) for i in at])
-                out += _links(node[at], signature, [_set(columns[1][i], columns[2][i]) for i in at], first, threshold)
+                second = np.stack([np.frombuffer(columns[1][i] or columns[0][i], np.uint16) for i in at]) if any(columns[1][i] for i in at) else None
+                out += _links(node[at], signature, second, [_set(columns[2][i], columns[3][i]) for i in at], first, threshold)
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     return verify
@@ -240,7 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     members = docs.join(placed.withColumnRenamed("copies", "copy"), docs["doc_id"].eqNullSafe(placed["first_id"]) & (docs["copies"] == F.col("copy")))
     members = members.select("copies", "node", "root", "own", "blocks", "text").mapInArrow(_prepare, PREPARED)
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
-    dealt = members.withColumn("m", F.explode(meets)).select("node", "own", "root", "m.low", "m.high", "signature", "shingles", "counts")
+    dealt = members.withColumn("m", F.explode(meets)).select("node", "own", "root", "m.low", "m.high", "signature", "plain", "shingles", "counts")
     links = dealt.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
     tight = components(links, "near-tight")
 

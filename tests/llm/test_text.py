@@ -154,6 +154,19 @@ def test_near_classes_in_blocks(spark):
     assert got == brute.near_classes(list(enumerate(texts)))
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Copies whose shingle sets are near and whose counts are far."""
+    rng = random.Random(11)
+    texts = []
+    for times in (0, 1, 3, 10, 20, 40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join(base[:125] + base[100:125] * times + base[125:]), " ".join(base + base[:40] * (times // 2))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == brute.near_classes(list(enumerate(texts)))
+    assert len(set(got.values())) == 6
+
+
 def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words entirely here now"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.class_id or -1, r.class_size) for r in neardup.classes(docs).collect())
