@@ -3,7 +3,8 @@
 ``quality(docs, ...)`` measures every whole text in one pass without a shuffle: base counts of words, symbols, repeated
 lines and repeated 3-word windows, then what a public vocabulary makes of the text: characters per token, share of
 tokens that are not whole UTF-8 characters (bytes the vocabulary had to fall back on) and entropy of the token
-distribution. Each script has a band; a text outside the band of its main script is rejected.
+distribution. Each script has a band; a text outside the band of its main script is rejected. Entropy grows with the
+number of tokens, so the Latin band bounds it by that number.
 
 Defined results: null or empty text: all counts 0, base_failed true, kept false. Tied scripts: the first of SCRIPTS.
 Repeated rows give repeated results; other columns of the input are ignored.
@@ -34,16 +35,23 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 @dataclass(frozen=True)
 class Band:
-    """Bounds within which a text of a script passes. Entropy is held against log2 of the token count, its largest value."""
+    """Bounds within which a text of a script passes. Entropy is held against log2 of the token count, its largest value, and
+    where ``entropy_bits`` is given against the line through its points (log2 of the token count, bits)."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy_share: float
+    entropy_bits: tuple[tuple[float, float], ...] = ()
+
+
+#: 0.004 log2(n) under the 0.1 % quantile of the residuals of a parabola through entropy / log2(n) by log2(n),
+#: over the labelled documents of quality 1 with even id that pass the base rules (sf0.1); level where longer ones are few.
+LATIN_BITS = ((0.0, 0.0), (6.0, 5.14), (7.0, 5.53), (8.0, 5.82), (9.0, 6.03), (10.0, 6.16), (11.0, 6.22))
 
 
 #: By script: its code-point range and band. Byte-level vocabularies made from Latin text spend up to three byte tokens on a character of other scripts.
 SCRIPTS: dict[str, tuple[tuple[int, int], Band]] = {
-    "latin": ((0x41, 0x24F), Band((1.45, 12.0), 0.25, 0.35)),
+    "latin": ((0x41, 0x24F), Band((1.45, 12.0), 0.25, 0.35, LATIN_BITS)),
     "greek": ((0x370, 0x3FF), Band((0.6, 8.0), 0.8, 0.3)),
     "cyrillic": ((0x400, 0x52F), Band((0.6, 8.0), 0.8, 0.3)),
     "hebrew": ((0x590, 0x5FF), Band((0.5, 8.0), 0.9, 0.3)),
@@ -96,7 +104,9 @@ def script_of(text: str) -> str:
 
 def passes(n: int, chars_per_token: float, byte_share: float, entropy: float, band: Band) -> bool:
     low, high = band.chars_per_token
-    return low <= chars_per_token <= high and byte_share <= band.byte_share and entropy >= band.entropy_share * np.log2(max(n, 2))
+    most = np.log2(max(n, 2))
+    least = max(band.entropy_share * most, np.interp(most, *zip(*band.entropy_bits, strict=True)) if band.entropy_bits else 0.0)
+    return bool(low <= chars_per_token <= high and byte_share <= band.byte_share and entropy >= least)
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:

@@ -67,6 +67,20 @@ def test_fertility_rejects_noise():
     assert not rules.passes(*rules.fertility(same, rules.VOCABULARY), band)
 
 
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_labelled_junk_is_rejected(spark, vocabulary):
+    """Of documents that pass the base rules, with each of two vocabularies; the bounds were set on even ids."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.where("n_chars < 20000 and doc_id % 2 = 1").join(labels.where("quality = 0 or doc_id % 5 = 0").select("doc_id", "quality").distinct(), "doc_id").collect()
+    kept = {0: [], 1: []}
+    for r in rows:
+        if not brute.base_counts(r.text)[5]:
+            band = rules.SCRIPTS[rules.script_of(r.text)][1]
+            kept[r.quality].append(rules.passes(*rules.fertility(r.text, f"/opt/tokenizers/{vocabulary}.tiktoken"), band))
+    assert len(kept[0]) > 50 and len(kept[1]) > 200
+    assert np.mean(kept[0]) < 0.4 and np.mean(kept[1]) > 0.99
+
+
 def passages():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcde") for _ in range(4))
