@@ -3,8 +3,8 @@
 A text is the vector of its letters' byte trigrams, words set apart by one space (hashed to 2^BITS dimensions), weighted by log term frequency and inverse
 document frequency and scaled to length 1. Training takes a bounded sample of labelled documents (``per_label`` of each
 language, a parameter), clusters each language's vectors into ``clusters`` centroids by spherical k-means on the driver,
-and keeps for each language the distance beyond which a text is rejected: ``slack`` times the largest of its training
-texts' distances at the ``quantile`` given. Prediction is one pass over all texts without a shuffle.
+and keeps for each language the distance, as -log of the cosine, beyond which a text is rejected: ``slack`` times that at
+the ``quantile`` of its training texts' cosines, of those long enough to tell; so the cut never falls to cosine 0. Prediction is one pass over all texts without a shuffle.
 
 Defined results: null or letterless text: ``und``, score 0, rejected; text of a single letter has a zero vector and
 falls to the first language with score 0; ties go to the first language in order; no labelled rows: all texts are
@@ -75,6 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, cluste
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     named = np.array([languages.index(r["lang"]) for r in rows], np.int64)
+    told = np.array([np.frombuffer(r["n"], np.int32).sum() for r in rows], np.int64) >= SHORT
     made, owner, least = [], [], []
     for k in range(len(languages)):
         own = x[named == k]
@@ -82,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, cluste
         near = (own @ centers.T).max(1)
         made.append(centers)
         owner += [k] * len(centers)
-        least.append(max(0.0, 1 - slack * (1 - float(np.quantile(near, quantile)))))
+        long = told[named == k]
+        least.append(float(np.quantile(near[long] if long.any() else near, quantile)) ** slack)
     centroids = np.concatenate(made) if made else np.zeros((0, dims), np.float32)
     return Model(languages, idf, np.ascontiguousarray((centroids * idf).T), np.array(owner, np.int64), np.array(least))
 

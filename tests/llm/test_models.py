@@ -30,6 +30,28 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_far_texts_are_rejected_whatever_is_nearest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.train(docs, language.labelled(docs))
+    assert len(model.least) == 4 and min(model.least) > 0.15
+    rng = np.random.default_rng(0)
+    noise = lambda letters, n: " ".join("".join(rng.choice(list(letters), n)) for _ in range(150))
+    far = {
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı.",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+        "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+        "keys": noise("asdfghjkl", 7), "keys2": noise("qwertyuiopzxcvbnm", 5), "letters": noise("abcdefghijklmnopqrstuvwxyz", 6), "accents": noise("éèñóößüç", 6),
+        "hex": " ".join(rng.bytes(8).hex() for _ in range(80)), "base64": noise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 60),
+    }
+    best, _, size = language.scores(pa.array(list(far.values())), model)
+    assert set(best) == set(range(4)) and min(size) >= language.SHORT
+    assert language._predict(pa.array(list(far.values())), model)[2].all()
+    got = language.identify(docs, model).join(docs.select("doc_id", "n_chars"), "doc_id").where("n_chars > 200").agg(F.avg(F.col("rejected").cast("int"))).first()
+    assert got[0] < 0.001
+
+
 def test_learning_ignores_what_is_held_out(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
