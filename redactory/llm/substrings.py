@@ -9,7 +9,8 @@ internal nodes; the smallest document below a node is known there, and every lea
 A longer maximal repeat is a chain of such nodes at successive positions, so runs of repeats in a document are its
 maximal repeated passages.
 
-Texts are dealt to chunks by a hash of their id. A chunk sends a suffix once however often it holds it, from its
+Texts are dealt to chunks by a hash of their id and text, and ordered in a chunk by id and, where ids tie, a hash of the
+text, so that nothing hangs on the order in which rows arrive. A chunk sends a suffix once however often it holds it, from its
 smallest document, packed in one row for each part; a passage that a third of all documents share therefore reaches its
 node once a chunk. The node's answer, one bit a suffix, goes back to the chunk. Fingerprints and part together hold
 over 70 bits; a false node is not to be expected below 10^10 suffixes, and is improbable for a given window beyond.
@@ -118,12 +119,25 @@ def plan(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> P
     return Plan(length, parts, max(LEAST_CHUNKS, -(-size // CHUNK_BYTES)), tables)
 
 
+def _order(ids: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
+    """Rows by id, those of equal id by a hash of their text."""
+    order = np.argsort(ids, kind="stable")
+    same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+    tied = np.unique(order[np.concatenate([same, same + 1])])
+    if not len(tied):
+        return order
+    digest = np.zeros((len(ids), 2), np.uint64)
+    for k, text in zip(tied, texts.take(pa.array(tied)).to_pylist(), strict=True):
+        digest[k] = np.frombuffer(hashlib.blake2b((text or "").encode(), digest_size=16).digest(), np.uint64)
+    return np.lexsort((digest[:, 1], digest[:, 0], ids))
+
+
 class _Chunk:
     """The suffixes of a chunk's texts in order of document: those it sends, and by unique fingerprint the document and the place of the one sent."""
 
     def __init__(self, table: pa.Table, plan: Plan):
         ids = table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
-        self.order = np.argsort(ids, kind="stable")
+        self.order = _order(ids, table.column("text"))
         self.ids = ids[self.order]
         texts = table.column("text").take(pa.array(self.order))
         self.w = Words(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
@@ -137,7 +151,7 @@ class _Chunk:
         self.part = part[self.sent]
         self.fingerprint = fingerprint
         bounds = np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1])) if len(part) else np.zeros(0, np.int64)
-        self.runs = {int(self.part[a]): (int(a), int(b)) for a, b in zip(bounds, np.append(bounds[1:], len(part)), strict=True)}
+        self.runs = {int(self.part[a]): (int(a), int(b)) for a, b in zip(bounds, np.append(bounds[1:], len(part))[: len(bounds)], strict=True)}
 
 
 def _send(plan: Plan) -> Callable:
@@ -224,11 +238,15 @@ def _passages(removed: np.ndarray, w: Words) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), runs)
 
 
+def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
+    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+
+
 def _verdicts(docs: DataFrame, length: int, part_rows: int, finish: Callable, schema: str | T.StructType) -> DataFrame:
     arrow_rows(docs.sparkSession)
     p = plan(docs, length, part_rows)
     held = docs.sparkSession.sparkContext.broadcast(p)  # bounded: len(PREFIXES) tables of 2^BITS entries
-    chunked = docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id"), F.lit(p.chunks)).cast("int"))
+    chunked = _dealt(docs, p.chunks)
     sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _send(held.value)(t), "chunk int, part int, leaves binary, docs binary, runs binary")
     told = sent.groupBy("part").applyInArrow(_judge, "chunk int, part int, bits binary")
     return chunked.groupBy(CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, _Verdict(a, b, held.value)), schema)

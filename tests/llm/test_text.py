@@ -120,6 +120,21 @@ def test_substrings_of_odd_tables(spark):
     assert substrings.digests(same.limit(0)).count() == 0
 
 
+def test_chunks_do_not_hang_on_arrival(spark):
+    """Null and repeated ids on different texts: any order of rows sends the same suffixes, and no chunk holds them all."""
+    texts = [" ".join(f"t{k}x{j}" for j in range(20)) for k in range(40)]
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(texts)]
+    plan = substrings.Plan(13, 3, 24, [np.full(1 << substrings.BITS, -1)] * len(substrings.PREFIXES))
+    sent = []
+    for came in (rows, rows[::-1]):
+        table = pa.table({"doc_id": pa.array([i for i, _ in came], pa.int64()), "text": pa.array([t for _, t in came])})
+        chunk = substrings._Chunk(table, plan)
+        sent.append(chunk.fingerprint[chunk.first[chunk.sent]].tolist())
+    assert sent[0] == sent[1]
+    chunks = substrings._dealt(spark.createDataFrame(rows, "doc_id long, text string"), 24).groupBy("doc_id").agg(F.countDistinct(substrings.CHUNK)).collect()
+    assert min(r[1] for r in chunks) > 5
+
+
 def test_parts_split_frequent_prefixes(spark):
     texts = [f"the {k} " + " ".join(f"v{k}x{j}" for j in range(14)) for k in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
