@@ -1,4 +1,4 @@
-"""Exact substring deduplication by prefix-partitioned suffix trees.
+"""Exact substring deduplication by fingerprints of fixed windows, in prefix-partitioned parts; no suffix tree is built.
 
 Every position of a text where a window of ``length`` words fits begins a suffix. One pass counts suffixes by their first
 word, first two and first four words; a prefix that is too frequent is lengthened (in the end to the whole window), and
@@ -6,8 +6,8 @@ the prefixes, now of variable length, are packed into parts of about ``part_rows
 A part's subtree is truncated at depth ``length`` and kept as sorted leaves: what follows the prefix is one 64-bit
 fingerprint, so leaves of equal fingerprint hang on one node of that depth. Nodes with two leaves or more are the deep
 internal nodes; the smallest document below a node is known there, and every leaf of a larger document is a repeat.
-A longer maximal repeat is a chain of such nodes at successive positions, so runs of repeats in a document are its
-maximal repeated passages.
+Nodes of other depths and common-prefix lengths are not kept, so maximal repeats are not derived: passages are runs of
+removed words, and adjacent repeats of different sources come as one.
 
 Texts are dealt to chunks by a hash of their id and text, and ordered in a chunk by id and, where ids tie, a hash of the
 text, so that nothing hangs on the order in which rows arrive. A chunk sends a suffix once however often it holds it, from its
