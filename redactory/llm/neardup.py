@@ -8,18 +8,24 @@ register with the probability Jaccard similarity of their weighted sets.
 A text in which shingles repeat has a second signature with all weights 1, whose registers agree with the Jaccard
 similarity of shingle sets; without repeats the two are one. So a pair is found by either kind of similarity.
 
-1. Exact copies fold into one row per text hash. 2. Signatures of 252 registers are cut into 42 bands of 6, those of both
-signatures under the same keys; a pair of similarity 0.8 of either kind shares a band with chance over 0.99999. 3. Texts that share bands form loose clusters, joined through
-the smallest text of each band, never by pairs. 4. Inside a cluster pairs are taken by falling register agreement, the larger of both kinds; pairs
-that are already connected are passed over, the others are verified on their whole shingle sets. Clusters of more than
-``block`` texts are dealt in blocks, each pair of blocks a task of its own, so that a task is bounded whatever the
-cluster's size and still every pair of texts is considered. 5. Links of verified pairs form the classes.
+1. Exact copies fold into one text by their SHA-256. 2. Signatures of 252 registers are cut into 42 bands of 6, those of
+both signatures under the same keys; a pair of similarity 0.8 of either kind shares a band with chance over 0.99999.
+3. Every text hangs on the smallest text of each of its bands, its hubs; texts connected by hubs form loose clusters.
+4. Each text is verified against its hubs, on whole shingle sets; verified links join texts to families. 5. Only clusters that
+hold more than one family go on: their texts are dealt to blocks of ``block``, a large family to blocks of its own, and
+pairs of blocks meet in tasks of their own, but never two blocks of one family. So a family of n copies of one text costs
+n comparisons, a task is bounded whatever the cluster's size, and still every pair of texts that nothing has joined yet is
+considered, by falling register agreement, the larger of both kinds. 6. Verified links of both rounds form the classes.
 
 A pair is linked if its similarity, Jaccard on shingle sets or probability Jaccard on counts, is ``threshold`` or more.
+Whole texts are read once to sign them; a second scan keeps those that a bitmap of the candidates lets through, and only
+their signatures and shingle sets are shuffled. Figures of a hub, a text or a class are met by key and salt, so that one
+family that most rows belong to is no single task's. Intermediate tables go when the classes are written.
 
 Defined results: null texts and texts without words are classes of their own; texts of one to four words are one
 shingle of all their words; exact copies share a class if they have a word; repeated rows are copies of each other;
-a class's id is its smallest doc_id (null only if all are null); other columns are ignored.
+a class's id is its smallest doc_id (null only if all are null); texts whose smallest doc_id is the same share a class;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .session import arrow_rows, written
+from .session import Scratch, arrow_rows
+from .sieve import SALTS, sifted, with_figure
 from .words import Words, mix, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -40,8 +48,11 @@ REGISTERS = BANDS * ROWS
 BLOCK = 512
 #: Texts that a verification group holds, roughly; small clusters share a group.
 GROUP = 2_000
-SIGNED = "doc_id long, copies string, bands array<long>"
-PREPARED = "copies string, node long, root long, own int, blocks int, signature binary, plain binary, shingles binary, counts binary"
+#: Numbers of texts whose copies all lack a doc_id begin here.
+UNNUMBERED = 1 << 62
+SIGNED = "doc_id long, copies binary, bands array<long>"
+SETS = ("signature", "plain", "shingles", "counts")
+PREPARED = "doc_id long, copies binary, signature binary, plain binary, shingles binary, counts binary"
 #: Pairs under this register agreement of both kinds are not verified: 0.8 less over four standard deviations of an estimate from 252 registers.
 AGREE = 0.68
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -102,17 +113,19 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands of each row; rows without words have no copies and no bands."""
     for batch in batches:
         for part in slices(batch, most=2 << 20):
+            n = part.num_rows
             rows, keys, counts = shingles(part.column("text"))
             some = np.unique(rows)
             heavy, second = plain(rows, keys, counts)
-            key, of = np.concatenate([bands(signatures(rows, keys, counts, part.num_rows)[some]), bands(second)]), np.concatenate([some, heavy])
+            key, of = np.concatenate([bands(signatures(rows, keys, counts, n)[some]), bands(second)]), np.concatenate([some, heavy])
             order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], some, "right") * BANDS
+            ends = np.searchsorted(of[order], np.arange(n), "right") * BANDS
             band = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(key[order].ravel()))
-            picked = part.take(pa.array(some, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column("doc_id"), picked.column("copies"), band], ["doc_id", "copies", "bands"])
+            worded = pa.array(np.arange(n), mask=~np.isin(np.arange(n), some))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copies").take(worded), band], ["doc_id", "copies", "bands"])
 
 
 def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,27 +141,30 @@ def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts = keys.astype(np.uint32), np.minimum(counts, 2**31).astype(np.uint32)
             spans = list(zip(at[:-1], at[1:], strict=True))
             made = [[x.tobytes() for x in signature], second, [keys[a:b].tobytes() for a, b in spans], [counts[a:b].tobytes() if b > a and counts[a:b].max() > 1 else b"" for a, b in spans]]
-            kept = ["copies", "node", "root", "own", "blocks"]
-            yield pa.RecordBatch.from_arrays([*map(part.column, kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, "signature", "plain", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copies"), *(pa.array(x, pa.binary()) for x in made)], ["doc_id", "copies", *SETS])
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): the smallest node connected with each node of the edges (a, b), by rounds of large and small stars over the edges.
 
     Large star: each node's larger neighbours go to the smallest node near it. Small star: its smaller ones and itself do.
+    Rounds grow with the logarithm of a chain's length; each costs one look at whether all edges lead to a root.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
+
+    def least(rows: DataFrame) -> DataFrame:
+        return with_figure(rows, "u", "v", F.min("v"), F.min("__p"), "m")
+
+    edges = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
-        small = large.join(low, "u").select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = written(small, f"{name}-edges")
+        small = least(large).select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.*").where("u <> v").distinct()
+        older, edges = edges, scratch.write(small, name)
+        scratch.drop(older)
         # Done when every node hangs on one root and no root hangs on another.
-        chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        if not chained and not edges.groupBy("u").count().where("count > 1").limit(1).count():
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)).distinct())
+        if not ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).where("n > 1 or (n = 1 and low = 0)").limit(1).count():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
@@ -236,43 +252,100 @@ def _verify(threshold: float):
     return verify
 
 
+def _met(cells: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Verified links (a, b) of texts that are dealt to cells (root, low, high) and have n copies in all."""
+    groups = max(1, -(-n // GROUP))
+    return cells.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
+
+
+def _with_hubs(star: DataFrame, sets: DataFrame, block: int, threshold: float) -> DataFrame:
+    """Links of texts with their hubs: cells of one hub and ``block`` texts at most, roughly."""
+    counted = with_figure(star, "b", "a", F.count("*"), F.sum("__p"), "degree")
+    dealt = counted.select("a", "b", (2 * F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("degree") / block))).cast("int").alias("low"))
+    leaves = dealt.select(F.col("a").alias("node"), (F.col("low") + 1).alias("own"), F.col("b").alias("root"), "low", (F.col("low") + 1).alias("high"))
+    hubs = dealt.select("b", "low").distinct().select(F.col("b").alias("node"), F.col("low").alias("own"), F.col("b").alias("root"), "low", (F.col("low") + 1).alias("high"))
+    return leaves.union(hubs).join(sets, "node")
+
+
+def _left(loose: DataFrame, tight: DataFrame, block: int) -> DataFrame:
+    """The texts of loose clusters with several families, dealt to the pairs of blocks that they belong to: node, own, root, low, high."""
+    member = loose.join(tight.select("node", F.col("root").alias("family")), "node", "left").select("node", "root", F.coalesce("family", "node").alias("family"))
+    large = F.col("n") >= block / 2
+    families = member.groupBy("root", "family").agg(F.count("*").alias("n")).withColumn("large", large)
+    families = families.withColumn("blocks", F.when(large, F.ceil(F.col("n") / block)).otherwise(0)).withColumn("few", F.when(large, 0).otherwise(F.col("n")))
+    for name, of in (("families", F.count("*")), ("rest", F.sum("few")), ("more", F.sum("blocks"))):
+        families = with_figure(families, "root", "family", of, F.sum("__p"), name)
+    families = families.where("families > 1").withColumn("shared", F.ceil(F.col("rest") / block))
+    # Blocks 0 to shared - 1 hold the small families; large ones, at most one for block / 2 texts, have blocks of their own behind them.
+    ahead = F.sum("blocks").over(W.partitionBy("root").orderBy("family"))
+    own = families.where("large").select("root", "family", (F.col("shared") + ahead - F.col("blocks")).alias("first"))
+    spans = families.join(own, ["root", "family"], "left").select(
+        "root", "family", "large", (F.col("shared") + F.col("more")).cast("int").alias("total"), F.coalesce("first", F.lit(0)).cast("int").alias("first"), F.when(F.col("large"), F.col("blocks")).otherwise(F.col("shared")).cast("int").alias("blocks")
+    )
+    told = member.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    told = told.join(told.select("root", "family", "s").distinct().join(spans, ["root", "family"]), ["root", "family", "s"])
+    placed = told.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    met = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: ~F.col("large") | (o < F.col("first")) | (o >= F.col("first") + F.col("blocks")))
+    pairs = F.transform(met, lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
+    return placed.select("node", "own", "root", F.explode(pairs).alias("m")).select("node", "own", "root", "m.*")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id and class_size, one row per document."""
     arrow_rows(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("copies"))
-    rows = written(docs.mapInArrow(_sign, SIGNED), "near-signed")
-    # A node is a text; its number is the smallest id of its copies, or without any a number under all ids.
-    texts = written(rows.groupBy("copies").agg(F.min("doc_id").alias("first_id")).select("copies", "first_id", F.coalesce("first_id", F.least(F.xxhash64("copies"), -F.xxhash64("copies")) - 1).alias("node")), "near-texts")
-
-    # Loose clusters: each text is joined with the smallest text of each of its bands.
-    one = rows.join(texts, (rows["copies"] == texts["copies"]) & rows["doc_id"].eqNullSafe(texts["first_id"])).select("node", "bands")
-    keyed = one.select("node", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("band", "b")
-    star = keyed.join(hubs, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    loose = components(star, "near-loose")
-
-    # A cluster's texts are dealt to blocks by hash; each block meets itself and every other block of its cluster.
-    size = loose.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = loose.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = written(placed.join(texts, "node").select("copies", "first_id", "node", "root", "own", "blocks"), "near-placed")
-    groups = max(1, -(-placed.count() // GROUP))
-    members = docs.join(placed.withColumnRenamed("copies", "copy"), docs["doc_id"].eqNullSafe(placed["first_id"]) & (docs["copies"] == F.col("copy")))
-    members = members.select("copies", "node", "root", "own", "blocks", "text").mapInArrow(_prepare, PREPARED)
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
-    dealt = members.withColumn("m", F.explode(meets)).select("node", "own", "root", "m.low", "m.high", "signature", "plain", "shingles", "counts")
-    links = dealt.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
-    tight = components(links, "near-tight")
-
-    found = texts.join(tight, "node", "left").select("copies", F.coalesce("root", "node").alias("root"))
-    named = written(rows.select("doc_id", "copies").join(found, "copies").select("doc_id", "copies", "root"), "near-classes")
-    about = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    named = named.join(about, "root").select(F.col("doc_id").alias("id"), F.col("copies").alias("copy"), "class_id", "class_size").distinct()
-    return docs.select("doc_id", "copies").join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copies") == F.col("copy")), "left").select(
-        "doc_id", F.when(F.col("copy").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
-    )
+    scratch = Scratch(docs.sparkSession, "near")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("copies"))
+    rows = scratch.write(docs.mapInArrow(_sign, SIGNED), "signed")
+
+    # A text's number is the smallest id of its copies; those without any are numbered behind all ids.
+    worded = rows.where("copies is not null").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = scratch.write(worded.groupBy("copies", "s").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "parts")
+    texts = parts.groupBy("copies").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
+    texts = scratch.write(texts.withColumn("node", F.coalesce("first_id", F.lit(UNNUMBERED) + F.pmod(F.xxhash64("copies"), F.lit(UNNUMBERED)))), "texts")
+
+    # Hubs: the smallest text of each band that several texts have. Bands of one text don't leave their scan.
+    first = texts.select(F.col("copies").alias("copy"), "first_id", "node")
+    one = rows.join(first, (rows["copies"] == F.col("copy")) & rows["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "bands")
+    keyed = scratch.write(one, "bands").select("node", F.explode("bands").alias("band"))
+    hubs = scratch.write(keyed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select(F.col("band").alias("key"), "b"), "hubs")
+    shared = sifted(keyed, ["band"], hubs, ["key"], hubs.count()).where("__hit").select("node", "band")
+    star = scratch.write(shared.join(hubs, F.col("band") == F.col("key")).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
+    loose = scratch.write(components(star, scratch, "loose"), "clusters")
+
+    # The signatures and shingle sets of the candidates, from a second scan that lets few others through.
+    wanted = scratch.write(loose.select("node").join(texts, "node").select("node", F.col("copies").alias("copy"), "first_id"), "wanted")
+    some = sifted(docs, ["doc_id", "copies"], wanted, ["first_id", "copy"], wanted.count()).where("__hit").select("doc_id", "copies", "text")
+    sets = some.mapInArrow(_prepare, PREPARED).join(wanted, (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    sets = scratch.write(sets.select("node", *SETS), "sets")
+
+    links = scratch.write(_met(_with_hubs(star, sets, block, threshold), 2 * star.count(), threshold), "hub-links")
+    families = scratch.write(components(links, scratch, "families"), "families")
+    rest = scratch.write(_left(loose, families, block), "rest")
+    met = rest.count()
+    tight = families
+    if met:
+        more = _met(rest.join(sets, "node"), met, threshold)
+        tight = scratch.write(components(more.union(families.select("node", "root")), scratch, "tight"), "tight")
+
+    # Classes of texts, and by copies and salt of rows.
+    grouped = with_figure(texts.join(tight, "node"), "root", "node", F.sum("n"), F.sum("__p"), "class_size").select("copies", "root", "class_size")
+    known = texts.join(grouped, "copies", "left").select("copies", F.coalesce("root", "node").alias("root"), F.coalesce("class_size", "n").alias("class_size"))
+    known = parts.select("copies", "s").join(known, "copies")
+    named = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).drop("bands").join(known, ["copies", "s"], "left")
+    root = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < UNNUMBERED, F.col("root"))
+    out = Scratch(docs.sparkSession, "near-classes").write(named.select("doc_id", root.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")), "classes")
+    scratch.close()
+    return out
 
 
 def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, that of the smallest id (rows that repeat its id stay with it)."""
-    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """docs with one document of each class, that of the smallest id (rows that repeat its id stay with it).
+
+    Only rows that a bitmap of the ids to go lets through are joined; all others pass where they are read.
+    """
+    by_id = classes(docs, threshold).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
+    gone = Scratch(docs.sparkSession, "near-gone").write(by_id.where("not stays").select(F.col("doc_id").alias("__gone_id")), "gone")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = sifted(docs.withColumn("__id", F.col("doc_id").cast("long")), ["__id"], gone, ["__gone_id"], gone.count())
+    stay = rows.where("__hit").join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return rows.where("not __hit").select(*names).union(stay.select(*names))

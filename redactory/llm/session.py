@@ -11,24 +11,53 @@ ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (as in tests) a folder of this machine is made."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a local session makes one; on a cluster that is an error, since executors could not read it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
         named = context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that these operators wrote, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one call of an operator, in the shared folder: lineage ends in each, so a lost executor costs nothing before it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df as Parquet and reads it back."""
+        self.made += 1
+        path = f"{self.root}/{name}-{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Removes a table of this scratch that nothing reads any more."""
+        removed(self.spark, table.scratch_path)
+
+    def close(self) -> None:
+        """Removes all tables; only once what was made of them is written elsewhere."""
+        removed(self.spark, self.root)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back; the table stays, since results are read from it lazily."""
+    return Scratch(df.sparkSession, name).write(df, name)
 
 
 def arrow_rows(spark: SparkSession) -> None:
