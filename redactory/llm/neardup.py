@@ -10,12 +10,12 @@ similarity of shingle sets; without repeats the two are one. So a pair is found
 
 1. Exact copies fold into one text by their SHA-256. 2. Signatures of 252 registers are cut into 42 bands of 6, those of
 both signatures under the same keys; a pair of similarity 0.8 of either kind shares a band with chance over 0.99999.
-3. Every text hangs on the smallest text of each of its bands, its hubs; texts connected by hubs form loose clusters.
-4. Each text is verified against its hubs, on whole shingle sets; verified links join texts to families. 5. Only clusters that
-hold more than one family go on: their texts are dealt to blocks of ``block``, a large family to blocks of its own, and
-pairs of blocks meet in tasks of their own, but never two blocks of one family. So a family of n copies of one text costs
-n comparisons, a task is bounded whatever the cluster's size, and still every pair of texts that nothing has joined yet is
-considered, by falling register agreement, the larger of both kinds. 6. Verified links of both rounds form the classes.
+3. Every text hangs on the smallest text of each of its bands, its hubs. 4. Each text is verified against its hubs, on
+whole shingle sets; verified links join texts to families. 5. Where texts of several families hang on hubs of one, they go
+on: they are dealt to blocks of ``block``, a large family to blocks of its own, and pairs of blocks meet in tasks of their
+own, but never two blocks of one family. So a family of n copies of one text costs n comparisons, a task is bounded
+whatever a hub's size, and still every pair of texts that shares a band and that nothing has joined yet is considered, by
+falling register agreement, the larger of both kinds. 6. Verified links of both rounds form the classes.
 
 A pair is linked if its similarity, Jaccard on shingle sets or probability Jaccard on counts, is ``threshold`` or more.
 Whole texts are read once to sign them; a second scan keeps those that a bitmap of the candidates lets through, and only
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .session import Scratch, arrow_rows
-from .sieve import SALTS, sifted, with_figure
+from .sieve import SALTS, sifted, with_figure, with_lookup
 from .words import Words, mix, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -264,26 +264,30 @@ def _with_hubs(star: DataFrame, sets: DataFrame, block: int, threshold: float) -
     dealt = counted.select("a", "b", (2 * F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("degree") / block))).cast("int").alias("low"))
     leaves = dealt.select(F.col("a").alias("node"), (F.col("low") + 1).alias("own"), F.col("b").alias("root"), "low", (F.col("low") + 1).alias("high"))
     hubs = dealt.select("b", "low").distinct().select(F.col("b").alias("node"), F.col("low").alias("own"), F.col("b").alias("root"), "low", (F.col("low") + 1).alias("high"))
-    return leaves.union(hubs).join(sets, "node")
+    return leaves.union(hubs).join(sets.hint("merge"), "node")
 
 
-def _left(loose: DataFrame, tight: DataFrame, block: int) -> DataFrame:
-    """The texts of loose clusters with several families, dealt to the pairs of blocks that they belong to: node, own, root, low, high."""
-    member = loose.join(tight.select("node", F.col("root").alias("family")), "node", "left").select("node", "root", F.coalesce("family", "node").alias("family"))
+def _left(star: DataFrame, families: DataFrame, block: int) -> DataFrame:
+    """The texts that hang on hubs of one family, if they are of several, dealt to the pairs of blocks that they belong to: node, own, root, low, high.
+
+    Texts that share a band hang on the same hub, so every pair that shares one and that no link has joined meets here.
+    """
+    family = families.select("node", F.col("root").alias("f"))
+    hung = with_lookup(star, "b", "a", family, "node").select("a", F.coalesce("f", "b").alias("root"))
+    hung = hung.union(star.select("b").distinct().join(family.hint("merge"), F.col("b") == F.col("node"), "left").select("b", F.coalesce("f", "b"))).distinct()
+    member = hung.join(family.hint("merge"), F.col("a") == F.col("node"), "left").select(F.col("a").alias("node"), "root", F.coalesce("f", "a").alias("family"))
     large = F.col("n") >= block / 2
-    families = member.groupBy("root", "family").agg(F.count("*").alias("n")).withColumn("large", large)
-    families = families.withColumn("blocks", F.when(large, F.ceil(F.col("n") / block)).otherwise(0)).withColumn("few", F.when(large, 0).otherwise(F.col("n")))
-    for name, of in (("families", F.count("*")), ("rest", F.sum("few")), ("more", F.sum("blocks"))):
-        families = with_figure(families, "root", "family", of, F.sum("__p"), name)
-    families = families.where("families > 1").withColumn("shared", F.ceil(F.col("rest") / block))
+    kin = member.groupBy("root", "family").agg(F.count("*").alias("n")).withColumn("large", large)
+    kin = kin.withColumn("blocks", F.when(large, F.ceil(F.col("n") / block)).otherwise(0)).withColumn("few", F.when(large, 0).otherwise(F.col("n")))
+    kin = with_figure(kin, "root", "family", F.struct(F.count("*").alias("a"), F.sum("few").alias("b"), F.sum("blocks").alias("c")), F.struct(F.sum("__p.a").alias("families"), F.sum("__p.b").alias("rest"), F.sum("__p.c").alias("more")), "all")
+    kin = kin.select("root", "family", "large", "blocks", "all.*").where("families > 1").withColumn("shared", F.ceil(F.col("rest") / block))
     # Blocks 0 to shared - 1 hold the small families; large ones, at most one for block / 2 texts, have blocks of their own behind them.
-    ahead = F.sum("blocks").over(W.partitionBy("root").orderBy("family"))
-    own = families.where("large").select("root", "family", (F.col("shared") + ahead - F.col("blocks")).alias("first"))
-    spans = families.join(own, ["root", "family"], "left").select(
-        "root", "family", "large", (F.col("shared") + F.col("more")).cast("int").alias("total"), F.coalesce("first", F.lit(0)).cast("int").alias("first"), F.when(F.col("large"), F.col("blocks")).otherwise(F.col("shared")).cast("int").alias("blocks")
+    ahead = F.sum(F.when(F.col("large"), F.col("blocks")).otherwise(0)).over(W.partitionBy("root", "large").orderBy("family"))
+    spans = kin.withColumn("first", F.when(F.col("large"), F.col("shared") + ahead - F.col("blocks")).otherwise(0).cast("int")).select(
+        "root", "family", "large", "first", (F.col("shared") + F.col("more")).cast("int").alias("total"), F.when(F.col("large"), F.col("blocks")).otherwise(F.col("shared")).cast("int").alias("blocks")
     )
     told = member.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    told = told.join(told.select("root", "family", "s").distinct().join(spans, ["root", "family"]), ["root", "family", "s"])
+    told = told.join(told.select("root", "family", "s").distinct().join(spans.hint("merge"), ["root", "family"]).hint("merge"), ["root", "family", "s"])
     placed = told.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     met = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: ~F.col("large") | (o < F.col("first")) | (o >= F.col("first") + F.col("blocks")))
     pairs = F.transform(met, lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
@@ -305,33 +309,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
     # Hubs: the smallest text of each band that several texts have. Bands of one text don't leave their scan.
     first = texts.select(F.col("copies").alias("copy"), "first_id", "node")
-    one = rows.join(first, (rows["copies"] == F.col("copy")) & rows["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "bands")
+    one = rows.join(first.hint("merge"), (rows["copies"] == F.col("copy")) & rows["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "bands")
     keyed = scratch.write(one, "bands").select("node", F.explode("bands").alias("band"))
     hubs = scratch.write(keyed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select(F.col("band").alias("key"), "b"), "hubs")
     shared = sifted(keyed, ["band"], hubs, ["key"], hubs.count()).where("__hit").select("node", "band")
-    star = scratch.write(shared.join(hubs, F.col("band") == F.col("key")).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
-    loose = scratch.write(components(star, scratch, "loose"), "clusters")
+    star = scratch.write(shared.join(hubs.hint("merge"), F.col("band") == F.col("key")).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
 
     # The signatures and shingle sets of the candidates, from a second scan that lets few others through.
-    wanted = scratch.write(loose.select("node").join(texts, "node").select("node", F.col("copies").alias("copy"), "first_id"), "wanted")
+    nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    wanted = scratch.write(nodes.join(texts.hint("merge"), "node").select("node", F.col("copies").alias("copy"), "first_id"), "wanted")
     some = sifted(docs, ["doc_id", "copies"], wanted, ["first_id", "copy"], wanted.count()).where("__hit").select("doc_id", "copies", "text")
-    sets = some.mapInArrow(_prepare, PREPARED).join(wanted, (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    sets = some.mapInArrow(_prepare, PREPARED).join(wanted.hint("merge"), (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     sets = scratch.write(sets.select("node", *SETS), "sets")
 
     links = scratch.write(_met(_with_hubs(star, sets, block, threshold), 2 * star.count(), threshold), "hub-links")
     families = scratch.write(components(links, scratch, "families"), "families")
-    rest = scratch.write(_left(loose, families, block), "rest")
+    rest = scratch.write(_left(star, families, block), "rest")
     met = rest.count()
     tight = families
     if met:
-        more = _met(rest.join(sets, "node"), met, threshold)
+        more = _met(rest.join(sets.hint("merge"), "node"), met, threshold)
         tight = scratch.write(components(more.union(families.select("node", "root")), scratch, "tight"), "tight")
 
     # Classes of texts, and by copies and salt of rows.
-    grouped = with_figure(texts.join(tight, "node"), "root", "node", F.sum("n"), F.sum("__p"), "class_size").select("copies", "root", "class_size")
-    known = texts.join(grouped, "copies", "left").select("copies", F.coalesce("root", "node").alias("root"), F.coalesce("class_size", "n").alias("class_size"))
-    known = parts.select("copies", "s").join(known, "copies")
-    named = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).drop("bands").join(known, ["copies", "s"], "left")
+    grouped = with_figure(texts.join(tight.hint("merge"), "node"), "root", "node", F.sum("n"), F.sum("__p"), "class_size").select("copies", "root", "class_size")
+    known = texts.join(grouped.hint("merge"), "copies", "left").select("copies", F.coalesce("root", "node").alias("root"), F.coalesce("class_size", "n").alias("class_size"))
+    known = parts.select("copies", "s").join(known.hint("merge"), "copies")
+    named = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).drop("bands").join(known.hint("merge"), ["copies", "s"], "left")
     root = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < UNNUMBERED, F.col("root"))
     out = Scratch(docs.sparkSession, "near-classes").write(named.select("doc_id", root.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")), "classes")
     scratch.close()
@@ -347,5 +351,5 @@ def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = Scratch(docs.sparkSession, "near-gone").write(by_id.where("not stays").select(F.col("doc_id").alias("__gone_id")), "gone")
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = sifted(docs.withColumn("__id", F.col("doc_id").cast("long")), ["__id"], gone, ["__gone_id"], gone.count())
-    stay = rows.where("__hit").join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left_anti")
+    stay = rows.where("__hit").join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("__gone_id")), "left_anti")
     return rows.where("not __hit").select(*names).union(stay.select(*names))

@@ -36,5 +36,12 @@ def with_figure(rows: DataFrame, key: str, by: str, partial: Column, whole: Colu
     """
     salted = rows.withColumn("__s", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     parts = salted.groupBy(key, "__s").agg(partial.alias("__p"))
-    told = parts.join(parts.groupBy(key).agg(whole.alias(name)), key).select(key, "__s", name)
-    return salted.join(told, [key, "__s"]).drop("__s")
+    told = parts.join(parts.groupBy(key).agg(whole.alias(name)).hint("merge"), key).select(key, "__s", name)
+    return salted.join(told.hint("merge"), [key, "__s"]).drop("__s")
+
+
+def with_lookup(rows: DataFrame, key: str, by: str, table: DataFrame, of: str) -> DataFrame:
+    """rows with the columns of table, in which each value of ``of`` stands once at most (left join), met by key and salt as well."""
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    told = salted.select(key, "__s").distinct().join(table.withColumnRenamed(of, "__of").hint("merge"), F.col(key) == F.col("__of"), "left").drop("__of")
+    return salted.join(told.hint("merge"), [key, "__s"]).drop("__s")
