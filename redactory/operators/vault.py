@@ -3,11 +3,16 @@
 A data key encrypts the map on executors (aes_encrypt: 12 bytes of nonce, ciphertext, 16 of tag); a provider encrypts
 the data key on the driver, once a frame. A sealed blob is base64 of JSON: version, provider, createdAt, encryptedDek,
 encryptedMap, metadata.
+
+Keys never stand in a query plan, where explain(), the UI and event logs would show them: they come out of Arrow UDFs
+that hold them. A provider that can unwrap keys as a column (``unwrap_column``) opens frames of any number of data keys
+on executors; others unwrap on the driver.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import hmac
 import json
@@ -15,10 +20,11 @@ import os
 from datetime import UTC, datetime
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.plans.errors import VaultError
+from redactory.plans.errors import VAULT_CODES, VaultError
 
 VERSION = 1
 
@@ -42,9 +48,20 @@ def hkdf(secret: bytes, salt: bytes, info: bytes = b"", size: int = 32) -> bytes
     return out[:size]
 
 
-def _aes(spark: SparkSession, data: bytes, key: bytes, mode: str) -> bytes:
-    row = spark.sql(f"SELECT {mode}(:data, :key, 'GCM') AS x", args={"data": bytearray(data), "key": bytearray(key)}).first()
-    return bytes(row["x"])
+def _held(value: bytes) -> Column:
+    """A constant binary column whose value the plan does not show."""
+
+    @F.arrow_udf("binary")
+    def held(rows: pa.Array) -> pa.Array:
+        return pa.array([value] * len(rows), pa.binary())
+
+    return held(F.lit(0))
+
+
+def _aes(spark: SparkSession, data: bytes, key: bytes, mode: str) -> bytes | None:
+    done = {"aes_encrypt": F.aes_encrypt, "aes_decrypt": F.try_aes_decrypt}[mode](_held(data), _held(key), F.lit("GCM"))
+    got = spark.range(1).select(done.alias("x")).first()["x"]
+    return None if got is None else bytes(got)
 
 
 class LocalProvider:
@@ -66,10 +83,22 @@ class LocalProvider:
         raw = base64.b64decode(wrapped)
         salt = raw[:16] if isinstance(self.secret, str) else b""
         own = hkdf(self.secret.encode(), salt) if salt else self.secret
-        try:
-            return _aes(spark, raw[len(salt) :], own, "aes_decrypt")
-        except Exception as x:
-            raise VaultError("VAULT_DEK_DECRYPT_FAILED") from x
+        key = _aes(spark, raw[len(salt) :], own, "aes_decrypt")
+        if key is None:
+            raise VaultError("VAULT_DEK_DECRYPT_FAILED")
+        return key
+
+    def unwrap_column(self, wrapped: Column) -> Column:
+        """Data keys of a column of wrapped ones; null where unwrapping fails."""
+        secret = self.secret
+
+        @F.arrow_udf("binary")
+        def own(raw: pa.Array) -> pa.Array:
+            derive = functools.lru_cache(maxsize=1024)(lambda salt: hkdf(secret.encode(), salt))
+            return pa.array([secret if isinstance(secret, bytes) else derive(r[:16]) if r is not None else None for r in raw.to_pylist()], pa.binary())
+
+        raw = F.unbase64(wrapped)
+        return F.try_aes_decrypt(F.substring(raw, 17 if isinstance(secret, str) else 1, 2**31 - 1), own(raw), F.lit("GCM"))
 
 
 def seal(df: DataFrame, provider: Provider, column: str = "map", out: str = "sealed", metadata: dict[str, str] | None = None, created: str | None = None) -> DataFrame:
@@ -77,7 +106,7 @@ def seal(df: DataFrame, provider: Provider, column: str = "map", out: str = "sea
     key = os.urandom(32)
     wrapped = provider.wrap(df.sparkSession, key)
     created = created or datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-    encrypted = F.base64(F.aes_encrypt(F.to_json(column).cast("binary"), F.lit(bytearray(key)), F.lit("GCM")))
+    encrypted = F.base64(F.aes_encrypt(F.to_json(column).cast("binary"), _held(key), F.lit("GCM")))
     fields = [F.lit(VERSION).alias("version"), F.lit(provider.name).alias("provider"), F.lit(created).alias("createdAt"), F.lit(wrapped).alias("encryptedDek"), encrypted.alias("encryptedMap")]
     if metadata:
         fields.append(F.create_map(*[F.lit(x) for kv in sorted(metadata.items()) for x in kv]).alias("metadata"))
@@ -90,20 +119,35 @@ def _blob(c: Column) -> Column:
 
 
 def open_sealed(df: DataFrame, provider: Provider, column: str = "sealed", out: str = "map") -> DataFrame:
-    """df with sealed blobs opened to maps. The few data keys of a frame (one a seal() call) are unwrapped on the driver."""
+    """df with sealed blobs opened to maps. Heads and keys are checked in two passes before; a map that does not open fails its query."""
     parsed = df.withColumn("_b", _blob(F.col(column)))
-    heads = parsed.where(F.col(column).isNotNull()).select("_b.version", "_b.provider", "_b.encryptedDek").distinct().limit(10_001).collect()
-    if len(heads) > 10_000:
-        raise ValueError("more than 10000 data keys: open the frames by themselves")
-    if any(h["version"] != VERSION or h["encryptedDek"] is None for h in heads):
+    held = F.col(column).isNotNull()
+    bad = F.col("_b.version").isNull() | (F.col("_b.version") != VERSION) | F.col("_b.encryptedDek").isNull()
+    heads = parsed.agg(F.count_if(held & bad).alias("bad"), F.count_if(held & ~F.col("_b.provider").eqNullSafe(provider.name)).alias("other")).first()
+    if heads["bad"]:
         raise VaultError("VAULT_INVALID_SEALED_BLOB")
-    if any(h["provider"] != provider.name for h in heads):
+    if heads["other"]:
         raise VaultError("VAULT_PROVIDER_MISMATCH")
-    if not heads:
-        return df.withColumn(out, F.lit(None).cast("map<string,string>")).drop(column)
-    keys = F.create_map(*[x for h in heads for x in (F.lit(h["encryptedDek"]), F.lit(bytearray(provider.unwrap(df.sparkSession, h["encryptedDek"]))))])
-    plain = F.aes_decrypt(F.unbase64("_b.encryptedMap"), keys[F.col("_b.encryptedDek")], F.lit("GCM")).cast("string")
-    return parsed.withColumn(out, F.from_json(plain, "map<string,string>")).drop("_b", column)
+    wrapped = F.col("_b.encryptedDek")
+    key = provider.unwrap_column(wrapped) if hasattr(provider, "unwrap_column") else _looked_up(parsed.where(held), provider)(wrapped)
+    failed = F.raise_error(F.lit(f"VAULT_DECRYPT_FAILED: {VAULT_CODES['VAULT_DECRYPT_FAILED']}")).cast("string")
+    opened = parsed.withColumn("_k", key)
+    if opened.where(held & F.col("_k").isNull()).limit(1).count():
+        raise VaultError("VAULT_DEK_DECRYPT_FAILED")
+    plain = F.try_aes_decrypt(F.unbase64("_b.encryptedMap"), F.col("_k"), F.lit("GCM")).cast("string")
+    text = F.when(held, F.coalesce(plain, failed))
+    return opened.withColumn(out, F.from_json(text, "map<string,string>")).drop("_b", "_k", column)
+
+
+def _looked_up(blobs: DataFrame, provider: Provider):
+    """Data keys that a provider unwraps on the driver, one call for each seal(); they are few, and stream past one by one."""
+    keys = {r[0]: provider.unwrap(blobs.sparkSession, r[0]) for r in blobs.select("_b.encryptedDek").distinct().toLocalIterator()}
+
+    @F.arrow_udf("binary")
+    def key(wrapped: pa.Array) -> pa.Array:
+        return pa.array([keys.get(w) for w in wrapped.to_pylist()], pa.binary())
+
+    return key
 
 
 def blob_fields(sealed: str) -> dict:
