@@ -169,18 +169,35 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of Jaccard on sets and probability Jaccard on counts; (sorted hashes, counts) each."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = len(a[0]) + len(b[0]) - len(both)
-    plain = len(both) / union if union else 0.0
-    if not len(both) or (a[1].max() == 1 and b[1].max() == 1):
-        return plain
-    return max(plain, probability_jaccard(a, b, i, j))
-
-
-def probability_jaccard(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> float:
-    """Sum over shared shingles of 1 / sum over all of max(weight ratios)."""
+class Shared:
+    """How many shingles texts share: of one text with all others at a time, by lists of the texts that hold each shingle."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets, self.sizes = sets, np.array([len(h) for h, _ in sets])
+        self.weighted = np.array([bool(len(c)) and int(c.max()) > 1 for _, c in sets])
+        held, of = np.concatenate([h for h, _ in sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(held, kind="stable")
+        self.held, self.of, self.rows = held[order], of[order], {}
+
+    def row(self, i: int) -> np.ndarray:
+        if i not in self.rows:
+            a, b = (np.searchsorted(self.held, self.sets[i][0], side) for side in ("left", "right"))
+            size = b - a
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self.rows[i] = np.bincount(self.of[at], minlength=len(self.sets))
+        return self.rows[i]
+
+    def reaches(self, i: int, j: int, threshold: float) -> bool:
+        """Whether the larger of Jaccard on sets and probability Jaccard on counts is threshold or more."""
+        both = int(self.row(i)[j])
+        if both and both >= threshold * (int(self.sizes[i]) + int(self.sizes[j]) - both):
+            return True
+        return bool(both and (self.weighted[i] or self.weighted[j])) and probability_jaccard(self.sets[i], self.sets[j]) >= threshold
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum over shared shingles of 1 / sum over all of max(weight ratios); (sorted hashes, counts) each."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     x, y = a[1][i].astype(np.float64), b[1][j].astype(np.float64)
     ratios = y / x  # shingles of a alone have ratio 0, of b alone infinity
     order = np.argsort(ratios)
@@ -216,12 +233,14 @@ def _links(nodes: np.ndarray, signature: np.ndarray, second: np.ndarray | None,
             x = parent[x]
         return x
 
-    out = []
+    out, shared = [], None
     for k in np.argsort(-agree, kind="stable"):
         i, j = find(int(a[k])), find(int(b[k]))
-        if i != j and similarity(sets[a[k]], sets[b[k]]) >= threshold:
-            parent[i] = j
-            out.append((int(nodes[a[k]]), int(nodes[b[k]])))
+        if i != j:
+            shared = shared or Shared(sets)
+            if shared.reaches(int(a[k]), int(b[k]), threshold):
+                parent[i] = j
+                out.append((int(nodes[a[k]]), int(nodes[b[k]])))
     return out
 
 
@@ -282,10 +301,10 @@ def _left(star: DataFrame, families: DataFrame, block: int) -> DataFrame:
     kin = with_figure(kin, "root", "family", F.struct(F.count("*").alias("a"), F.sum("few").alias("b"), F.sum("blocks").alias("c")), F.struct(F.sum("__p.a").alias("families"), F.sum("__p.b").alias("rest"), F.sum("__p.c").alias("more")), "all")
     kin = kin.select("root", "family", "large", "blocks", "all.*").where("families > 1").withColumn("shared", F.ceil(F.col("rest") / block))
     # Blocks 0 to shared - 1 hold the small families; large ones, at most one for block / 2 texts, have blocks of their own behind them.
-    ahead = F.sum(F.when(F.col("large"), F.col("blocks")).otherwise(0)).over(W.partitionBy("root", "large").orderBy("family"))
-    spans = kin.withColumn("first", F.when(F.col("large"), F.col("shared") + ahead - F.col("blocks")).otherwise(0).cast("int")).select(
-        "root", "family", "large", "first", (F.col("shared") + F.col("more")).cast("int").alias("total"), F.when(F.col("large"), F.col("blocks")).otherwise(F.col("shared")).cast("int").alias("blocks")
-    )
+    ahead = F.sum("blocks").over(W.partitionBy("root").orderBy("family")) - F.col("blocks")
+    total = (F.col("shared") + F.col("more")).cast("int").alias("total")
+    few = kin.where("not large").select("root", "family", "large", F.lit(0).alias("first"), total, F.col("shared").cast("int").alias("blocks"))
+    spans = few.union(kin.where("large").select("root", "family", "large", (F.col("shared") + ahead).cast("int"), total, F.col("blocks").cast("int")))
     told = member.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     told = told.join(told.select("root", "family", "s").distinct().join(spans.hint("merge"), ["root", "family"]).hint("merge"), ["root", "family", "s"])
     placed = told.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from redactory.llm import neardup, rules, substrings
+from redactory.llm.sieve import sifted, with_figure, with_lookup
 from redactory.llm.words import Words
 
 from . import brute
@@ -196,6 +197,40 @@ def test_near_copies_with_repeated_passages(spark):
     assert len(set(got.values())) == 6
 
 
+def test_shared_shingles():
+    rng = np.random.default_rng(5)
+    sets = [(np.unique(rng.integers(0, 60, 40)).astype(np.uint32), None) for _ in range(12)]
+    sets = [(h, rng.integers(1, 3, len(h)).astype(np.uint32)) for h, _ in sets]
+    shared = neardup.Shared(sets)
+    for i, (a, x) in enumerate(sets):
+        for j, (b, y) in enumerate(sets):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            assert shared.row(i)[j] == both
+            larger = max(both / (len(a) + len(b) - both), neardup.probability_jaccard((a, x), (b, y)))
+            assert shared.reaches(i, j, larger - 1e-9) and not shared.reaches(i, j, larger + 1e-9)
+
+
+def test_families_under_one_hub(spark):
+    """A large family and strangers that share bands with it meet, but its own blocks don't."""
+    star = spark.createDataFrame([(k, 0) for k in range(1, 60)] + [(100, 0), (101, 0), (101, 5)], "a long, b long")
+    families = spark.createDataFrame([(k, 0) for k in range(60)], "node long, root long")
+    cells = neardup._left(star, families, block=16).collect()
+    own = {r.node: r.own for r in cells}
+    assert set(own) == {*range(60), 100, 101} and own[100] == own[101] == 0 and {own[k] for k in range(60)} == {1, 2, 3, 4}
+    met = {(r.low, r.high) for r in cells}
+    assert met == {(0, 0), (0, 1), (0, 2), (0, 3), (0, 4)} and len(cells) == 60 + 2 * 5
+
+
+def test_hot_keys_are_met_by_salt(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    got = {(r.u, r.v): r.m for r in with_figure(rows, "u", "v", F.min("v"), F.min("__p"), "m").collect()}
+    assert len(got) == 2000 and all(m == (0 if u == 7 else v) for (u, v), m in got.items())
+    named = with_lookup(rows, "u", "v", spark.createDataFrame([(7, "hot")], "k long, name string"), "k")
+    assert sorted((r.name or "", r["count"]) for r in named.groupBy("name").count().collect()) == [("", 500), ("hot", 1500)]
+    hit = sifted(rows, ["u"], spark.createDataFrame([(7,)], "k long"), ["k"], 1).groupBy("__hit").count().collect()
+    assert {r["__hit"]: r["count"] for r in hit}[True] >= 1500
+
+
 def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words entirely here now"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.class_id or -1, r.class_size) for r in neardup.classes(docs).collect())
@@ -210,8 +245,7 @@ def test_signature_estimates_probability_jaccard():
     rows = np.repeat([0, 1], 240)
     s = neardup.signatures(rows, np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), 2, m=2048)
     x, y = ((np.sort(k).astype(np.uint32), c[np.argsort(k)]) for k, c in (a, b))
-    _, i, j = np.intersect1d(x[0], y[0], return_indices=True)
-    exact = neardup.probability_jaccard(x, y, i, j)
+    exact = neardup.probability_jaccard(x, y)
     plain = {int(k): int(c) for k, c in zip(*a, strict=True)}, {int(k): int(c) for k, c in zip(*b, strict=True)}
     both = set(plain[0]) & set(plain[1])
     slow = sum(1 / sum(max(plain[0].get(e, 0) / plain[0][d], plain[1].get(e, 0) / plain[1][d]) for e in set(plain[0]) | set(plain[1])) for d in both)
