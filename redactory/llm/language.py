@@ -1,20 +1,25 @@
 """Language identification by nearest clustered centroids.
 
 A text is the vector of its letters' byte trigrams, words set apart by one space (hashed to 2^BITS dimensions), weighted by log term frequency and inverse
-document frequency and scaled to length 1. Training takes a bounded sample of labelled documents (``per_label`` of each
-language, a parameter), clusters each language's vectors into ``clusters`` centroids by spherical k-means on the driver,
-and keeps for each language the distance, as -log of the cosine, beyond which a text is rejected: ``slack`` times that at
-the ``quantile`` of its training texts' cosines, of those long enough to tell; so the cut never falls to cosine 0. Prediction is one pass over all texts without a shuffle.
+document frequency and scaled to length 1. Document frequencies are counted over all texts that may be learned from. From a bounded sample of them
+(``per_label`` of each language, a parameter) each language's vectors are clustered into ``clusters`` centroids by spherical k-means, one language a task.
+The cut beyond which a text is rejected comes from all learnable texts again: the ``quantile`` of their cosines to the nearest centroid, by language,
+from a histogram of ``BINS`` bins; the distance, -log of the cosine, may be ``slack`` times that, so the cut never falls to cosine 0. Texts of fewer than
+``short`` trigrams are neither in the histogram nor rejected by distance: theirs tells nothing. Prediction is one pass over all texts without a shuffle.
+
+The driver holds the model alone: 2^BITS frequencies, and for each language its centroids and cut, about 100 KB; more than LANGUAGES different languages
+are an error, not a smaller model.
 
 Defined results: null or letterless text: ``und``, score 0, rejected; text of a single letter has a zero vector and
 falls to the first language with score 0; ties go to the first language in order; no labelled rows: all texts are
-``und``; repeated rows get equal results; other columns are ignored.
+``und``; a language without texts of ``short`` trigrams rejects none by distance; repeated rows get equal results, and however often an id
+is repeated no more than about ``per_label`` of its rows are sampled; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learn import letters, remainder, sample, trigrams
+from .learn import histogram, letters, remainder, sample, sampled_rows, trigrams
 from .session import arrow_rows
 from .words import buffers, slices
 
 BITS, PER_LABEL, CLUSTERS = 13, 512, 3
 #: Texts of fewer trigrams than this are too short for their distance to tell anything; they are not rejected by it.
 SHORT = 64
+QUANTILE, SLACK, BINS = 0.01, 1.5, 2000
+LANGUAGES = 1000
 LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -42,6 +49,7 @@ class Model:
     owner: np.ndarray
     #: smallest cosine that a text of each language may have
     least: np.ndarray
+    short: int = SHORT
 
 
 def counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,39 +62,72 @@ def counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, count[at]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, clusters: int = CLUSTERS, quantile: float = 0.01, slack: float = 1.5) -> Model:
-    """labels: (doc_id, lang) rows that may be learned from. Gathers per_label sparse vectors a language, each of at most 2^BITS entries."""
+def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Texts, and how many hold each trigram, over all of them; 2^BITS + 1 sums come to the driver."""
 
-    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + (1 << BITS), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                for at, _ in counts(part.column("text")):
+                    total[at] += 1
+                total[-1] += part.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    total = np.zeros(1 + (1 << BITS), np.int64)
+    for row in texts.mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        total[row["at"]] = row["n"]
+    return int(total[-1]), total[:-1]
+
+
+def train(labels: DataFrame, per_label: int = PER_LABEL, clusters: int = CLUSTERS, quantile: float = QUANTILE, slack: float = SLACK, short: int = SHORT) -> Model:
+    """labels: rows (doc_id, text, lang) that may be learned from, all with a language."""
+    arrow_rows(labels.sparkSession)
+    n, held = _frequencies(labels.select("text"))
+    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + 1
+
+    def cluster(table: pa.Table) -> pa.Table:
+        found = list(counts(table.column("text").combine_chunks()))
+        x = np.zeros((len(found), 1 << BITS), np.float32)
+        for row, (at, count) in zip(x, found, strict=True):
+            row[at] = (1 + np.log(count)) * idf[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = x[np.lexsort((x.argmax(1), x.sum(1)))]  # an order that does not hang on how rows arrive
+        centers = _kmeans(x, min(clusters, len(x)))
+        return pa.table([pa.array([table.column("lang")[0].as_py()] * len(centers)), pa.array([c.astype("<f4").tobytes() for c in centers], pa.binary())], ["lang", "center"])
+
+    rows = sampled_rows(labels, sample(labels, "lang", per_label), ["doc_id", "lang"], "lang", per_label)
+    made = rows.groupBy("lang").applyInArrow(cluster, "lang string, center binary").limit(clusters * LANGUAGES + 1).collect()
+    if len({r["lang"] for r in made}) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn: is the language column one?")
+    made.sort(key=lambda r: (r["lang"], r["center"]))
+    languages = sorted({r["lang"] for r in made})
+    centroids = np.stack([np.frombuffer(r["center"], "<f4") for r in made]) if made else np.zeros((0, 1 << BITS), np.float32)
+    owner = np.array([languages.index(r["lang"]) for r in made], np.int64)
+    model = Model(languages, idf, np.ascontiguousarray((centroids * idf).T), owner, np.zeros(len(languages)), short)
+    return replace(model, least=_cuts(labels, model, quantile) ** slack) if languages else model
+
+
+def _cuts(labels: DataFrame, model: Model, quantile: float) -> np.ndarray:
+    """Of each language the quantile of its learnable texts' cosines, over those that are nearest to it; LANGUAGES x BINS sums at most come to the driver."""
+    held = labels.sparkSession.sparkContext.broadcast(model)
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = list(counts(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(c, 2**31 - 1).astype(np.int32).tobytes() for _, c in found], pa.binary())], ["lang", "at", "n"])
-
-    chosen = F.broadcast(sample(labels, "lang", per_label).select("doc_id", F.col("lang").alias("lang_label")))  # at most per_label rows a language
-    rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").where("lang = lang_label").select("text", "lang").mapInArrow(vectors, "lang string, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
-    languages = sorted({r["lang"] for r in rows})
-    dims = 1 << BITS
-    x = np.zeros((len(rows), dims), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r["at"], np.int32)] = 1 + np.log(np.frombuffer(r["n"], np.int32))
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    named = np.array([languages.index(r["lang"]) for r in rows], np.int64)
-    told = np.array([np.frombuffer(r["n"], np.int32).sum() for r in rows], np.int64) >= SHORT
-    made, owner, least = [], [], []
-    for k in range(len(languages)):
-        own = x[named == k]
-        centers = _kmeans(own, min(clusters, len(own)))
-        near = (own @ centers.T).max(1)
-        made.append(centers)
-        owner += [k] * len(centers)
-        long = told[named == k]
-        least.append(float(np.quantile(near[long] if long.any() else near, quantile)) ** slack)
-    centroids = np.concatenate(made) if made else np.zeros((0, dims), np.float32)
-    return Model(languages, idf, np.ascontiguousarray((centroids * idf).T), np.array(owner, np.int64), np.array(least))
+                best, cosine, size = scores(part.column("text"), held.value)
+                named = np.array(held.value.languages, object)[best]
+                own = (size >= held.value.short) & (named == np.array(part.column("lang").to_pylist(), object))
+                yield pa.RecordBatch.from_arrays([pa.array(best[own]), pa.array(cosine[own])], ["language", "cosine"])
+
+    rows = histogram(labels.select("text", "lang").mapInArrow(near, "language long, cosine double"), ["language"], F.col("cosine"), 0.0, 1.0, BINS).collect()
+    total = np.zeros((len(model.languages), BINS), np.int64)
+    for r in rows:
+        total[r["language"], r["bin"]] = r["n"]
+    upto = total.cumsum(1)
+    # The lower end of the first bin that the quantile does not leave out.
+    return np.where(upto[:, -1] > 0, (upto <= quantile * upto[:, -1:]).sum(1) / BINS, 0.0)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -121,7 +162,7 @@ def _predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     if not model.languages:
         return np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
     best, cosine, size = scores(texts, model)
-    named, far = np.array(model.languages, object)[best], (cosine < model.least[best]) & (size >= SHORT)
+    named, far = np.array(model.languages, object)[best], (cosine < model.least[best]) & (size >= model.short)
     return np.where(lettered, named, "und"), np.where(lettered, np.clip(cosine, 0, 1), 0.0), ~lettered | far
 
 
@@ -152,11 +193,16 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of docs that a model of its own labelled rows does not reject."""
+    return kept(docs, train(labelled(docs)))
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """The rows that may be learned from: a language, and a crc32 remainder by 4 other than 2."""
-    return docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "lang")
+    return docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "text", "lang")
 
 
 def fitted(docs: DataFrame) -> DataFrame:
     """Trains on the labelled rows of docs and predicts every row."""
-    return identify(docs, train(docs, labelled(docs))).withColumn("held_out", remainder("doc_id", 4) == 2)
+    return identify(docs, train(labelled(docs))).withColumn("held_out", remainder("doc_id", 4) == 2)

@@ -15,15 +15,28 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def _smallest(rows: DataFrame, label: str, columns: list[str], hashed: list[str], per_label: int) -> DataFrame:
+    """Of each label about per_label rows, those of the smallest hashes. Each label is split by hash in SALTS parts that are ranked apart, so a label that most rows have is no hot group."""
+    order = W.partitionBy(label, "__salt").orderBy("__h", *hashed)
+    ranked = rows.withColumn("__h", F.xxhash64(*hashed, F.lit(7))).withColumn("__salt", F.pmod("__h", F.lit(SALTS)))
+    return ranked.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= -(-per_label // SALTS)).select(*columns)
+
+
 def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """About per_label rows of each label (doc_id, label), those of the smallest hashes: a bounded sample of all rows.
-
-    Each label is split by hash in SALTS parts that are ranked apart, so a label that most rows have is no hot group.
-    """
-    h = F.xxhash64(F.col("doc_id"), F.lit(7))
-    order = W.partitionBy(label, "salt").orderBy("h", "doc_id")
-    ranked = rows.select("doc_id", label).withColumn("h", h).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    return ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-per_label // SALTS)).select("doc_id", label)
+    """About per_label ids of each label (doc_id, label), those of the smallest hashes: a bounded sample of all rows, each id and label once."""
+    return _smallest(rows.select("doc_id", label).distinct(), label, ["doc_id", label], ["doc_id"], per_label)
+
+
+def sampled_rows(docs: DataFrame, chosen: DataFrame, on: list[str], label: str, per_label: int) -> DataFrame:
+    """text and label of the rows of docs that a sample (at most about per_label ids a label, broadcast) names, again at most about per_label a label: an id may stand on any number of rows."""
+    rows = docs.join(F.broadcast(chosen), on).select("text", label)
+    return _smallest(rows, label, ["text", label], ["text"], per_label)
+
+
+def histogram(rows: DataFrame, by: list[str], value: Column, low: float, high: float, bins: int) -> DataFrame:
+    """Rows (by, bin, n) of a value in equal bins from low to high."""
+    bin = F.least(F.greatest(F.floor((value - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return rows.groupBy(*by, bin.alias("bin")).agg(F.count("*").alias("n"))
 
 
 #: ASCII letters in lower case, white space as a space, bytes of other characters as they are; 0 drops digits and symbols.

@@ -3,32 +3,34 @@
 Documents are strengths w.x of features of their whole text; the chance that one is preferred over another is the
 logistic function of the difference of their strengths. Preference pairs, a document of label 1 over one of label 0,
 fit w by logistic loss on feature differences (Newton's method with a ridge). Training takes a bounded sample
-(``per_label`` documents of each label and ``pairs`` pairs, both parameters); the threshold is the quantile of the
-training strengths at the share of label 0 among all labelled rows, and scores are scaled so that it falls on ``cut``.
+(``per_label`` documents of each label and ``pairs`` pairs, both parameters). One pass over all texts then gives their
+strengths; the threshold is the quantile of the strengths of all rows that may be learned from at the share of label 0
+among them, from a histogram of ``BINS`` bins, and scores are scaled so that it falls on ``cut``.
 
 Features are counts of bytes by class, of words by shape, of distinct words and of repeated lines and windows, from one
 pass over all texts without a shuffle. Defined results: a null or empty text has the features of no words and is scored
 like any other; without labels of both kinds every score is 0.5; repeated rows get equal scores; repeated label rows
-weigh once; other columns are ignored.
+weigh once, and however often an id is repeated no more than about ``per_label`` of its rows are sampled; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learn import remainder, sample
+from .learn import histogram, remainder, sample, sampled_rows
 from .rules import base_counts
-from .session import arrow_rows
+from .session import Scratch, arrow_rows
 from .words import Words, mix, slices, sums
 
-PER_LABEL, PAIRS, CUT = 2048, 16_384, 0.3
-SCHEMA = "doc_id long, score double"
+PER_LABEL, PAIRS, CUT, BINS = 2048, 16_384, 0.3, 4096
+SCHEMA = "doc_id long, strength double"
 #: Byte classes: each ASCII symbol for itself, then digits, capitals, small letters, line ends, other white space, other bytes.
 _SYMBOLS = [k for k in range(33, 127) if not chr(k).isalnum()]
 _CLASS = np.full(256, len(_SYMBOLS) + 5, np.int64)
@@ -73,9 +75,13 @@ class Model:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.slope * (self.strength(x) - self.threshold) + np.log(self.cut / (1 - self.cut))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def most(self) -> float:
+        """No strength lies farther from 0."""
+        return 6 * float(np.abs(self.weights).sum()) + 1e-9
+
+    def score(self, strength: Column) -> Column:
+        z = self.slope * (strength - self.threshold) + float(np.log(self.cut / (1 - self.cut)))
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -90,59 +96,68 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.
     return w
 
 
-def fit(x: np.ndarray, label: np.ndarray, share_of_0: float, pairs: int = PAIRS, cut: float = CUT) -> Model:
+def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, cut: float = CUT) -> Model:
+    """Weights from preference pairs of sampled rows, and how steep scores rise; the threshold is set later, over all rows."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.clip((x - mean) / scale, -6, 6)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     choose = np.random.default_rng(0)
     d = z[choose.choice(good, pairs)] - z[choose.choice(bad, pairs)]
-    w = _newton(d, np.ones(pairs), ridge=pairs / 2000)
-    model = Model(mean, scale, w, 0.0, 1.0, cut)
+    model = Model(mean, scale, _newton(d, np.ones(pairs), ridge=pairs / 2000), 0.0, 1.0, cut)
     s = model.strength(x)
-    mass = np.where(label == 1, (1 - share_of_0) / len(good), share_of_0 / len(bad))
-    order = np.argsort(s, kind="stable")
-    k = int(np.searchsorted(np.cumsum(mass[order]), share_of_0))
-    model.threshold = float(s[order[min(k, len(s) - 1)]])
-    model.slope = float(np.clip(_newton(np.column_stack([s - model.threshold, np.ones(len(s))]), label, 1e-3)[0], 0.05, 20))
-    return model
+    slope = float(np.clip(_newton(np.column_stack([s - s.mean(), np.ones(len(s))]), label, 1e-3)[0], 0.05, 20))
+    return replace(model, slope=slope)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, pairs: int = PAIRS, cut: float = CUT) -> Model | None:
-    """labels: (doc_id, quality) rows that may be learned from."""
-    labels = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
-    if len(counts) < 2:
-        return None
+    """labels: (doc_id, quality) rows that may be learned from, each once. The sample's features come to the driver: 2 x per_label rows of them."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "x"])
 
-    chosen = F.broadcast(sample(labels, "quality", per_label))  # at most per_label rows a label
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x binary").collect()
+    chosen = sample(labels, "quality", per_label)
+    rows = sampled_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen, ["doc_id"], "quality", per_label)
+    rows = rows.select("quality", "text").mapInArrow(measure, "quality int, x binary").collect()
     rows.sort()
     if len({r["quality"] for r in rows}) < 2:
         return None
-    return fit(np.stack([np.frombuffer(r["x"]) for r in rows]), np.array([r["quality"] for r in rows]), counts[0] / (counts[0] + counts[1]), pairs, cut)
+    return fit(np.stack([np.frombuffer(r["x"]) for r in rows]), np.array([r["quality"] for r in rows]), pairs, cut)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score of every text."""
-    arrow_rows(docs.sparkSession)
+def strengths(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and strength of every text."""
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                got = model.score(features(part.column("text"))) if model else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(got)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(model.strength(features(part.column("text"))))], ["doc_id", "strength"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, SCHEMA)
 
 
+def with_threshold(model: Model, told: DataFrame, labels: DataFrame) -> Model:
+    """The model with its threshold: the quantile of the strengths of all labelled rows at the share of label 0 among them."""
+    rows = told.join(labels, "doc_id").select("quality", "strength")
+    total = np.zeros((2, BINS), np.int64)
+    for r in histogram(rows, ["quality"], F.col("strength"), -model.most(), model.most(), BINS).collect():
+        total[r["quality"], r["bin"]] = r["n"]
+    upto = total.sum(0).cumsum()
+    under = int((upto <= total[0].sum()).sum())  # bins that lie under the quantile as a whole
+    return replace(model, threshold=model.most() * (2 * under / BINS - 1))
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains on labels whose crc32 remainder by 5 is not 0 and scores every row."""
     arrow_rows(docs.sparkSession)
-    model = train(docs, labels.where(remainder("doc_id", 5) != 0))
-    return score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+    labels = labels.where((remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    model = train(docs, labels)
+    if model is None:
+        told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.5).alias("score"))
+    else:
+        written = Scratch(docs.sparkSession, "preference").write(strengths(docs, model), "strengths")
+        told = written.select("doc_id", with_threshold(model, written, labels).score(F.col("strength")).alias("score"))
+    return told.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))

@@ -1,6 +1,7 @@
 """Brute-force versions of the operators, over Python lists."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -69,3 +70,67 @@ def top_k(vectors, queries, k=5):
         scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in vectors if i != q and len(y) == len(x))
         out[q] = [(i, -s) for s, i in scored[:k]]
     return out
+
+
+def trigram_codes(text, bits):
+    """Codes of the byte trigrams of a text's letters, words set apart by one space."""
+    folded = bytearray()
+    raw = (text or "").encode()
+    for k, x in enumerate(raw):
+        if 65 <= x <= 90 or 97 <= x <= 122:
+            folded.append(x | 32)
+        elif x >= 128:
+            folded.append(x + 32 if k and raw[k - 1] == 0xC3 and 0x80 <= x <= 0x9E and x != 0x97 else x)
+        elif x in (9, 10, 11, 12, 13, 32):
+            folded.append(32)
+    told = re.sub(rb" +", b" ", bytes(folded))
+    told = b" " + told
+    out = []
+    for k in range(len(told) - 2):
+        code = (told[k] * 0x9E3779B1 + told[k + 1] * 0x85EBCA6B + told[k + 2] * 0xC2B2AE35) & 0xFFFFFFFF
+        code ^= code >> 15
+        out.append(((code * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def nearest(codes, idf, centroids, owner):
+    """Language number, cosine and number of trigrams, one centroid after another."""
+    tf = {c: (1 + math.log(n)) for c, n in Counter(codes).items()}
+    if not tf:
+        return 0, 0.0, 0
+    norm = math.sqrt(sum((w * float(idf[c])) ** 2 for c, w in tf.items()))
+    best, found = -2.0, 0
+    for j in range(centroids.shape[1]):
+        cosine = sum(w * float(centroids[c, j]) for c, w in tf.items()) / norm
+        if cosine > best + 1e-6:
+            best, found = cosine, j
+    return int(owner[found]), best, len(codes)
+
+
+def quality_features(text, symbols):
+    raw = text.encode()
+    classes = len(symbols) + 6
+
+    def kind(x):
+        if x in symbols:
+            return symbols.index(x)
+        return len(symbols) + (0 if 48 <= x <= 57 else 1 if 65 <= x <= 90 else 2 if 97 <= x <= 122 else 3 if x == 10 else 4 if x in (9, 11, 12, 13, 32) else 5)
+
+    share = [0] * classes
+    for x in raw:
+        share[kind(x)] += 1
+    w = [x.encode() for x in words(text)]
+    n = max(len(w), 1)
+    kinds = [[kind(x) for x in word] for word in w]
+    small = [sum(k in (len(symbols) + 2, len(symbols) + 5) for k in ks) for ks in kinds]
+    caps = [sum(k == len(symbols) + 1 for k in ks) for ks in kinds]
+    marks = [sum(k < len(symbols) for k in ks) for ks in kinds]
+    shapes = [
+        [len(x) == 1 for x in w], [len(x) > 14 for x in w], [s == 0 for s in small], [c > 0 and s == 0 for c, s in zip(caps, small, strict=True)],
+        [c > 0 and s > 0 for c, s in zip(caps, small, strict=True)], [m == len(x) for m, x in zip(marks, w, strict=True)], [m > 1 for m in marks],
+        [ks[0] == len(symbols) + 1 for ks in kinds], [ks[-1] < len(symbols) for ks in kinds],
+    ]
+    base = base_counts(text)
+    lines = raw.count(b"\n")
+    more = [math.log1p(len(w)), math.log1p(len(raw)), sum(map(len, w)) / n, len(set(w)) / n, base[4] / n, base[3] / (lines + 1), lines / n]
+    return [*(math.sqrt(x / max(len(raw), 1)) for x in share), *(sum(x) / n for x in shapes), *more]
