@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .session import arrow_rows
@@ -27,8 +29,10 @@ from .words import Words, covered, mix, slices, sums
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokeniser pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Texts longer than this are tokenised in pieces of so many characters, which bounds the tokeniser's memory.
+#: Texts are tokenised in pieces of about so many characters, which bounds the tokeniser's memory. Pieces end where the pattern
+#: ends a token in any case, before a single space between a visible character and a letter, so they change no token.
 PIECE = 200_000
+_CUT = regex.compile(r"(?<=\S) (?=\p{L})")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
 
@@ -66,6 +70,8 @@ SCRIPTS: dict[str, tuple[tuple[int, int], Band]] = {
 def _encoding(path: str):
     import tiktoken
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{path}: the vocabulary must lie under this path on every executor")
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     part = np.zeros(max(ranks.values()) + 1, bool)
@@ -77,17 +83,23 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), part
 
 
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about size characters that have the tokens that it has as a whole."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + size) if at + size < len(text) else None
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def fertility(text: str, path: str) -> tuple[int, float, float, float]:
     """Tokens, characters per token, byte-fallback share and entropy in bits."""
     if not text:
         return 0, 0.0, 0.0, 0.0
     encoding, part = _encoding(path)
-    if len(text) <= PIECE:
-        listed = encoding.encode_ordinary(text)
-    else:
-        listed = [x for k in range(0, len(text), PIECE) for x in encoding.encode_ordinary(text[k : k + PIECE])]
-    n = len(listed)
-    ids = np.fromiter(listed, np.int32, n)
+    ids = np.concatenate([np.array(encoding.encode_ordinary(x), np.int32) for x in pieces(text)])
+    n = len(ids)
     ids.sort()
     share = np.diff(np.flatnonzero(np.diff(ids, prepend=-1, append=-1))) / n
     return n, len(text) / n, float(part[ids].mean()), float(-(share * np.log2(share)).sum())
