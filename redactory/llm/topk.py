@@ -1,19 +1,26 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Candidates are dealt to shards by a hash of their id. A shard's task builds a KD-tree (median splits on the widest side,
-tight bounding boxes) and answers each query best-first: nodes are visited by the largest inner product their box
-allows, until that falls under the kth score. First each query searches its own shard; the kth score found there goes
-with it to the other shards, where it cuts the traversal from the start. Queries against shards are met in blocks: a
-task holds ``shard_rows`` candidates and ``block_rows`` queries at most, whatever the size of the tables.
+A KD-tree of median splits, fitted on a bounded sample of the candidates, deals them to cells; every cell's tight bounding
+box is taken from all its candidates. A large cell is dealt on to shards of ``shard_rows`` rows at most. A shard's task builds
+a KD-tree (median splits on the widest side, tight boxes) and answers each query best-first: nodes are visited by the largest
+inner product their box allows, until that falls under the kth score. Queries visit cells in ROUNDS, best bound first: one
+cell, then a few, then whatever is left; the kth score of the rounds before goes with them, and a cell whose box
+allows less is never sent the query. The cells' boxes are all that tasks hold beside (CELLS boxes a vector length).
+A task meets one shard and ``block_rows`` queries at most, whatever the size of the tables.
+
+Boxes cut little in many dimensions, where every exact search comes near to all pairs; then the rounds still bound each task.
 
 Defined results: vectors that are null, or hold a null or non-finite component, or have a null id take no part; vectors
-meet those of their own length; a row never answers a query of its own id; repeated candidate rows are each returned,
+meet those of their own length (lengths beyond the LENGTHS most frequent of the sample have one cell each, without a box); a row never answers a query of its own id; repeated candidate rows are each returned,
 a repeated query once; ties go to the smaller id; fewer candidates than k give them all; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import written
+from .session import Scratch, arrow_rows
 
 LEAF, K = 128, 5
+SAMPLE, CELLS, LENGTHS, SHARD_ROWS = 2048, 256, 8, 65_536
+#: How many cells a query has visited, best bound first, after each round.
+ROUNDS = (1, 8, CELLS)
 FOUND = "query_key long, query_id long, vec_id long, score long"
 _FOUND = pa.schema([("query_key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -113,37 +123,166 @@ def _answer(k: int):
     return answer
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int | None = None, block_rows: int = 16_384) -> DataFrame:
+@dataclass
+class Cells:
+    """Median splits by vector length, as a complete binary tree of (component, threshold), and the cells' boxes."""
+
+    splits: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    boxes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    @classmethod
+    def fitted(cls, sample: list[list[int]], cells: int) -> Cells:
+        out = cls()
+        sizes = Counter(map(len, sample))
+        for dim, n in sorted(sizes.items(), key=lambda s: (-s[1], s[0]))[:LENGTHS]:
+            rows = np.array([v for v in sample if len(v) == dim])
+            depth = max(0, int(np.log2(max(1, min(cells, n // 8)))))
+            part, value = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1, np.int64)
+            held = {0: rows}
+            for node in range(len(part)):
+                own = held.pop(node)
+                part[node] = np.argmax(own.max(0) - own.min(0)) if len(own) else 0
+                value[node] = np.sort(own[:, part[node]])[(len(own) - 1) // 2] if len(own) else 0
+                left = own[:, part[node]] <= value[node]
+                held[2 * node + 1], held[2 * node + 2] = own[left], own[~left]
+            out.splits[dim] = part, value
+        return out
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector; -1 for lengths without splits."""
+        dim = vectors.shape[1]
+        if dim not in self.splits:
+            return np.full(len(vectors), -1)
+        part, value = self.splits[dim]
+        node = np.zeros(len(vectors), np.int64)
+        for _ in range((len(part) + 1).bit_length() - 1):
+            node = 2 * node + 1 + (vectors[np.arange(len(vectors)), part[node]] > value[node])
+        return node - len(part)
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The largest inner product of each query with a point of each cell's box; nothing for empty cells."""
+        low, high = self.boxes[queries.shape[1]]
+        most = np.maximum(queries, 0).astype(np.float64) @ high.T + np.minimum(queries, 0).astype(np.float64) @ low.T
+        # Sums of doubles may fall short of an integer score by rounding, so bounds are taken a little larger.
+        return np.where(np.isnan(most), -np.inf, most + np.abs(most) * 1e-9 + 1)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+        yield int(dim), part, np.asarray(part.column("v").flatten()).reshape(part.num_rows, -1)
+
+
+def _celled(cells: Cells):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part, v in _by_length(batch):
+                yield part.append_column("cell", pa.array(cells.of(v).astype(np.int32)))
+
+    return run
+
+
+def _boxes(points: DataFrame, cells: Cells) -> None:
+    """Fills in the boxes of all cells; LENGTHS x CELLS x 2 vectors come to the driver from each wave of merging."""
+
+    def merged(groups: dict, dim: int, cell: int, low: np.ndarray, high: np.ndarray) -> None:
+        had = groups.get((dim, cell))
+        groups[dim, cell] = (low, high) if had is None else (np.minimum(had[0], low), np.maximum(had[1], high))
+
+    def pack(groups: dict) -> pa.RecordBatch:
+        columns = [pa.array([d for d, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([b[i].tolist() for b in groups.values()], pa.list_(pa.int64())) for i in (0, 1))], ["dim", "cell", "low", "high"])
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        for batch in batches:
+            for dim, part, v in _by_length(batch):
+                at = part.column("cell").to_numpy()
+                for cell in np.unique(at[at >= 0]):
+                    own = v[at == cell]
+                    merged(groups, dim, int(cell), own.min(0), own.max(0))
+        yield pack(groups)
+
+    def final(table: pa.Table) -> pa.Table:
+        groups: dict = {}
+        for r in table.to_pylist():
+            merged(groups, r["dim"], r["cell"], np.array(r["low"]), np.array(r["high"]))
+        return pa.Table.from_batches([pack(groups)])
+
+    schema = "dim int, cell int, low array<long>, high array<long>"
+    for r in points.mapInArrow(partial, schema).groupBy("dim", "cell").applyInArrow(final, schema).toLocalIterator():
+        count = len(cells.splits[r["dim"]][0]) + 1
+        low, high = cells.boxes.setdefault(r["dim"], (np.full((count, r["dim"]), np.nan), np.full((count, r["dim"]), np.nan)))
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+
+
+ASKED = "query_key long, query_id long, v array<long>, dim int, kth double"
+
+
+def _visits(cells: Cells, begin: int, end: int):
+    """Of each query the cells that come begin-th to end-th by their bounds, if a point there can still reach the kth score."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part, v in _by_length(batch):
+                if dim not in cells.boxes:
+                    if not begin:
+                        yield part.append_column("cell", pa.array(np.full(part.num_rows, -1, np.int32)))
+                    continue
+                most = cells.bounds(v)
+                order = np.argsort(-most, axis=1, kind="stable")[:, begin:end]
+                bound = np.take_along_axis(most, order, 1)
+                row, place = np.nonzero((bound > -np.inf) & (bound >= part.column("kth").to_numpy()[:, None]))
+                yield part.take(pa.array(row)).append_column("cell", pa.array(order[row, place].astype(np.int32)))
+
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int | None = None, block_rows: int = 16_384, cells: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
+    spark, shard_rows = vectors.sparkSession, shard_rows or SHARD_ROWS
+    arrow_rows(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(whole).select(F.col("vec_id").cast("long"), scaled.alias("v"))
-
-    points, asked = clean(vectors), clean(queries).dropDuplicates()
-    n = vectors.count()
-    shard_rows = shard_rows or min(131_072, max(8_192, n // 256))
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-queries.count() // block_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    points = points.withColumn("shard", shard).withColumn("dim", F.size("v"))
-    asked = asked.select(F.xxhash64("vec_id", "v").alias("query_key"), F.col("vec_id").alias("query_id"), "v", shard.alias("home"), F.size("v").alias("dim"))
-    asked = written(asked.withColumn("block", F.pmod("query_key", F.lit(blocks)).cast("int")), "topk-queries")
-
-    def met(points: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
-        return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_answer(k), FOUND)
-
-    home = met(points, asked.select("query_key", "query_id", "v", "dim", F.col("home").alias("shard"), F.lit(float("-inf")).alias("kth")), "shard", "dim")
-    home = written(home, "topk-home")
-    if shards > 1:
-        known = home.groupBy("query_key").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("kth"))
-        away = asked.join(known, "query_key", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home")
-        away = away.select("query_key", "query_id", "v", "dim", "shard", "block", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-        spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        home = home.unionByName(met(spread, away, "shard", "block", "dim"))
+        df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(whole)
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).withColumn("dim", F.size("v"))
+
+    points, scratch = clean(vectors), Scratch(spark, "topk")
+    sample = [r["v"] for r in points.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).collect()]
+    plan = Cells.fitted(sample, min(CELLS, cells or CELLS))
+    points = scratch.write(points.mapInArrow(_celled(plan), "vec_id long, v array<long>, dim int, cell int"), "points")
+    _boxes(points, plan)
+
+    # At most LENGTHS x CELLS rows; lengths without cells share one row's number of shards.
+    sizes = points.groupBy(F.when(F.col("cell") >= 0, F.col("dim")).alias("dim"), "cell").agg(F.count("*").alias("n")).collect()
+    pieces = {(r["dim"], r["cell"]): -(-r["n"] // shard_rows) for r in sizes}
+    asked = clean(queries).dropDuplicates().select(F.xxhash64("vec_id", "v").alias("query_key"), F.col("vec_id").alias("query_id"), "v", "dim", F.lit(float("-inf")).alias("kth"))
+    asked = scratch.write(asked, "queries")
     order = W.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    return home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = None
+    for begin, end in zip((0, *ROUNDS), ROUNDS, strict=False):
+        now = asked
+        if found is not None:
+            known = found.groupBy("query_key").agg(F.count("*").alias("had"), F.min("score").cast("double").alias("least")).where(F.col("had") >= k)
+            now = asked.drop("kth").join(known, "query_key", "left").select("query_key", "query_id", "v", "dim", F.coalesce("least", F.lit(float("-inf"))).alias("kth"))
+        visits = scratch.write(now.mapInArrow(_visits(plan, begin, end), f"{ASKED}, cell int"), "visits")
+        wanted = visits.groupBy(F.when(F.col("cell") >= 0, F.col("dim")).alias("dim"), "cell").agg(F.count("*").alias("n")).collect()
+        rows = [(r["dim"], r["cell"], pieces.get((r["dim"], r["cell"]), 0), -(-r["n"] // block_rows)) for r in wanted]
+        deal = spark.createDataFrame(rows, "of int, at int, pieces int, blocks int")
+        near = lambda df: df.join(F.broadcast(deal), (F.col("cell") == F.col("at")) & ((F.col("cell") < 0) | (F.col("dim") == F.col("of")))).where("pieces > 0")  # noqa: B023, E731
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = near(points).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).withColumn("block", upto("blocks"))
+        right = near(visits).withColumn("block", F.pmod("query_key", F.col("blocks")).cast("int")).withColumn("piece", upto("pieces"))
+        keys = ("dim", "cell", "piece", "block")
+        got = left.select("vec_id", "v", *keys).groupBy(*keys).cogroup(right.select("query_key", "query_id", "v", "kth", *keys).groupBy(*keys)).applyInArrow(_answer(k), FOUND)
+        got = got if found is None else found.unionByName(got)
+        found = scratch.write(got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "found")
+    out = Scratch(spark, "topk-found").write(found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score"), "found")
+    scratch.close()
+    return out
 
 
 SQL = """
