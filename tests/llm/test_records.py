@@ -133,6 +133,14 @@ def test_archives(spark, tmp_path):
     (tmp_path / "arc" / "part-stray.warc").write_bytes(b"not committed")
     assert read().count() == len(rows)
 
+    # Archives are cut at marks, also where a payload looks like records, and two commits are both seen.
+    (marked := tmp_path / "marked").mkdir()
+    register = lambda: warc.archive_pages(pages).coalesce(1).write.format("warc").mode("append").option("mark_bytes", "600").option("packed", "false").save(str(marked))
+    register()
+    register()
+    cut = spark.read.format("warc").option("partition_bytes", "700").load(str(marked))
+    assert cut.rdd.getNumPartitions() > 4 and cut.count() == 2 * len(rows) and sorted(r[0] for r in cut.select("record_id").collect())[::2] == sorted(r[0] for r in read().select("record_id").collect())
+
     # Archives of others: packed by record, folded headers, plain blocks.
     block = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nX-Note: a\r\n b\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     (tmp_path / "own.warc.gz").write_bytes(gzip.compress(block) + gzip.compress(block.replace(b"resource", b"metadata")))
@@ -143,7 +151,7 @@ def test_archives(spark, tmp_path):
 def test_unwanted_payloads_are_not_read():
     """The reader seeks past blocks whose headers fail the pushed predicates."""
     body = b"x" * 1_000_000
-    row = {"type": "response", "record_id": "r", "target_uri": None, "refers_to": None, "payload_digest": "d", "payload_length": len(body), "payload": body}
+    row = {"type": "response", "record_id": "r", "target_uri": None, "refers_to": None, "payload_digest": "d", "payload": body}
     raw = b"".join(warc.record(row | {"record_id": f"r{k}"}, "2000-01-01T00:00:00Z", packed=False) for k in range(20))
 
     class Counted(io.BytesIO):
