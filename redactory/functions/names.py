@@ -1,12 +1,13 @@
 """Personal names for the light name detector, and the place of a recogniser for the full one.
 
-The list is built of common given names and surnames in public knowledge; it is small, so the light detector finds
-fewer names than one with a large list. ``set_recogniser`` plugs in a named-entity model: text in, spans out.
+The list built in holds common given names and surnames in public knowledge; it is small. ``sources.files.read_names``
+reads larger ones (census tables and the like) for a policy's ``names``. A named-entity model plugs in as a policy's
+``recogniser``, batches of texts in, spans out, or for one process by ``set_recogniser``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 # Titles and suffixes of names.
 SUFFIXES = ("Jr.", "Sr.", "II", "III", "IV")
@@ -26,16 +27,33 @@ STOPWORDS = frozenset("the a an and or of in on at to for by with from new north
 _recogniser: Callable[[str], Iterable[tuple[int, int]]] | None = None
 
 
-def known(word: str) -> bool:
-    return word in GIVEN or word in SURNAMES
+def known(word: str, more: frozenset[str] = frozenset()) -> bool:
+    return word in GIVEN or word in SURNAMES or word in more
 
 
 def set_recogniser(find: Callable[[str], Iterable[tuple[int, int]]] | None) -> None:
+    """A recogniser for this process, one text a call; a policy's recogniser goes before it and reaches all executors."""
     global _recogniser
     _recogniser = find
 
 
+class Recognised:
+    """What a policy's recogniser found in the texts of the batch at hand: asked once a batch, looked up text by text."""
+
+    def __init__(self) -> None:
+        self.spans: dict[str, list[tuple[int, int]]] = {}
+
+    def ask(self, recogniser: Callable[[list[str]], Sequence[Iterable[tuple[int, int]]]], texts: Iterable[str | None]) -> None:
+        asked = list(dict.fromkeys(t for t in texts if t))
+        self.spans = {t: [tuple(s) for s in spans] for t, spans in zip(asked, recogniser(asked) if asked else [], strict=True)}
+
+
+BATCH = Recognised()
+
+
 def recogniser() -> Callable[[str], Iterable[tuple[int, int]]]:
+    if BATCH.spans:
+        return lambda text: BATCH.spans.get(text, ())
     if _recogniser is None:
-        raise RuntimeError("person_name needs a named-entity recogniser: call names.set_recogniser first")
+        raise RuntimeError("person_name needs a named-entity recogniser: give the policy one, or call names.set_recogniser")
     return _recogniser

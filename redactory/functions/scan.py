@@ -71,7 +71,7 @@ def aligned(text: str, at: int) -> bool:
     if at <= 0 or at >= len(text) or (text[at - 1] < "\x80" and text[at] < "\x80"):
         return True
     begin = max(0, at - 64)
-    return any(m.end() + begin == at for m in regex.finditer(r"\X", text[begin : at + 8]))
+    return any(m.end() + begin == at for m in regex.finditer(r"\X", text[begin : at + 64]))
 
 
 class Context:
@@ -189,8 +189,8 @@ def _spans(pattern: str, flags: str) -> Callable[[str], Iterator[tuple[int, int,
 class Rule:
     """A compiled detector."""
 
-    def __init__(self, spec: Detector | CustomDetector):
-        self.spec, self.id = spec, spec.id
+    def __init__(self, spec: Detector | CustomDetector, known: frozenset[str] = frozenset()):
+        self.spec, self.id, self.known = spec, spec.id, known
         custom = isinstance(spec, CustomDetector)
         self.entity = spec.entity if custom else spec.id
         self.context = Context(spec.labels, spec.left, spec.right) if not custom and spec.labels else None
@@ -222,6 +222,8 @@ class Rule:
             return False
         if self.id in _FIRST and not _FIRST[self.id](text):
             return False
+        if self.id == "person_name_lite" and not any(names.known(w.lower(), self.known) for w in set(_CAPITALISED.findall(text))):
+            return False
         if self.gate is not None:
             where = lower if self.folded else text
             for g in self.gate:
@@ -370,7 +372,7 @@ class Rule:
             value = value.removesuffix("'s")
             title = re.match(names.TITLE, value)
             words = re.sub(names.SUFFIX, "", value[title.end() :] if title else value).split()
-            known = names.known(words[0].lower()) if len(words) == 1 and title else len(words) > 1 and any(names.known(w.lower()) and w.lower() not in names.STOPWORDS for w in words)
+            known = names.known(words[0].lower(), self.known) if len(words) == 1 and title else len(words) > 1 and any(names.known(w.lower(), self.known) and w.lower() not in names.STOPWORDS for w in words)
             if value and known and not embedded(text, a, a + len(value)):
                 yield a, a + len(value), ("names",)
 
@@ -393,7 +395,6 @@ _FIRST = {
     "crypto_address": _RUN.search,
     "ipv4": re.compile(r"[0-9]\.[0-9]").search,
     "mac_address": lambda text: text.count(":") > 4 or text.count("-") > 4,
-    "person_name_lite": lambda text: any(names.known(w.lower()) for w in set(_CAPITALISED.findall(text))),
 }
 _HR_CODES = _spans("[A-Z0-9]{6,16}", "i")
 
@@ -414,8 +415,8 @@ EMPLOYEE_ID = CustomDetector(
 class Scanner:
     """Detections of some rules in a text, without those in placeholders or on the allowlist."""
 
-    def __init__(self, rules: list[Detector | CustomDetector], allow: frozenset[str] = frozenset()):
-        self.rules, self.allow = [Rule(r) for r in rules], allow
+    def __init__(self, rules: list[Detector | CustomDetector], allow: frozenset[str] = frozenset(), known: frozenset[str] = frozenset()):
+        self.rules, self.allow = [Rule(r, known) for r in rules], allow
 
     def __call__(self, text: str) -> list[Match]:
         lower, numbers = text.lower(), bool(_DIGIT.search(text))

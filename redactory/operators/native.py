@@ -215,12 +215,21 @@ def sql_groups(detections: str, key: str) -> str:
 WINDOW w AS (PARTITION BY {key}, "group")"""
 
 
-def sql_redact(detections: str, table: str, key: str, text: str = "text") -> str:
+def sql_stitched(pieces: str, table: str, key: str, text: str = "text") -> str:
+    """Texts with the groups of ``pieces`` (key, group_start, group_end, r) replaced by r."""
     return f"""
-WITH g AS ({sql_groups(detections, key)}),
-o AS (SELECT {key}, group_start, group_end, CASE WHEN count(DISTINCT rule_id) = 1 THEN '[' || upper(min(rule_id)) || ']' ELSE '[REDACTED]' END AS r FROM g GROUP BY ALL),
+WITH o AS ({pieces}),
 s AS (SELECT o.{key}, group_start, group_end, d.{text}[coalesce(lag(group_end) OVER w, 0) + 1 : group_start] || r AS piece FROM o JOIN {table} d ON o.{key} = d.{key} WINDOW w AS (PARTITION BY o.{key} ORDER BY group_start)),
 j AS (SELECT {key}, string_agg(piece, '' ORDER BY group_start) AS head, max(group_end) AS at FROM s GROUP BY {key})
 SELECT d.{key}, CASE WHEN j.head IS NULL THEN d.{text} ELSE j.head || substring(d.{text}, j.at + 1) END AS redacted FROM {table} d LEFT JOIN j ON d.{key} = j.{key}"""
 
 
+def sql_entities(detections: str, key: str) -> str:
+    """Groups with the entity that a placeholder names: that of their rule, or REDACTED of several."""
+    return f"SELECT {key}, group_start, group_end, CASE WHEN count(DISTINCT rule_id) = 1 THEN upper(min(rule_id)) ELSE 'REDACTED' END AS e FROM ({sql_groups(detections, key)}) GROUP BY {key}, group_start, group_end"
+
+
+def sql_redact(detections: str, table: str, key: str, text: str = "text", numbered: bool = False) -> str:
+    """Redaction to bracketed names; numbered by occurrence as restoration does, if asked."""
+    n = f" || '_' || row_number() OVER (PARTITION BY {key}, e ORDER BY group_start)" if numbered else ""
+    return sql_stitched(f"SELECT {key}, group_start, group_end, '[' || e{n} || ']' AS r FROM ({sql_entities(detections, key)})", table, key, text)

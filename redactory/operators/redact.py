@@ -7,13 +7,13 @@ active rules, groups overlapping spans and renders, without a shuffle, so wide p
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactory.functions import names
 from redactory.functions.render import Restoration, Segment, restore, segments, stitched
 from redactory.functions.scan import ContractError, Match, utf16
 from redactory.plans.errors import RedactionError
@@ -25,21 +25,22 @@ RESTORED = "struct<text:string,map:map<string,string>>"
 CONFIRMED = f"struct<text:string,detections:array<{MATCH[:-1]},confirmed:boolean,score:double>>,map:map<string,string>,warnings:array<string>>"
 
 
-@functools.lru_cache(maxsize=8)
-def _scanner(policy: Resolved):
-    return policy.scanner()
-
-
 def scan(policy: Resolved, text: str) -> list[Match]:
     """Detections of a text within the policy's limit."""
-    if utf16(text, len(text)) > policy.max_input:
+    if policy.max_input is not None and utf16(text, len(text)) > policy.max_input:
         raise RedactionError("INPUT_LIMIT")
     try:
-        return _scanner(policy)(text)
+        return policy.scanner(text)
     except ContractError as x:
         raise RedactionError("DETECTOR_CONTRACT") from x
 
 
+def prepare(policy: Resolved, texts: Iterable[str | None]) -> None:
+    """Asks a policy's recogniser about a whole batch at once."""
+    if policy.recogniser is not None:
+        names.BATCH.ask(policy.recogniser, texts)
+
+
 def render(policy: Resolved, text: str, found: list[Match], restoration: Restoration | None = None) -> list[Segment]:
     return segments(text, found, policy.settings, restoration, policy.detect_only)
 
@@ -75,6 +76,7 @@ class Redactor:
 
             @F.pandas_udf(RESTORED)
             def restorable(texts: pd.Series) -> pd.DataFrame:
+                prepare(policy, texts)
                 found = [both(t) if t is not None else {"text": None, "map": None} for t in texts]
                 return pd.DataFrame({"text": [x["text"] for x in found], "map": [x["map"] for x in found]})
 
@@ -82,6 +84,7 @@ class Redactor:
 
         @F.pandas_udf("string")
         def plain(texts: pd.Series) -> pd.Series:
+            prepare(policy, texts)
             return pd.Series([None if t is None else redact_text(policy, t) for t in texts], dtype=object)
 
         return plain(text)
@@ -92,6 +95,7 @@ class Redactor:
 
         @F.pandas_udf(INSPECTION)
         def groups(texts: pd.Series) -> pd.Series:
+            prepare(policy, texts)
             out = []
             for t in texts:
                 found = [] if t is None else render(policy, t, scan(policy, t), Restoration() if policy.restore else None)
@@ -105,6 +109,7 @@ class Redactor:
 
         @F.pandas_udf(f"array<{MATCH}>")
         def matches(texts: pd.Series) -> pd.Series:
+            prepare(policy, texts)
             return pd.Series([[] if t is None else [_match(t, m) for m in scan(policy, t)] for t in texts], dtype=object)
 
         return matches(text)
@@ -114,14 +119,15 @@ class Redactor:
         return df.select(key, F.explode(self.detect(F.col(text))).alias("d")).select(key, "d.*")
 
     def redact_confirmed(self, text: Column) -> Column:
-        """Redaction after confirmation of candidates by the policy's scorer, one call a text; a failing scorer keeps all and warns."""
+        """Redaction after confirmation of candidates by the policy's scorer, one call a batch; where a scorer fails all candidates of its batch are kept, with a warning."""
         policy, semantic = self.policy, self.given.semantic
         custom = {d.id: d for d in self.given.detectors if d.confirm}
 
         @F.pandas_udf(CONFIRMED)
         def confirmed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
-                rows = [_confirm(policy, semantic, custom, t) for t in texts]
+                prepare(policy, texts)
+                rows = _confirmed(policy, semantic, custom, list(texts))
                 yield pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in ("text", "detections", "map", "warnings")})
 
         return confirmed(text)
@@ -134,30 +140,38 @@ def question(custom: dict, m: Match, value: str, before: str, after: str) -> dic
     return custom[m.rule_id].confirm(value, before, after) if m.rule_id in custom else None
 
 
-def _confirm(policy: Resolved, semantic: Semantic | None, custom: dict, text: str | None) -> dict:
-    if text is None:
-        return {"text": None, "detections": [], "map": None, "warnings": []}
-    found, warnings, answers = scan(policy, text), [], {}
+def _confirmed(policy: Resolved, semantic: Semantic | None, custom: dict, texts: list[str | None]) -> list[dict]:
+    """Texts of a batch redacted; the questions of all of them go to the scorer in one call."""
+    found = [[] if t is None else scan(policy, t) for t in texts]
+    asked: list[tuple[int, int, dict]] = []
     width = semantic.context_window if semantic else 0
-    asked = {}
-    for k, m in enumerate(found if semantic else []):
-        q = question(custom, m, text[m.start : m.end], text[max(0, m.start - width) : m.start], text[m.end : m.end + width])
-        if q is not None:
-            asked[k] = {"rule_id": m.rule_id, **q}
+    for i, (t, matches) in enumerate(zip(texts, found, strict=True)):
+        for k, m in enumerate(matches if semantic else []):
+            q = question(custom, m, t[m.start : m.end], t[max(0, m.start - width) : m.start], t[m.end : m.end + width])
+            if q is not None:
+                asked.append((i, k, {"rule_id": m.rule_id, **q}))
+    answers: dict[tuple[int, int], tuple[float, bool]] = {}
+    warning = None
     if asked:
         try:
-            scores = list(semantic.scorer(list(asked.values())))
-            for (k, q), score in zip(asked.items(), [*scores, *[None] * len(asked)], strict=False):
+            scores = list(semantic.scorer([q for _, _, q in asked]))
+            for (i, k, q), score in zip(asked, [*scores, *[None] * len(asked)], strict=False):
                 limit = semantic.thresholds.get(q["rule_id"], semantic.thresholds.get("default", 0.5))
-                answers[k] = 1.0 if score is None else float(score), (1.0 if score is None else float(score)) >= limit
+                answers[i, k] = 1.0 if score is None else float(score), (1.0 if score is None else float(score)) >= limit
         except Exception as x:  # whatever a scorer raises, nothing found is let through
-            warnings.append(f"semantic confirmation failed: {type(x).__name__}")
-            answers = {}
-    kept = [m for k, m in enumerate(found) if answers.get(k, (1.0, True))[1]]
-    restoration = Restoration() if policy.restore else None
-    out = stitched(text, render(policy, text, kept, restoration))
-    told = [_match(text, m) | {"confirmed": answers[k][1] if k in answers else None, "score": answers[k][0] if k in answers else None} for k, m in enumerate(found)]
-    return {"text": out, "detections": told, "map": restoration.map if restoration else None, "warnings": warnings}
+            warning, answers = f"semantic confirmation failed: {type(x).__name__}", {}
+    touched = {i for i, _, _ in asked}
+    out = []
+    for i, (t, matches) in enumerate(zip(texts, found, strict=True)):
+        if t is None:
+            out.append({"text": None, "detections": [], "map": None, "warnings": []})
+            continue
+        kept = [m for k, m in enumerate(matches) if answers.get((i, k), (1.0, True))[1]]
+        restoration = Restoration() if policy.restore else None
+        done = stitched(t, render(policy, t, kept, restoration))
+        told = [_match(t, m) | {"confirmed": answers[i, k][1] if (i, k) in answers else None, "score": answers[i, k][0] if (i, k) in answers else None} for k, m in enumerate(matches)]
+        out.append({"text": done, "detections": told, "map": restoration.map if restoration else None, "warnings": [warning] if warning and i in touched else []})
+    return out
 
 
 def restored(text: Column, given: Column) -> Column:

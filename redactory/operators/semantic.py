@@ -1,4 +1,4 @@
-"""Scorers that confirm candidates: questions in, scores from 0 to 1 (None: no answer) out, one call a text.
+"""Scorers that confirm candidates: questions in, scores from 0 to 1 (None: no answer) out, one call a batch of texts.
 
 A remote scorer plugs in as any callable of that shape; nothing here reaches a network.
 """

@@ -110,17 +110,17 @@ def seal(df: DataFrame, provider: Provider, column: str = "map", out: str = "sea
     fields = [F.lit(VERSION).alias("version"), F.lit(provider.name).alias("provider"), F.lit(created).alias("createdAt"), F.lit(wrapped).alias("encryptedDek"), encrypted.alias("encryptedMap")]
     if metadata:
         fields.append(F.create_map(*[F.lit(x) for kv in sorted(metadata.items()) for x in kv]).alias("metadata"))
-    blob = F.base64(F.to_json(F.struct(*fields)).cast("binary"))
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), F.regexp_replace(blob, r"[\r\n]", ""))).drop(column)
+    made = F.base64(F.to_json(F.struct(*fields)).cast("binary"))
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), F.regexp_replace(made, r"[\r\n]", ""))).drop(column)
 
 
-def _blob(c: Column) -> Column:
+def blob(c: Column) -> Column:
     return F.from_json(F.unbase64(c).cast("string"), "version int, provider string, createdAt string, encryptedDek string, encryptedMap string, metadata map<string,string>")
 
 
 def open_sealed(df: DataFrame, provider: Provider, column: str = "sealed", out: str = "map") -> DataFrame:
     """df with sealed blobs opened to maps. Heads and keys are checked in two passes before; a map that does not open fails its query."""
-    parsed = df.withColumn("_b", _blob(F.col(column)))
+    parsed = df.withColumn("_b", blob(F.col(column)))
     held = F.col(column).isNotNull()
     bad = F.col("_b.version").isNull() | (F.col("_b.version") != VERSION) | F.col("_b.encryptedDek").isNull()
     heads = parsed.agg(F.count_if(held & bad).alias("bad"), F.count_if(held & ~F.col("_b.provider").eqNullSafe(provider.name)).alias("other")).first()

@@ -5,7 +5,9 @@ Resolution happens once on the driver; tasks get the small resolved policy.
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from redactory.functions import detectors as built_in
@@ -16,7 +18,8 @@ from redactory.functions.scan import CustomDetector, Scanner
 from .errors import RedactionError
 
 OFF = "off"
-MAX_INPUT = 1_048_576
+#: Most characters that a stream holds back.
+STREAM_WINDOW = 65_536
 #: Which keys a rule of each action may have beside its action.
 _KEYS = {"redact": {"replacement", "priority"}, "format-preserve": set(), "token-replace": {"tokens"}, "mask": {"first", "last"}, "remove": set()}
 
@@ -51,6 +54,13 @@ class Semantic:
 
 @dataclass
 class Policy:
+    """What to look for and what to do about it.
+
+    ``max_input`` refuses longer texts (in UTF-16 units) with INPUT_LIMIT, which fails a query: it is for interactive use and off unless set.
+    ``names``: names in small letters that the light name detector knows beside its own. ``recogniser``: for rule person_name, texts of a
+    batch in, for each the spans of its names out.
+    """
+
     presets: tuple[str, ...] = ()
     rules: dict[str, object] = field(default_factory=dict)
     custom_presets: dict[str, dict[str, object]] = field(default_factory=dict)
@@ -58,13 +68,15 @@ class Policy:
     allowlist: tuple[str, ...] = ()
     restore: bool = False
     detect_only: bool = False
-    max_input: int = MAX_INPUT
+    max_input: int | None = None
     semantic: Semantic | None = None
     custom_headers: tuple[str | re.Pattern, ...] = ()
+    names: frozenset[str] = frozenset()
+    recogniser: Callable[[list[str]], Sequence[Iterable[tuple[int, int]]]] | None = None
 
     @classmethod
     def of(cls, config: dict) -> Policy:
-        """From a configuration dictionary; unknown keys are refused."""
+        """From a configuration dictionary; unknown keys and values of a wrong shape are refused."""
         if not isinstance(config, dict) or set(config) - set(cls.__dataclass_fields__):
             raise RedactionError("INVALID_CONFIG", "config")
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in config.items()})
@@ -89,7 +101,7 @@ class Policy:
             if merged[rule].replacement is None and custom[rule].replacement:
                 merged[rule] = replace(merged[rule], replacement=custom[rule].replacement)
         specs = tuple(self._spec(known[rule]) for rule in sorted(merged))
-        return Resolved(specs, tuple(sorted(merged.items())), frozenset(self.allowlist), self.restore, self.detect_only, self.max_input)
+        return Resolved(specs, tuple(sorted(merged.items())), frozenset(self.allowlist), self.restore, self.detect_only, self.max_input, self.names, self.recogniser)
 
     def _spec(self, spec: Detector | CustomDetector) -> Detector | CustomDetector:
         if spec.id != "http_auth_header" or not self.custom_headers:
@@ -100,23 +112,40 @@ class Policy:
         return Detector(**{**spec.__dict__, "pattern": rf"{head}{named})(\S+){tail}{own}"})
 
     def _validate(self) -> None:
-        bad = lambda path: RedactionError("INVALID_CONFIG", path)
-        if self.detect_only and self.restore:
-            raise bad("detect_only")
-        if not isinstance(self.max_input, int) or self.max_input <= 0:
-            raise bad("limits")
-        if not all(isinstance(x, str) and x for x in self.allowlist):
-            raise bad("allowlist")
-        if not all((isinstance(h, str) and h) or isinstance(h, re.Pattern) for h in self.custom_headers):
-            raise bad("custom_headers")
-        if self.semantic and not all(0 <= t <= 1 for t in self.semantic.thresholds.values()):
-            raise bad("semantic")
+        def held(ok: object, path: str) -> None:
+            if not ok:
+                raise RedactionError("INVALID_CONFIG", path)
+
+        named = lambda x: isinstance(x, str) and bool(x)
+        count = lambda x: isinstance(x, int) and not isinstance(x, bool)
+        held(isinstance(self.presets, tuple) and all(map(named, self.presets)), "presets")
+        held(isinstance(self.rules, dict) and all(map(named, self.rules)), "rules")
+        held(isinstance(self.custom_presets, dict), "custom_presets")
+        for name, rules in self.custom_presets.items():
+            held(isinstance(name, str) and re.fullmatch("[a-z][a-z0-9_-]*", name) and isinstance(rules, dict) and all(map(named, rules)), "custom_presets")
+            for value in rules.values():
+                setting(value, "custom_presets")
+        held(isinstance(self.restore, bool), "restore")
+        held(isinstance(self.detect_only, bool) and not (self.detect_only and self.restore), "detect_only")
+        held(self.max_input is None or (count(self.max_input) and self.max_input > 0), "limits")
+        held(isinstance(self.allowlist, tuple) and all(map(named, self.allowlist)), "allowlist")
+        held(isinstance(self.custom_headers, tuple) and all(named(h) or isinstance(h, re.Pattern) for h in self.custom_headers), "custom_headers")
+        held(isinstance(self.names, frozenset) and all(map(named, self.names)), "names")
+        held(self.recogniser is None or callable(self.recogniser), "recogniser")
+        held(self.semantic is None or isinstance(self.semantic, Semantic), "semantic")
+        if self.semantic:
+            given = self.semantic
+            fine = lambda t: isinstance(t, int | float) and not isinstance(t, bool) and 0 <= t <= 1
+            held(callable(given.scorer), "semantic.scorer")
+            held(count(given.context_window) and given.context_window > 0, "semantic.context_window")
+            held(isinstance(given.thresholds, dict) and all(map(fine, given.thresholds.values())), "semantic.thresholds")
+        held(isinstance(self.detectors, tuple) and all(isinstance(d, CustomDetector) for d in self.detectors), "detectors")
         seen: set[str] = set()
         for d in self.detectors:
-            if not re.fullmatch("[a-z][a-z0-9_]*", d.id) or d.id in DETECTORS or d.id in seen:
-                raise bad("detectors")
-            if (d.max_match is not None and d.max_match <= 0) or min(d.left, d.right) < 0:
-                raise bad("detectors")
+            held(named(d.id) and re.fullmatch("[a-z][a-z0-9_]*", d.id) and d.id not in DETECTORS and d.id not in seen and named(d.pattern), "detectors")
+            held((d.max_match is None or (count(d.max_match) and d.max_match > 0)) and count(d.left) and count(d.right) and min(d.left, d.right) >= 0, "detectors")
+            # A stream must be able to hold the longest match with its context.
+            held(d.max_match is None or d.max_match + max(d.left, d.right) < STREAM_WINDOW, "detectors")
             seen.add(d.id)
 
 
@@ -155,14 +184,26 @@ class Resolved:
     allow: frozenset[str]
     restore: bool
     detect_only: bool
-    max_input: int
+    max_input: int | None
+    names: frozenset[str] = frozenset()
+    recogniser: Callable | None = None
 
-    @property
+    @functools.cached_property
     def settings(self) -> dict[str, Setting]:
         return dict(self.rules)
 
+    @functools.cached_property
     def scanner(self) -> Scanner:
-        return Scanner(list(self.specs), self.allow)
+        return _scanner(self.specs, self.allow, self.names)
+
+    def __getstate__(self) -> dict:
+        """What was made from the fields stays behind when tasks get the policy."""
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+
+@functools.lru_cache(maxsize=256)
+def _scanner(specs: tuple[Detector | CustomDetector, ...], allow: frozenset[str], known: frozenset[str]) -> Scanner:
+    return Scanner(list(specs), allow, known)
 
 
 def describe(specs: tuple[Detector | CustomDetector, ...] = tuple(DETECTORS.values())) -> list[dict]:

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from redactory.functions.render import Restoration, StreamRestorer, grouped
 from redactory.functions.scan import aligned, utf16
-from redactory.operators.redact import Redactor, _scanner, render
+from redactory.operators.redact import Redactor, render
 from redactory.plans.errors import RedactionError
 from redactory.plans.policy import Resolved
 
@@ -58,7 +58,7 @@ def advance(policy: Resolved, flow: Flow, chunk: str, last: bool, report: bool =
     events: list[dict] = []
     if upto > flow.cursor or last:
         state = Restoration(**flow.restoration) if flow.restoration else Restoration()
-        found = [m for m in _scanner(policy)(text) if m.start >= flow.cursor]
+        found = [m for m in policy.scanner(text) if m.start >= flow.cursor]
         for g in grouped(found):
             if g.start < upto < g.end:
                 upto = g.start
