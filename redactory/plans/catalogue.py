@@ -282,9 +282,7 @@ def page_query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Labelled cases of every rule, before every document; each row goes by the one rule that its case is of. ---------
-_GAP = "
-" + "." * 48 + "
-"
+_GAP = "\n" + "." * 48 + "\n"
 
 
 def _quoted(x: str) -> str:
@@ -316,8 +314,7 @@ def _cases(rules: tuple[str, ...]) -> tuple[str, Query]:
         text = F.concat("before", "value", "after", F.lit(_GAP), F.coalesce("text", F.lit("")))
         return rows.select("doc_id", "rule_id", by_rule("rule_id", text).alias("r")).select("doc_id", "rule_id", "r.*")
 
-    values = ",
-".join(f"({k}, {_quoted(c.rule_id)}, {_quoted(c.before)}, {_quoted(c.value)}, {_quoted(c.after)}, {_quoted(DETECTORS[c.rule_id].token)}, {_quoted(DETECTORS[c.rule_id].replacement)})" for k, c in enumerate(held))
+    values = ",\n".join(f"({k}, {_quoted(c.rule_id)}, {_quoted(c.before)}, {_quoted(c.value)}, {_quoted(c.after)}, {_quoted(DETECTORS[c.rule_id].token)}, {_quoted(DETECTORS[c.rule_id].replacement)})" for k, c in enumerate(held))
     put = lambda x: f"before || CASE WHEN value = '' THEN '' ELSE {x} END || after"
     sql = f"""SELECT doc_id, rule_id, CASE WHEN value <> '' THEN length(before)::INT END AS first_start, CASE WHEN value <> '' THEN (length(before) + length(value))::INT END AS first_end,
   {put("named")} AS redact, {put("token")} AS token, {put(_ACTIONS["format-preserve"][1])} AS shape, {put("value[1] || repeat('*', length(value)::INT - 2) || value[length(value)]")} AS masked,
