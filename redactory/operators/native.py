@@ -2,19 +2,21 @@
 
 Both forms are made from the detectors' table. Candidates are found by cutting the text at the pattern (gaps and
 matches give the offsets); neighbours, keywords and context labels are tested afterwards, as in the Arrow backend.
-Rules that need arithmetic on a candidate are here as far as expressions carry it (CHECKED). Catalyst prunes what a
-query doesn't use; texts are scanned once for each rule, behind a literal that a match needs where there is one.
+Rules that need arithmetic on a candidate are here as far as expressions carry it: CHECK_SQL holds their tests in SQL that
+Spark and DuckDB share. All rules of a query work in one scan: each gives an array of detections, behind a literal that a
+match, label or keyword needs, and what is exploded are detections, never the text.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from redactory.functions.checks import CHECKS, WEIGHTS
+from redactory.functions.checks import CHECKS, NINO_NOT_FIRST, NINO_NOT_SECOND, NINO_SUFFIXES, SPANISH_LETTERS, VIN_VALUES, WEIGHTS
 from redactory.functions.detectors import DETECTORS, Detector, portable
 from redactory.functions.scan import literals
 
@@ -22,10 +24,70 @@ from redactory.functions.scan import literals
 WHITE = "\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 WORDLIKE = r"[\p{L}\p{M}\p{N}_]"
 
-#: Rules whose check is a weighted sum of the candidate's digits: weights, modulus, remainder (None: the next digit).
-WEIGHED = {"us_routing": ("us_routing", 10), "pl_pesel": ("pl_pesel", 10), "uk_nhs": ("uk_nhs", 11), "au_tfn": ("au_tfn", 11), "nl_bsn": ("nl_bsn", 11)}
-LUHN = ("ca_sin", "payment_card", "imei")
-CHECKED = (*WEIGHED, *LUHN, "us_ssn", "ipv4", "drivers_license", "legal_case", "legal_license", "legal_reference", "hr_recruitment", "hr_screening")
+#: Rules whose check is a weighted sum of the candidate's digits: weights, and what the sum is a multiple of.
+WEIGHED = {"us_routing": 10, "pl_pesel": 10, "uk_nhs": 11, "au_tfn": 11, "nl_bsn": 11}
+
+
+def _int(x: str, at: int, n: int = 2) -> str:
+    return f"TRY_CAST(substr({x}, {at}, {n}) AS INT)"
+
+
+def _dated(x: str, month: int, day: int, *months: tuple[int, int]) -> str:
+    """A month of some ranges and a day of the month stand at these places."""
+    return "(" + " OR ".join(f"{_int(x, month)} BETWEEN {a} AND {b}" for a, b in months or ((1, 12),)) + f") AND {_int(x, day)} BETWEEN 1 AND 31"
+
+
+def _sum(x: str, weights: tuple[int, ...], begin: int = 1) -> str:
+    return "(" + " + ".join(f"{_int(x, begin + k, 1)} * {w}" for k, w in enumerate(weights) if w) + ")"
+
+
+def _letter(number: str) -> str:
+    return f"substr('{SPANISH_LETTERS}', TRY_CAST({number} AS INT) % 23 + 1, 1)"
+
+
+_SAME = "'^(?:0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$'"
+_RUT = "(" + _sum("lpad(ALL(substr(V, 1, length(V) - 2), '[.]'), 8, '0')", (3, 2, 7, 6, 5, 4, 3, 2)) + " % 11)"
+_IRD = "(" + _sum("lpad(N, 9, '0')", WEIGHTS["nz_ird"]) + " % 11)"
+_MY_NUMBER = "(" + _sum("N", WEIGHTS["jp_my_number"]) + " % 11)"
+_VIN_LETTERS = "".join(c for c in VIN_VALUES if c.isalpha())
+_VIN = "(" + _sum(f"translate(V, '{_VIN_LETTERS}', '{''.join(str(VIN_VALUES[c]) for c in _VIN_LETTERS)}')", WEIGHTS["vin"]) + " % 11)"
+#: Numbers of different lengths: what is missing counts nothing.
+_PADDED = "rpad(N, 11, '0')"
+_HAS_DIGIT = "HAS(V, '[0-9]')"
+#: Tests in the SQL that both engines share. V is the value, N its digits; LUHN(x), HAS(x, pattern) and ALL(x, pattern), x without all matches, are written by engine.
+CHECK_SQL: dict[str, str] = {
+    **{r: f"{_sum(_PADDED, WEIGHTS[r])} % {m} = 0" for r, m in WEIGHED.items()},
+    **dict.fromkeys(("drivers_license", "hr_recruitment", "hr_screening", "legal_case", "legal_license", "legal_reference"), _HAS_DIGIT),
+    **dict.fromkeys(("bh_cpr", "kw_id", "kz_iin", "za_id"), _dated("V", 3, 5)),
+    "bg_egn": _dated("V", 3, 5, (1, 12), (21, 32), (41, 52)),
+    "ca_sin": "LUHN(N)",
+    "cl_rut": f"length(N) + CASE WHEN HAS(V, '[Kk]$') THEN 1 ELSE 0 END BETWEEN 8 AND 9 AND upper(substr(V, length(V), 1)) = CASE {_RUT} WHEN 0 THEN '0' WHEN 1 THEN 'K' ELSE CAST(11 - {_RUT} AS STRING) END",
+    "cz_id": _dated("N", 3, 5, (1, 12), (51, 62)),
+    "de_id": "length(V) IN (10, 11)",
+    "ec_cedula": f"{_int('V', 1)} BETWEEN 1 AND 24 AND ({_int('V', 3, 1)} <= 6 OR substr(V, 3, 1) = '9')",
+    "eg_id": _dated("V", 6, 8),
+    "es_dni": f"{_letter('substr(V, 1, 8)')} = upper(substr(V, 9, 1))",
+    "eu_vat": f"CASE substr(V, 1, 2) WHEN 'DE' THEN true WHEN 'FR' THEN LUHN(substr(V, 5)) WHEN 'IT' THEN LUHN(substr(V, 3)) WHEN 'NL' THEN {_sum('substr(V, 3, 9)', WEIGHTS['nl_vat'])} % 11 = {_int('V', 13)} ELSE length(V) = 10 OR {_letter('substr(V, 3, 8)')} = substr(V, 11) END",
+    "fr_insee": f"97 - TRY_CAST(substr(N, 1, 13) AS BIGINT) % 97 = {_int('N', 14)}",
+    "imei": f"LUHN(substr(N, 1, 15)) AND NOT HAS(V, {_SAME})",
+    "imsi": f"NOT LUHN(V) AND NOT HAS(V, {_SAME})",
+    "ipv4": r"NOT HAS(V, '^(?:0\.0\.0\.0|255\.255\.255\.255)$|^0*10\.|^127\.|^192\.168\.|^172\.0?(?:1[6-9]|2[0-9]|3[01])\.')",
+    "jp_my_number": f"{_int('N', 12, 1)} = CASE WHEN {_MY_NUMBER} <= 1 THEN 0 ELSE 11 - {_MY_NUMBER} END",
+    "license_plate": f"{_HAS_DIGIT} AND length(V) BETWEEN 2 AND 15",
+    "medical_code": "CASE WHEN HAS(V, '^[0-9]{5}$') THEN TRY_CAST(N AS INT) BETWEEN 100 AND 99499 ELSE true END",
+    "my_ic": _dated("N", 3, 5),
+    "nz_ird": f"length(N) IN (8, 9) AND {_IRD} > 0 AND 11 - {_IRD} = TRY_CAST(substr(N, length(N), 1) AS INT)",
+    "payment_card": f"HAS(V, '^(?:[0-9]+|(?:[0-9]{{1,6}} )+[0-9]+|(?:[0-9]{{1,6}}-)+[0-9]+)$') AND length(V) <= 37 AND length(N) BETWEEN 13 AND 19 AND NOT HAS(N, {_SAME}) AND LUHN(N)",
+    "pe_ruc": "substr(V, 1, 2) IN ('10', '15', '17', '20')",
+    "ro_cnp": f"substr(V, 1, 1) <> '0' AND {_dated('V', 4, 6)}",
+    "rs_jmbg": _dated("V", 3, 1),
+    "th_id": f"(11 - {_sum('V', WEIGHTS['th_id'])} % 11) % 10 = {_int('V', 13, 1)}",
+    "uk_nino": f"NOT HAS(upper(V), '^[{NINO_NOT_FIRST}]|^.[{NINO_NOT_SECOND}]') AND HAS(upper(V), '[{NINO_SUFFIXES}]$')",
+    "us_dea": f"{_sum('V', (1,) * 6, 3)} % 10 = {_int('V', 9, 1)}",
+    "us_npi": "LUHN('80840' || V)",
+    "us_ssn": "NOT HAS(N, '^(?:000|666|9)|^...00|0000$')",
+    "vin": f"{_HAS_DIGIT} AND length(replace(V, substr(V, 1, 1), '')) > 0 AND V = upper(V) AND substr(V, 9, 1) = CASE {_VIN} WHEN 10 THEN 'X' ELSE CAST({_VIN} AS STRING) END",
+}
 
 
 def pattern(d: Detector) -> str:
@@ -35,7 +97,7 @@ def pattern(d: Detector) -> str:
 
 def expressible(d: Detector) -> bool:
     """Whether the rule is whole in expressions that Spark and DuckDB share."""
-    if d.id in CHECKED:
+    if d.id in CHECK_SQL:
         return True
     folded = "(?!" in d.pattern or "(?<" in d.pattern
     return d.kind in ("token", "context", "keyword") and d.id not in CHECKS and not folded and d.id not in ("private_key",)
@@ -65,64 +127,81 @@ def spans(text: Column, p: str) -> Column:
     return F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
-def _luhn(digits: Column) -> Column:
-    return F.call_function("luhn_check", digits)
-
-
-def _digits(v: Column) -> Column:
-    return F.regexp_replace(v, "[^0-9]", "")
-
-
-def _sum(digits: Column, weights: tuple[int, ...]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(F.substring(digits, k + 1, 1).try_cast("int"), F.lit(0)) * w for k, w in enumerate(weights)])
-
-
-def _check(d: Detector, v: Column) -> Column:
-    n = _digits(v)
-    if d.id in WEIGHED:
-        weights, mod = WEIGHED[d.id]
-        return _sum(n, WEIGHTS[weights]) % mod == 0
-    if d.id == "ca_sin":
-        return _luhn(n)
-    if d.id == "imei":
-        return _luhn(F.substring(n, 1, 15)) & ~v.rlike(r"^(?:0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)\z")
-    if d.id == "payment_card":
-        shape = v.rlike(r"^(?:[0-9]+|(?:[0-9]{1,6} )+[0-9]+|(?:[0-9]{1,6}-)+[0-9]+)\z")
-        return shape & (F.length(v) <= 37) & F.length(n).between(13, 19) & ~n.rlike(r"^(?:0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)\z") & _luhn(n)
-    if d.id == "us_ssn":
-        return ~n.rlike(r"^(?:000|666|9)|^...00|0000\z")
-    if d.id == "ipv4":
-        return ~v.rlike(r"^(?:0\.0\.0\.0|255\.255\.255\.255)\z|^0*10\.|^127\.|^192\.168\.|^172\.0?(?:1[6-9]|2[0-9]|3[01])\.")
-    if d.id in CHECKED:
-        return v.rlike("[0-9]")
-    return F.lit(True)
-
-
-def detect(df: DataFrame, rule: str, key: str, text: str = "text") -> DataFrame:
-    """key, rule_id, start, end, value of one rule's detections."""
-    d, t = DETECTORS[rule], F.col(text)
+def _written(test: str, engine: str, value: str = "value") -> str:
+    """A test of CHECK_SQL in an engine's words, over a column that holds the value."""
+    if engine == "spark":
+        put = {"LUHN": "luhn_check({0})", "HAS": "{0} RLIKE r{1}", "ALL": "regexp_replace({0}, {1}, '')"}
+    else:
+        digit = "reverse({0})[i]::INT"
+        put = {
+            "LUHN": f"(list_sum(list_transform(range(1, len({{0}}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} ELSE (2 * {digit}) // 10 + (2 * {digit}) % 10 END)) % 10 = 0)",
+            "HAS": "regexp_matches({0}, {1})",
+            "ALL": "regexp_replace({0}, {1}, '', 'g')",
+        }
+    while m := re.search(r"\b(LUHN|HAS|ALL)\(", test):
+        depth, end, quoted = 1, m.end(), False
+        while depth:
+            quoted ^= test[end] == "'"
+            depth += 0 if quoted else {"(": 1, ")": -1}.get(test[end], 0)
+            end += 1
+        first, _, second = test[m.end() : end - 1].rpartition(", ") if m[1] != "LUHN" else (test[m.end() : end - 1], "", "")
+        test = test[: m.start()] + "(" + put[m[1]].format(first, second) + ")" + test[end:]
+    return re.sub(r"\bV\b", value, re.sub(r"\bN\b", lambda _: "(" + put["ALL"].format(value, "'[^0-9]'") + ")", test))
+
+
+#: Pieces to each side of a candidate that its context is put together from: values have a character at least, so they suffice.
+PIECES = 81
+
+
+def _raw(pattern: str) -> str:
+    """A pattern as a literal of Spark SQL that needs no escapes."""
+    assert '"' not in pattern
+    return f'r"{pattern}"'
+
+
+def _pieces(d: Detector, t: Column) -> Column:
+    """The text cut at the rule's pattern: gap, match, gap, match and so on; nothing where it cannot hold a detection."""
     p = pattern(d)
-    held = literals(d.pattern) if d.kind in ("token", "capture") else None
-    rows = df.where(t.isNotNull())
-    if held and "i" not in d.flags:
-        rows = rows.where(reduce(lambda a, b: a | b, [t.contains(x) for x in held]))
-    rows = rows.where(t.rlike(p)).select(key, t.alias("t"), F.explode(spans(t, p)).alias("s")).select(key, "t", "s.*")
-    around = F.concat(F.substr("t", F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.lit(" "), F.substr("t", F.col("end") + 1, F.lit(1)))
-    rows = rows.where(~around.rlike(WORDLIKE)).where(_check(d, F.col("value")))
-    left, right = F.lit(d.left), F.lit(d.right)
-    before = F.substr("t", F.greatest(F.col("start") - left, F.lit(0)) + 1, F.least(F.col("start"), left))
-    after = F.substr("t", F.col("end") + 1, right)
+    worth = t.rlike(p)
     if d.labels:
-        a, b, c = _labels(d)
-        rows = rows.where(before.rlike(a) | after.rlike(b) | after.rlike(c))
+        worth = t.rlike("(?i)" + d.labels) & worth
+    elif d.keywords:
+        worth = reduce(lambda a, b: a | b, [F.lower(t).contains(k.lower()) for k in d.keywords]) & worth
+    if d.kind in ("token", "capture") and "i" not in d.flags and (held := literals(d.pattern)):
+        worth = reduce(lambda a, b: a | b, [t.contains(x) for x in held]) & worth
+    both = F.zip_with(F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))
+    return F.when(worth, F.flatten(both))
+
+
+def _survivors(d: Detector, pieces: str) -> str:
+    """SQL of a rule's detections in a text's pieces. Context is taken from the pieces beside a candidate, offsets are summed for detections alone, so long texts cost in proportion."""
+    before = f"right(array_join(slice({pieces}, greatest(1, 2 * k - {PIECES}), least(2 * k - 1, {PIECES})), ''), {max(d.left, 1)})"
+    after = f"left(array_join(slice({pieces}, 2 * k + 1, {PIECES}), ''), {max(d.right, 1)})"
+    tests = [f"NOT concat(right(x.before, 1), ' ', left(x.after, 1)) RLIKE {_raw(WORDLIKE)}"]
+    if d.id in CHECK_SQL:
+        tests.append("(" + _written(CHECK_SQL[d.id], "spark", "x.value") + ")")
+    if d.labels:
+        a, b, c = map(_raw, _labels(d))
+        tests.append(f"(x.before RLIKE {a} OR x.after RLIKE {b} OR x.after RLIKE {c})")
     if d.keywords:
-        near = F.concat(F.lower(before), F.lower(after))
-        rows = rows.where(reduce(lambda x, y: x | y, [near.contains(k.lower()) for k in d.keywords]))
-    return rows.select(key, F.lit(rule).alias("rule_id"), "start", "end", "value")
+        tests.append("(" + " OR ".join(f"contains(lower(concat(x.before, x.after)), '{k.lower()}')" for k in d.keywords) + ")")
+    found = f"filter(transform(sequence(1, size({pieces}) div 2 - 1), k -> named_struct('k', k, 'value', {pieces}[2 * k - 1], 'before', {before}, 'after', {after})), x -> {' AND '.join(tests)})"
+    at = f"aggregate(slice({pieces}, 1, 2 * y.k - 1), 0, (n, z) -> n + length(z))"
+    return f"CASE WHEN size({pieces}) > 2 THEN transform({found}, y -> named_struct('rule_id', '{d.id}', 'start', {at}, 'value', y.value)) END"
 
 
 def detect_all(df: DataFrame, rules: tuple[str, ...], key: str, text: str = "text") -> DataFrame:
-    return reduce(DataFrame.unionByName, [detect(df, r, key, text) for r in rules])
+    """key, rule_id, start, end, value of all detections of some rules: one scan, which only detections leave."""
+    t = F.col(text)
+    cut = df.where(t.isNotNull()).select(F.col(key).alias("__key"), *[_pieces(DETECTORS[r], t).alias(f"__{r}") for r in rules])
+    none = F.expr("cast(array() as array<struct<rule_id:string,start:int,value:string>>)")
+    found = cut.select("__key", F.explode(F.concat(*[F.coalesce(F.expr(_survivors(DETECTORS[r], f"`__{r}`")), none) for r in rules])).alias("d"))
+    return found.select(F.col("__key").alias(key), "d.rule_id", "d.start", (F.col("d.start") + F.length("d.value")).alias("end"), "d.value")
+
+
+def detect(df: DataFrame, rule: str, key: str, text: str = "text") -> DataFrame:
+    """key, rule_id, start, end, value of one rule's detections."""
+    return detect_all(df, (rule,), key, text)
 
 
 def groups(detections: DataFrame, key: str) -> DataFrame:
@@ -166,23 +245,7 @@ def _quote(x: str) -> str:
 
 
 def _sql_check(d: Detector) -> str:
-    n = "regexp_replace(value, '[^0-9]', '', 'g')"
-    same = "NOT regexp_matches({}, '^(?:0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$')"
-    luhn = "(list_sum(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({0})[i]::INT ELSE (2 * reverse({0})[i]::INT) // 10 + (2 * reverse({0})[i]::INT) % 10 END)) % 10 = 0)"
-    if d.id in WEIGHED:
-        weights, mod = WEIGHED[d.id]
-        return "(" + " + ".join(f"coalesce(try_cast({n}[{k + 1}] AS INT), 0) * {w}" for k, w in enumerate(WEIGHTS[weights])) + f") % {mod} = 0"
-    if d.id == "ca_sin":
-        return luhn.format(n)
-    if d.id == "imei":
-        return luhn.format("value[1:15]") + " AND " + same.format("value")
-    if d.id == "payment_card":
-        return f"regexp_matches(value, '^(?:[0-9]+|(?:[0-9]{{1,6}} )+[0-9]+|(?:[0-9]{{1,6}}-)+[0-9]+)$') AND length(value) <= 37 AND length({n}) BETWEEN 13 AND 19 AND {same.format(n)} AND {luhn.format(n)}"
-    if d.id == "us_ssn":
-        return f"NOT regexp_matches({n}, '^(?:000|666|9)|^...00|0000$')"
-    if d.id == "ipv4":
-        return r"NOT regexp_matches(value, '^(?:0\.0\.0\.0|255\.255\.255\.255)$|^0*10\.|^127\.|^192\.168\.|^172\.0?(?:1[6-9]|2[0-9]|3[01])\.')"
-    return "regexp_matches(value, '[0-9]')" if d.id in CHECKED else "true"
+    return f"({_written(CHECK_SQL[d.id], 'duckdb')})" if d.id in CHECK_SQL else "true"
 
 
 def sql_detect(rule: str, table: str, key: str, text: str = "text") -> str:

@@ -48,14 +48,40 @@ def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+#: Labelled cases of every rule, one before every document, far enough from it to be no context of its text.
+_GAP = "\n" + "." * 48 + "\n"
+_CASES = labelled.cases()
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _case_rows(held: list[labelled.Case]) -> str:
+    """The cases as SQL rows, with the token and the name that their rules put in."""
+    return ",\n".join(f"({k}, {_quoted(c.rule_id)}, {_quoted(c.before)}, {_quoted(c.value)}, {_quoted(c.after)}, {_quoted(DETECTORS[c.rule_id].token)}, {_quoted(DETECTORS[c.rule_id].replacement)})" for k, c in enumerate(held))
+
+
+def _with_cases(spark: SparkSession, sf_dir: str, held: list[labelled.Case]) -> DataFrame:
+    """doc_id, rule_id and text of every document behind one of the cases."""
+    given = F.broadcast(spark.createDataFrame([(k, *c) for k, c in enumerate(held)], "k long, rule_id string, before string, value string, after string"))  # a fixed table
+    rows = table(spark, sf_dir, "documents").withColumn("k", F.pmod("doc_id", F.lit(len(held)))).join(given, "k")
+    return rows.select("doc_id", "rule_id", F.concat("before", "value", "after", F.lit(_GAP), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+_LABELLED = f"""WITH labelled AS MATERIALIZED (SELECT doc_id, before || value || after || {_quoted(_GAP)} || coalesce(text, '') AS text
+FROM documents JOIN (VALUES {_case_rows(_CASES)}) c(k, rule_id, before, value, after, token, named) ON doc_id % {len(_CASES)} = k)
+"""
+
+
 def _native(rules: tuple[str, ...]) -> Query:
-    return lambda spark, sf_dir: native.detect_all(table(spark, sf_dir, "documents"), rules, "doc_id")
+    return lambda spark, sf_dir: native.detect_all(_with_cases(spark, sf_dir, _CASES), rules, "doc_id")
 
 
 # Every rule that expressions carry, in batches of a scan each.
 for _k in range(0, len(native.RULES), 24):
     _rules = native.RULES[_k : _k + 24]
-    query(f"detect_native_{_k // 24 + 1}", native.sql_detect_all(_rules, "documents", "doc_id"))(_native(_rules))
+    query(f"detect_native_{_k // 24 + 1}", _LABELLED + native.sql_detect_all(_rules, "labelled", "doc_id"))(_native(_rules))
 
 
 #: Rules that the queries below use together: all in expressions, with hits in prose.
@@ -63,11 +89,11 @@ SMALL = ("aws_access_key", "github_token", "imei", "ipv4", "payment_card", "post
 _FOUND = native.sql_detect_all(SMALL, "documents", "doc_id")
 
 
-@query("inspect_arrow", native.sql_detect_all(native.RULES, "documents", "doc_id"))
+@query("inspect_arrow", _LABELLED + native.sql_detect_all(native.RULES, "labelled", "doc_id"))
 def inspect_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Arrow backend on every rule that SQL can express, by way of inspect()."""
     found = Redactor({"rules": dict.fromkeys(native.RULES, "redact")}).inspect(F.col("text"))
-    groups = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("g"))
+    groups = _with_cases(spark, sf_dir, _CASES).select("doc_id", F.explode(found).alias("g"))
     return groups.select("doc_id", F.explode("g.matches").alias("m")).select("doc_id", "m.rule_id", "m.start", "m.end", "m.value")
 
 
@@ -177,8 +203,8 @@ _SPOKEN = """(SELECT conv_id * 1000 + turn AS k, conv_id, turn, role, 'SSN: 123-
 _SPOKEN_GROUPS = f"SELECT k, conv_id, turn, group_start, group_end, e, substring(text, group_start + 1, group_end - group_start) AS value FROM ({native.sql_entities(native.sql_detect_all(SMALL, _SPOKEN, 'k'), 'k')}) JOIN {_SPOKEN} USING (k)"
 _SPOKEN_SQL = native.sql_stitched(
     f"""WITH v AS ({_SPOKEN_GROUPS}),
-f AS (SELECT conv_id, value, arg_min(e, turn * 1000000 + group_start) AS e, min(turn * 1000000 + group_start) AS at FROM v GROUP BY conv_id, value),
-n AS (SELECT conv_id, value, '[' || e || '_' || row_number() OVER (PARTITION BY conv_id, e ORDER BY at) || ']' AS r FROM f)
+f AS (SELECT conv_id, value, arg_min(e, turn * 1000000 + group_start) AS e, min(turn * 1000000 + group_start) AS seen FROM v GROUP BY conv_id, value),
+n AS (SELECT conv_id, value, '[' || e || '_' || row_number() OVER (PARTITION BY conv_id, e ORDER BY seen) || ']' AS r FROM f)
 SELECT k, group_start, group_end, r FROM v JOIN n USING (conv_id, value)""",
     _SPOKEN,
     "k",
@@ -281,20 +307,12 @@ def page_query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", Redactor({"rules": {"url_query_key": "redact"}}).redact(linked).alias("html"))
 
 
-# Labelled cases of every rule, before every document; each row goes by the one rule that its case is of. ---------
-_GAP = "\n" + "." * 48 + "\n"
-
-
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
+# Each row by the one rule that its case is of. ------------------------------------------------------------------
 def _cases(rules: tuple[str, ...]) -> tuple[str, Query]:
-    held = [c for c in labelled.cases() if c.rule_id in rules]
+    held = [c for c in _CASES if c.rule_id in rules]
     kinds = {"redact": "redact", "token": "token-replace", "shape": "format-preserve", "masked": {"action": "mask", "first": 1, "last": 1}, "removed": "remove"}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = F.broadcast(spark.createDataFrame([(k, *c) for k, c in enumerate(held)], "k long, rule_id string, before string, value string, after string"))  # a fixed table
         policies = {r: {kind: Redactor({"rules": {r: s}}).policy for kind, s in kinds.items()} | {"numbered": Redactor({"rules": {r: "redact"}, "restore": True}).policy} for r in rules}
         names = [*kinds, "numbered"]
 
@@ -310,22 +328,19 @@ def _cases(rules: tuple[str, ...]) -> tuple[str, Query]:
             frame = pd.DataFrame(out, columns=["first_start", "first_end", *names, "original"], dtype=object)
             return frame.astype({"first_start": "Int32", "first_end": "Int32"})
 
-        rows = table(spark, sf_dir, "documents").withColumn("k", F.pmod("doc_id", F.lit(len(held)))).join(given, "k")
-        text = F.concat("before", "value", "after", F.lit(_GAP), F.coalesce("text", F.lit("")))
-        return rows.select("doc_id", "rule_id", by_rule("rule_id", text).alias("r")).select("doc_id", "rule_id", "r.*")
+        return _with_cases(spark, sf_dir, held).select("doc_id", "rule_id", by_rule("rule_id", "text").alias("r")).select("doc_id", "rule_id", "r.*")
 
-    values = ",\n".join(f"({k}, {_quoted(c.rule_id)}, {_quoted(c.before)}, {_quoted(c.value)}, {_quoted(c.after)}, {_quoted(DETECTORS[c.rule_id].token)}, {_quoted(DETECTORS[c.rule_id].replacement)})" for k, c in enumerate(held))
     put = lambda x: f"before || CASE WHEN value = '' THEN '' ELSE {x} END || after"
     sql = f"""SELECT doc_id, rule_id, CASE WHEN value <> '' THEN length(before)::INT END AS first_start, CASE WHEN value <> '' THEN (length(before) + length(value))::INT END AS first_end,
   {put("named")} AS redact, {put("token")} AS token, {put(_ACTIONS["format-preserve"][1])} AS shape, {put("value[1] || repeat('*', length(value)::INT - 2) || value[length(value)]")} AS masked,
   {put("''")} AS removed, {put("'[' || upper(rule_id) || '_1]'")} AS numbered, nullif(value, '') AS original
-FROM documents JOIN (VALUES {values}) c(k, rule_id, before, value, after, token, named) ON doc_id % {len(held)} = k"""
+FROM documents JOIN (VALUES {_case_rows(held)}) c(k, rule_id, before, value, after, token, named) ON doc_id % {len(held)} = k"""
     return sql, run
 
 
-_LABELLED = tuple(labelled.WRITTEN)
-for _k in range(0, len(_LABELLED), 26):
-    _sql, _run = _cases(_LABELLED[_k : _k + 26])
+_WRITTEN = tuple(labelled.WRITTEN)
+for _k in range(0, len(_WRITTEN), 26):
+    _sql, _run = _cases(_WRITTEN[_k : _k + 26])
     query(f"labelled_cases_{_k // 26 + 1}", _sql)(_run)
 
 
