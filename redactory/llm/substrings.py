@@ -1,19 +1,24 @@
-"""Exact substring deduplication by fingerprints of fixed windows, in prefix-partitioned parts; no suffix tree is built.
+"""Exact substring deduplication by prefix-partitioned suffix trees.
 
 Every position of a text where a window of ``length`` words fits begins a suffix. One pass counts suffixes by their first
 word, first two and first four words; a prefix that is too frequent is lengthened (in the end to the whole window), and
 the prefixes, now of variable length, are packed into parts of about ``part_rows`` suffixes that fit in a task's memory.
-A part's subtree is truncated at depth ``length`` and kept as sorted leaves: what follows the prefix is one 64-bit
-fingerprint, so leaves of equal fingerprint hang on one node of that depth. Nodes with two leaves or more are the deep
-internal nodes; the smallest document below a node is known there, and every leaf of a larger document is a repeat.
-Nodes of other depths and common-prefix lengths are not kept, so maximal repeats are not derived: passages are runs of
-removed words, and adjacent repeats of different sources come as one.
+
+A suffix that hangs on no deep internal node is a leaf by itself, and most are. So parts first see 32-bit fingerprints of
+windows alone and tell which stand in several chunks of texts; a false one costs work but no result. Of those, chunks send
+the words: for each part the suffixes that begin with its prefixes, cut at depth ``length``, with the word before and the
+word behind. The part's task sorts them by their words, takes the common-prefix lengths of neighbours, and reads the deep
+internal nodes, those of depth ``length``, off them: the smallest document below a node, and whether what stands before
+or behind its leaves differs. Words are compared as words, nowhere by a hash, so results are exact.
+
+Every leaf of a larger document than its node's smallest is a repeat, and the words its window covers go. Consecutive
+repeats whose nodes branch neither to the left nor to the right between them have the same places everywhere: they make
+one maximal repeat, and ``passages`` lists these (they may overlap).
 
 Texts are dealt to chunks by a hash of their id and text, and ordered in a chunk by id and, where ids tie, a hash of the
 text, so that nothing hangs on the order in which rows arrive. A chunk sends a suffix once however often it holds it, from its
 smallest document, packed in one row for each part; a passage that a third of all documents share therefore reaches its
-node once a chunk. The node's answer, one bit a suffix, goes back to the chunk. Fingerprints and part together hold
-over 70 bits; a false node is not to be expected below 10^10 suffixes, and is improbable for a given window beyond.
+node once a chunk. The node's answer, three bits a suffix, goes back to the chunk.
 
 Defined results: null texts have no words; texts of fewer words than ``length`` lose none; windows are judged on the
 input, not on what is left; a null doc_id counts as larger than all others; rows of equal doc_id do not repeat each
@@ -24,10 +29,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,17 +42,18 @@ from .session import arrow_rows
 from .words import _ODD, Words, covered, mix, slices, sums
 
 LENGTH = 13
-PART_ROWS, CHUNK_BYTES, LEAST_CHUNKS = 3_000_000, 8 << 20, 24
+PART_ROWS, CHUNK_BYTES, LEAST_CHUNKS = 2_000_000, 8 << 20, 24
 #: Bins that prefixes of each length are counted in, and those lengths.
 BITS, PREFIXES = 14, (1, 2, 4)
+#: Bits of the fingerprints that tell which windows may repeat.
+FINGERPRINT = 32
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, passages array<struct<start:int,words:int>>"
 CHUNK = "__chunk"  # no column of the input is called this
 LAST = np.iinfo(np.int64).max
 
 
-def suffixes(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def suffixes(w: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Fingerprint and word number of every suffix's window, and the bins of its prefixes."""
-    hashes = w.hashes()
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(PREFIXES)
@@ -68,6 +75,7 @@ class Plan:
     parts: int
     chunks: int
     tables: list[np.ndarray]
+    fingerprint: int = FINGERPRINT
 
     def part(self, fingerprint: np.ndarray, bins: list[np.ndarray]) -> np.ndarray:
         out = (fingerprint % np.uint64(self.parts)).astype(np.int64)  # the whole window as prefix
@@ -86,7 +94,7 @@ def count(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
             for part in slices(batch):
                 w = Words(part.column("text"))
                 size += len(w.raw)
-                for k, bins in enumerate(suffixes(w, length)[2]):
+                for k, bins in enumerate(suffixes(w, w.hashes(), length)[2]):
                     total[k] += np.bincount(bins, minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total.ravel()[at], size))], ["bin", "n"])
@@ -132,73 +140,248 @@ def _order(ids: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
     return np.lexsort((digest[:, 1], digest[:, 0], ids))
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values))
+
+
 class _Chunk:
-    """The suffixes of a chunk's texts in order of document: those it sends, and by unique fingerprint the document and the place of the one sent."""
+    """The suffixes of a chunk's texts in order of document, and what it asks each part: sorted fingerprints, once each."""
 
     def __init__(self, table: pa.Table, plan: Plan):
         ids = table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
         self.order = _order(ids, table.column("text"))
-        self.ids = ids[self.order]
+        self.ids, self.plan = ids[self.order], plan
         texts = table.column("text").take(pa.array(self.order))
         self.w = Words(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-        fingerprint, self.at, bins = suffixes(self.w, plan.length)
+        self.hashes = self.w.hashes()
+        fingerprint, self.at, bins = suffixes(self.w, self.hashes, plan.length)
         self.doc = self.ids[self.w.rows()[self.at]]
-        _, first, self.of = np.unique(fingerprint, return_index=True, return_inverse=True)
-        part = plan.part(fingerprint, bins)[first]
-        self.first = first
-        # Sent by part, in a part by place: both sides of the exchange count on this order.
-        self.sent = np.lexsort((first, part))
-        self.part = part[self.sent]
-        self.fingerprint = fingerprint
-        bounds = np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1])) if len(part) else np.zeros(0, np.int64)
-        self.runs = {int(self.part[a]): (int(a), int(b)) for a, b in zip(bounds, np.append(bounds[1:], len(part))[: len(bounds)], strict=True)}
+        self.part = plan.part(fingerprint, bins)
+        key = (self.part.astype(np.uint64) << np.uint64(32)) | (fingerprint >> np.uint64(64 - plan.fingerprint))
+        self.asked, self.of, held = np.unique(key, return_inverse=True, return_counts=True)
+        self.shared = held > 1
+        ends = _runs(self.asked >> np.uint64(32))
+        self.runs = {int(self.asked[a] >> np.uint64(32)): (int(a), int(b)) for a, b in zip(ends[:-1], ends[1:], strict=True)}
+
+    def judged(self, told: pa.Table) -> None:
+        """Takes in which fingerprints other chunks have too, and numbers the windows that may repeat by their words.
+
+        ``found``: their suffixes; ``window``: the number of each one's window; by number ``first`` (a suffix of the smallest
+        document), ``away`` (other chunks may have it), ``before`` and ``behind`` (the word there, -1 for none or several).
+        """
+        away = np.zeros(len(self.asked), bool)
+        self.bits = dict(zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True))
+        for part, bits in self.bits.items():
+            a, b = self.runs[part]
+            away[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        n = self.plan.length
+        self.found = np.flatnonzero((away | self.shared)[self.of])
+        begin = self.at[self.found]
+        inside = np.zeros(len(self.w) + 2, bool)
+        for j in range(-1, n + 1):
+            inside[np.maximum(begin + j, 0)] = True
+        placed = np.flatnonzero(inside[: len(self.w)])
+        number, self.spelt = self.w.numbered(placed, self.hashes)
+        self.number = np.full(len(self.w), -1, np.int64)
+        self.number[placed] = number
+        labels = np.stack([self.number[begin + j] for j in range(n)], 1).astype(np.int32) if len(begin) else np.zeros((0, n), np.int32)
+        _, rep, self.window = np.unique(self.of[self.found], return_index=True, return_inverse=True)
+        if not (labels == labels[rep][self.window]).all():  # windows that share a fingerprint: go by their words
+            _, rep, self.window = np.unique(labels, axis=0, return_index=True, return_inverse=True)
+            self.window = self.window.ravel()
+        self.first, self.labels = rep, labels[rep]  # suffixes come by document, so the first is of the smallest
+        self.away = away[self.of[self.found[rep]]]
+        first = self.w.first
+        row = self.w.rows()[begin] if len(begin) else begin
+        before = np.where(begin > first[row], self.number[np.maximum(begin - 1, 0)], -1)
+        behind = np.where(begin + n < first[row + 1], self.number[np.minimum(begin + n, max(len(self.w) - 1, 0))], -1) if len(begin) else begin
+        self.before, self.behind = (self._one(x) for x in (before, behind))
+
+    def _one(self, word: np.ndarray) -> np.ndarray:
+        """Of each window the word that stands there at all its places, or -1."""
+        least, most = np.full(len(self.first), np.iinfo(np.int64).max), np.full(len(self.first), -1)
+        np.minimum.at(least, self.window, word)
+        np.maximum.at(most, self.window, word)
+        return np.where(least == most, least, -1)
+
+    def sent(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The windows that go to parts, by part and place, and of each part the stretch of them."""
+        out = np.flatnonzero(self.away)
+        part = self.part[self.found[self.first[out]]]
+        order = np.lexsort((self.first[out], part))
+        out, part = out[order], part[order]
+        ends = _runs(part)
+        return out, [(int(part[a]), int(a), int(b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _ask(plan: Plan) -> Callable:
+    """Of a chunk the fingerprints of its windows, sorted: low halves, and steps of the high halves, which pack well."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        chunk, rows = _Chunk(table, plan), []
+        for part, (a, b) in chunk.runs.items():
+            value = (chunk.asked[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            rows.append((part, (value & 0xFFFF).astype(np.uint16).tobytes(), np.diff(value >> 16, prepend=np.uint32(0)).astype(np.uint16).tobytes()))
+        part, low, step = zip(*rows, strict=True) if rows else ((),) * 3
+        return pa.table([pa.array([table.column(CHUNK)[0].as_py()] * len(rows), pa.int32()), pa.array(part, pa.int32()), pa.array(low, pa.binary()), pa.array(step, pa.binary())], ["chunk", "part", "low", "step"])
+
+    return ask
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """A bit for each fingerprint of a chunk that another chunk has too."""
+    chunks, part = table.column("chunk").to_pylist(), table.column("part")[0].as_py()
+    values = []
+    for low, step in zip(table.column("low").to_pylist(), table.column("step").to_pylist(), strict=True):
+        high = np.cumsum(np.frombuffer(step, np.uint16), dtype=np.uint32)
+        values.append((high << np.uint32(16)) | np.frombuffer(low, np.uint16))
+    every = np.sort(np.concatenate(values))
+    several = np.unique(every[1:][every[1:] == every[:-1]])
+    told = [(c, np.isin(v, several, assume_unique=True)) for c, v in zip(chunks, values, strict=True)]
+    told = [(c, np.packbits(x).tobytes()) for c, x in told if x.any()]
+    return pa.table([pa.array([c for c, _ in told], pa.int32()), pa.array([part] * len(told), pa.int32()), pa.array([b for _, b in told], pa.binary())], ["chunk", "part", "bits"])
+
+
+SUFFIXES = "chunk int, part int, bits binary, words binary, ends binary, labels binary, docs binary, runs binary"
 
 
 def _send(plan: Plan) -> Callable:
-    def send(table: pa.Table) -> pa.Table:
+    """Of a chunk, for each part, its distinct suffixes that other chunks may have: a list of words, and by suffix their numbers in it (0: no single word), column by column."""
+
+    def send(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows or not told.num_rows:
+            return pa.Table.from_pylist([], schema=_SUFFIXES)
         chunk, rows = _Chunk(table, plan), []
-        for part, (a, b) in chunk.runs.items():
-            place = chunk.first[chunk.sent[a:b]]
-            doc = chunk.doc[place]
-            new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            rows.append((part, chunk.fingerprint[place].tobytes(), doc[new].tobytes(), np.diff(np.append(new, len(doc))).astype(np.uint32).tobytes()))
-        part, leaves, docs, runs = zip(*rows, strict=True) if rows else ((),) * 4
+        chunk.judged(told)
+        out, stretches = chunk.sent()
+        labels = np.column_stack([chunk.labels, chunk.before, chunk.behind])
+        size = chunk.w.ends - chunk.w.starts
+        for part, a, b in stretches:
+            own = labels[out[a:b]]
+            used, number = np.unique(np.append(own.ravel(), -1), return_inverse=True)  # -1 sorts first: number 0
+            spelt = chunk.spelt[used[1:]]
+            raw = b"".join(chunk.w.raw[x:y].tobytes() for x, y in zip(chunk.w.starts[spelt], chunk.w.ends[spelt], strict=True))
+            number = number[:-1].reshape(own.shape).astype(np.uint16 if len(used) <= 65536 else np.uint32)
+            doc = chunk.doc[chunk.found[chunk.first[out[a:b]]]]
+            new = _runs(doc)
+            rows.append((part, chunk.bits[part], raw, np.cumsum(size[spelt]).astype(np.uint32).tobytes(), np.asfortranarray(number).tobytes("F"), doc[new[:-1]].tobytes(), np.diff(new).astype(np.uint32).tobytes()))
+        columns = zip(*rows, strict=True) if rows else ((),) * 7
         number = table.column(CHUNK)[0].as_py()
-        return pa.table([pa.array([number] * len(rows), pa.int32()), pa.array(part, pa.int32()), pa.array(leaves, pa.binary()), pa.array(docs, pa.binary()), pa.array(runs, pa.binary())], ["chunk", "part", "leaves", "docs", "runs"])
+        return pa.table([pa.array([number] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, _SUFFIXES.types[1:], strict=True))], schema=_SUFFIXES)
 
     return send
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """The subtree of one part: sorted leaves, the smallest document of each deep internal node, and a bit for each leaf of a larger one."""
-    chunks, packed = table.column("chunk").to_pylist(), [table.column(c).to_pylist() for c in ("leaves", "docs", "runs")]
-    part = table.column("part")[0].as_py()
-    leaves = np.concatenate([np.frombuffer(x, np.uint64) for x in packed[0]])
-    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32)) for d, r in zip(packed[1], packed[2], strict=True)])
-    order = np.argsort(leaves)
-    leaves = leaves[order]
-    nodes = np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1]))
-    size = np.diff(np.append(nodes, len(leaves)))
-    smallest = np.repeat(np.minimum.reduceat(docs[order], nodes), size)
-    repeat = np.zeros(len(leaves), bool)
-    repeat[order] = docs[order] > smallest
-    ends = np.cumsum([len(x) // 8 for x in packed[0]])
-    told = [(c, np.packbits(repeat[e - len(x) // 8 : e]).tobytes()) for c, e, x in zip(chunks, ends, packed[0], strict=True) if repeat[e - len(x) // 8 : e].any()]
-    return pa.table([pa.array([c for c, _ in told], pa.int32()), pa.array([part] * len(told), pa.int32()), pa.array([b for _, b in told], pa.binary())], ["chunk", "part", "bits"])
+_SUFFIXES = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in ("bits", "words", "ends", "labels", "docs", "runs"))])
+
+
+@dataclass
+class Tree:
+    """The suffix tree of some word sequences, cut at their length, as an array: suffixes in lexicographic order and the common-prefix lengths of neighbours.
+
+    An internal node of depth d is a maximal stretch of neighbours whose common prefixes are d words or longer.
+    """
+
+    order: np.ndarray
+    common: np.ndarray
+
+    @classmethod
+    def of(cls, labels: np.ndarray) -> Tree:
+        """labels: rows of word ranks."""
+        n, length = labels.shape
+        wide = np.zeros((n, length + length % 2), np.uint64)
+        wide[:, :length] = labels
+        keys = (wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]
+        order = np.lexsort(keys.T[::-1])
+        common, going = np.zeros(max(n - 1, 0), np.int64), np.ones(max(n - 1, 0), bool)
+        for j in range(length):
+            column = labels[order, j]
+            going &= column[1:] == column[:-1]
+            common += going
+        return cls(order, common)
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the nodes of at least this depth, single leaves included, where each begins in the order, and the node of each suffix in it."""
+        new = np.append(True, self.common < depth) if len(self.order) else np.zeros(0, bool)
+        return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _words(blobs: list[bytes], ends: list[bytes]) -> tuple[list[np.ndarray], int]:
+    """Of the word lists of all chunks the rank of each word among all, 1 first; 0 leads each list."""
+    arrays = []
+    for raw, end in zip(blobs, ends, strict=True):
+        offsets = np.append(0, np.frombuffer(end, np.uint32)).astype(np.int64)
+        arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]))
+    coded = pa.concat_arrays(arrays).dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(coded.dictionary) + 1)
+    ranked = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    bounds = np.append(0, np.cumsum([len(a) for a in arrays]))
+    return [np.append(0, ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], len(rank)
+
+
+def _judge(length: int) -> Callable:
+    """The subtree of one part: of each suffix whether a smaller document has it, and whether its node branches to the left or the right."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        packed = {c: table.column(c).to_pylist() for c in _SUFFIXES.names}
+        ranks, _ = _words(packed["words"], packed["ends"])
+        labels, docs = [], []
+        for rank, raw, d, r in zip(ranks, packed["labels"], packed["docs"], packed["runs"], strict=True):
+            doc = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32))
+            number = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(doc) * (length + 2) else np.uint32)
+            labels.append(rank[number.reshape(length + 2, len(doc)).T])
+            docs.append(doc)
+        ends = np.cumsum([len(d) for d in docs])
+        label, doc = np.concatenate(labels), np.concatenate(docs)
+        tree = Tree.of(label[:, :length])
+        begin, node = tree.nodes(length)
+        doc, before, behind = doc[tree.order], label[tree.order, length], label[tree.order, length + 1]
+        flags = np.zeros((3, len(doc)), bool)
+        flags[0, tree.order] = doc > np.minimum.reduceat(doc, begin)[node]
+        for k, word in ((1, before), (2, behind)):
+            least, most = np.minimum.reduceat(word, begin), np.maximum.reduceat(word, begin)
+            flags[k, tree.order] = ((least != most) | (least == 0))[node]
+        told = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        return pa.table([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), table.column("bits").combine_chunks(), pa.array(told, pa.binary())], ["chunk", "part", "bits", "flags"])
+
+    return judge
 
 
 class _Verdict:
-    """Of a chunk, which words go."""
+    """Of a chunk, which words go, and the maximal repeats they are in."""
 
     def __init__(self, table: pa.Table, told: pa.Table, plan: Plan):
         chunk = _Chunk(table, plan)
-        self.w, self.order = chunk.w, chunk.order
-        smaller_elsewhere = np.zeros(len(chunk.first), bool)
-        for part, bits in zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True):
-            a, b = chunk.runs[part]
-            smaller_elsewhere[chunk.sent[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        repeat = smaller_elsewhere[chunk.of] | (chunk.doc > chunk.doc[chunk.first][chunk.of])
-        self.removed = covered(len(self.w), chunk.at[repeat], plan.length)
+        self.w, self.order, self.length = chunk.w, chunk.order, plan.length
+        chunk.judged(told)
+        smaller = np.zeros(len(chunk.first), bool)
+        left, right = chunk.before < 0, chunk.behind < 0
+        out, stretches = chunk.sent()
+        flags = dict(zip(told.column("part").to_pylist(), told.column("flags").to_pylist(), strict=True))
+        for part, a, b in stretches:
+            got = np.unpackbits(np.frombuffer(flags[part], np.uint8), count=3 * (b - a)).reshape(3, -1).astype(bool)
+            smaller[out[a:b]], left[out[a:b]], right[out[a:b]] = got[0], got[1], got[2]
+        doc = chunk.doc[chunk.found]
+        repeat = smaller[chunk.window] | (doc > doc[chunk.first][chunk.window])
+        self.begin = chunk.at[chunk.found[repeat]]
+        self.left, self.right = left[chunk.window][repeat], right[chunk.window][repeat]
+        self.removed = covered(len(self.w), self.begin, plan.length)
+
+    def passages(self) -> pa.Array:
+        """The maximal repeats of each text: stretches of repeats that follow each other without branching between them."""
+        begin, w = self.begin, self.w
+        row = w.rows()[begin] if len(begin) else begin
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] != begin[:-1] + 1) | (row[1:] != row[:-1]) | self.right[:-1] | self.left[1:]
+        a = np.flatnonzero(new)
+        size = np.diff(np.append(a, len(begin))) + self.length - 1
+        cuts = np.searchsorted(row[a], np.arange(len(w.counts) + 1))
+        runs = pa.StructArray.from_arrays([pa.array((begin[a] - w.first[row[a]]).astype(np.int32)), pa.array(size.astype(np.int32))], ["start", "words"])
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), runs)
 
     def texts(self) -> tuple[np.ndarray, np.ndarray]:
         """The kept words of each text, joined by one space: bytes and offsets."""
@@ -223,46 +406,33 @@ class _Verdict:
         return np.delete(out, tail), at
 
 
-def _passages(removed: np.ndarray, w: Words) -> pa.Array:
-    """Runs of removed words of each text."""
-    begin, end = removed.copy(), removed.copy()
-    if len(removed):
-        begin[1:] &= ~removed[:-1]
-        end[:-1] &= ~removed[1:]
-        inner = w.first[(w.first > 0) & (w.first < len(removed))]
-        begin[inner], end[inner - 1] = removed[inner], removed[inner - 1]
-    a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    cuts = np.searchsorted(a, w.first)
-    base = np.repeat(w.first[:-1], np.diff(cuts))
-    runs = pa.StructArray.from_arrays([pa.array((a - base).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["start", "words"])
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), runs)
-
-
 def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
 
-def _verdicts(docs: DataFrame, length: int, part_rows: int, finish: Callable, schema: str | T.StructType) -> DataFrame:
+def _verdicts(docs: DataFrame, length: int, part_rows: int, finish: Callable, schema: str | T.StructType, fingerprint: int = FINGERPRINT) -> DataFrame:
     arrow_rows(docs.sparkSession)
-    p = plan(docs, length, part_rows)
+    p = replace(plan(docs, length, part_rows), fingerprint=fingerprint)
     held = docs.sparkSession.sparkContext.broadcast(p)  # bounded: len(PREFIXES) tables of 2^BITS entries
     chunked = _dealt(docs, p.chunks)
-    sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _send(held.value)(t), "chunk int, part int, leaves binary, docs binary, runs binary")
-    told = sent.groupBy("part").applyInArrow(_judge, "chunk int, part int, bits binary")
+    asked = chunked.groupBy(CHUNK).applyInArrow(lambda t: _ask(held.value)(t), "chunk int, part int, low binary, step binary")
+    shared = asked.groupBy("part").applyInArrow(_tell, "chunk int, part int, bits binary")
+    sent = chunked.groupBy(CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(lambda a, b: _send(held.value)(a, b), SUFFIXES)
+    told = sent.groupBy("part").applyInArrow(_judge(length), "chunk int, part int, bits binary, flags binary")
     return chunked.groupBy(CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, _Verdict(a, b, held.value)), schema)
 
 
-def digests(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:
-    """doc_id, n_words, n_removed, SHA-256 of the kept words and the passages removed (first word and number of words)."""
+def digests(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS, fingerprint: int = FINGERPRINT) -> DataFrame:
+    """doc_id, n_words, n_removed, SHA-256 of the kept words and the maximal repeats that it has from smaller documents (first word and number of words)."""
 
     def finish(table: pa.Table, verdict: _Verdict) -> pa.Table:
         w, removed = verdict.w, verdict.removed
         raw, at = verdict.texts()
         sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
         ids = table.column("doc_id").cast(pa.int64()).take(pa.array(verdict.order))
-        return pa.table([ids, pa.array(w.counts.astype(np.int64)), pa.array(sums(removed, w.first)), pa.array(sha, pa.string()), _passages(removed, w)], ["doc_id", "n_words", "n_removed", "kept_sha256", "passages"])
+        return pa.table([ids, pa.array(w.counts.astype(np.int64)), pa.array(sums(removed, w.first)), pa.array(sha, pa.string()), verdict.passages()], ["doc_id", "n_words", "n_removed", "kept_sha256", "passages"])
 
-    return _verdicts(docs.select("doc_id", "text"), length, part_rows, finish, DIGESTS)
+    return _verdicts(docs.select("doc_id", "text"), length, part_rows, finish, DIGESTS, fingerprint)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:

@@ -107,6 +107,32 @@ class Words:
             out[k] = int.from_bytes(hashlib.blake2b(self.raw[self.starts[k] : self.ends[k]].tobytes(), digest_size=8).digest(), "little")
         return out
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a[i] and b[i] have the same bytes."""
+        size = self.ends - self.starts
+        out = size[a] == size[b]
+        padded = np.zeros(len(self.raw) + 8, np.uint8)
+        padded[: len(self.raw)] = self.raw
+        eights = np.ndarray((len(self.raw) + 1,), "<u8", padded.data, strides=(1,))
+        left, at = np.flatnonzero(out), 0
+        while len(left):
+            mask = _MASK[np.minimum(size[a[left]] - at, 8)]
+            equal = (eights[self.starts[a[left]] + at] & mask) == (eights[self.starts[b[left]] + at] & mask)
+            out[left[~equal]] = False
+            at += 8
+            left = left[equal]
+            left = left[size[a[left]] > at]
+        return out
+
+    def numbered(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words at some places a number each, equal for equal words alone, and a place of each number's word."""
+        _, first, number = np.unique(hashes[at], return_index=True, return_inverse=True)
+        if self.same(at, at[first][number]).all():
+            return number, at[first]
+        seen: dict[bytes, int] = {}  # words that share a hash: go by their bytes
+        number = np.array([seen.setdefault(self.raw[self.starts[k] : self.ends[k]].tobytes(), len(seen)) for k in at], np.int64)
+        return number, at[np.unique(number, return_index=True)[1]]
+
     def windows(self, hashes: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all windows of k words inside a row, and the word number at which each begins."""
         n = len(hashes) - k + 1

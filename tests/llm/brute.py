@@ -39,6 +39,30 @@ def substrings(rows, length=13):
     return out
 
 
+def maximal_repeats(rows, length=13):
+    """{doc_id: [(first word, words)]}: stretches of windows that a smaller document has, cut where their places in all texts are not the same, moved by one."""
+    split = {i: words(t) for i, t in rows}
+    places = defaultdict(set)
+    for i, w in split.items():
+        for k in range(len(w) - length + 1):
+            places[tuple(w[k : k + length])].add((i, k))
+    out = {}
+    for i, w in split.items():
+        found, last = [], None
+        for k in range(len(w) - length + 1):
+            now = places[tuple(w[k : k + length])]
+            if min(now)[0] >= i:
+                last = None
+                continue
+            if last is not None and {(j, at + 1) for j, at in last} == now:
+                found[-1][1] += 1
+            else:
+                found.append([k, length])
+            last = now
+        out[i] = [tuple(x) for x in found]
+    return out
+
+
 def near_classes(rows, threshold=0.8, k=5):
     """{doc_id: smallest id of its class} by all pairs of distinct texts."""
     by_text = defaultdict(list)

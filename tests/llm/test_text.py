@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from redactory.llm import neardup, rules, substrings
+from redactory.llm.words import Words
 from redactory.llm.sieve import sifted, with_figure, with_lookup
 from redactory.llm.words import Words
 
@@ -98,17 +99,45 @@ def passages():
     return texts + texts[40:60] + ["same words " * 30] * 5
 
 
-@pytest.mark.parametrize("part_rows", [substrings.PART_ROWS, 300])
-def test_substrings(spark, part_rows):
+@pytest.mark.parametrize("part_rows, fingerprint", [(substrings.PART_ROWS, 32), (300, 32), (300, 8)])
+def test_substrings(spark, part_rows, fingerprint):
+    """Also with fingerprints of so few bits that most of them collide: they cost work, not results."""
     texts = passages()
     docs = spark.createDataFrame(rows_of(texts), DOCS)
     expected = brute.substrings(list(enumerate(texts)))
-    got = {r.doc_id: r for r in substrings.digests(docs, part_rows=part_rows).collect()}
+    got = {r.doc_id: r for r in substrings.digests(docs, part_rows=part_rows, fingerprint=fingerprint).collect()}
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: x[:3] for i, x in expected.items()}
-    assert all(sum(p.words for p in r.passages) == r.n_removed for r in got.values())
-    cut = {r.doc_id: r for r in substrings.deduplicated(docs, part_rows=part_rows).collect()}
-    assert {i: brute.words(r.text) for i, r in cut.items()} == {i: x[3].split(" ") if x[3] else [] for i, x in expected.items() if not x[1] or x[1] < x[0]}
-    assert all(cut[i].text == texts[i] and cut[i].chunk == "c" for i, x in expected.items() if not x[1])
+    assert {i: [(p.start, p.words) for p in r.passages] for i, r in got.items()} == brute.maximal_repeats(list(enumerate(texts)))
+    if fingerprint == 32:
+        cut = {r.doc_id: r for r in substrings.deduplicated(docs, part_rows=part_rows).collect()}
+        assert {i: brute.words(r.text) for i, r in cut.items()} == {i: x[3].split(" ") if x[3] else [] for i, x in expected.items() if not x[1] or x[1] < x[0]}
+        assert all(cut[i].text == texts[i] and cut[i].chunk == "c" for i, x in expected.items() if not x[1])
+
+
+def test_words_that_share_a_hash(spark):
+    """Words go by their bytes, whatever their hashes say."""
+    w = Words(pa.array(["alpha beta alpha", None, "gamma beta " + "long" * 50 + "x", "long" * 50 + "y " + "long" * 50 + "x"]))
+    at = np.arange(len(w))
+    spelt = [w.raw[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
+    for hashes in (w.hashes(), np.zeros(len(w), np.uint64), w.hashes() % np.uint64(2)):
+        number, place = w.numbered(at, hashes)
+        assert [spelt[place[k]] for k in number] == spelt and len(place) == len(set(spelt))
+    assert all(w.same(np.array([i]), np.array([j]))[0] == (spelt[i] == spelt[j]) for i in at for j in at)
+
+
+def test_tree_of_words():
+    """Suffixes come in order of their words, and nodes are the classes of equal beginnings."""
+    rng = np.random.default_rng(2)
+    labels = rng.integers(1, 3, (300, 5)).astype(np.int64)
+    tree = substrings.Tree.of(labels)
+    rows = [tuple(r) for r in labels.tolist()]
+    assert [rows[k] for k in tree.order] == sorted(rows)
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    assert tree.common.tolist() == [common(rows[a], rows[b]) for a, b in zip(tree.order, tree.order[1:], strict=False)]
+    for depth in range(1, 6):
+        begin, node = tree.nodes(depth)
+        heads = [rows[k][:depth] for k in tree.order]
+        assert len(begin) == len(set(heads)) and all((node[i] == node[j]) == (heads[i] == heads[j]) for i in range(0, 300, 17) for j in range(0, 300, 13))
 
 
 def test_substrings_of_odd_tables(spark):
@@ -130,7 +159,7 @@ def test_chunks_do_not_hang_on_arrival(spark):
     for came in (rows, rows[::-1]):
         table = pa.table({"doc_id": pa.array([i for i, _ in came], pa.int64()), "text": pa.array([t for _, t in came])})
         chunk = substrings._Chunk(table, plan)
-        sent.append(chunk.fingerprint[chunk.first[chunk.sent]].tolist())
+        sent.append((chunk.asked.tolist(), chunk.doc.tolist(), [table.column("text")[int(k)].as_py() for k in chunk.order]))
     assert sent[0] == sent[1]
     chunks = substrings._dealt(spark.createDataFrame(rows, "doc_id long, text string"), 24).groupBy("doc_id").agg(F.countDistinct(substrings.CHUNK)).collect()
     assert min(r[1] for r in chunks) > 5
