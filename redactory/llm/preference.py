@@ -33,7 +33,7 @@ PER_LABEL, PAIRS, CUT, BINS = 2048, 16_384, 0.3, 4096
 SCHEMA = "doc_id long, strength double"
 #: Byte classes: each ASCII symbol for itself, then digits, capitals, small letters, line ends, other white space, other bytes.
 _SYMBOLS = [k for k in range(33, 127) if not chr(k).isalnum()]
-_CLASS = np.full(256, len(_SYMBOLS) + 5, np.int64)
+_CLASS = np.full(256, len(_SYMBOLS) + 5, np.uint8)
 for _i, _k in enumerate(_SYMBOLS):
     _CLASS[_k] = _i
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[10], _CLASS[[9, 11, 12, 13, 32]] = (len(_SYMBOLS) + k for k in range(5))
@@ -43,14 +43,13 @@ CLASSES = len(_SYMBOLS) + 6
 def features(texts: pa.Array) -> np.ndarray:
     w, rows = Words(texts), len(texts)
     size = np.diff(w.offsets)
-    of = np.repeat(np.arange(rows), size)
-    share = np.bincount(of * CLASSES + _CLASS[w.raw], minlength=rows * CLASSES).reshape(rows, CLASSES) / np.maximum(size, 1)[:, None]
+    kind = _CLASS[w.raw]
+    share = np.array([np.bincount(kind[a:b], minlength=CLASSES) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]).reshape(rows, CLASSES) / np.maximum(size, 1)[:, None]
     n = np.maximum(w.counts, 1)
     length = w.ends - w.starts
-    kind = _CLASS[w.raw]
     letter = (kind == len(_SYMBOLS) + 2) | (kind == len(_SYMBOLS) + 5)
     capital, symbol = kind == len(_SYMBOLS) + 1, kind < len(_SYMBOLS)
-    within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([w.starts, w.ends])], axis=0)[0]
+    within = lambda mask: np.diff(np.append(np.int32(0), np.cumsum(mask, dtype=np.int32))[np.stack([w.starts, w.ends])], axis=0)[0]
     small, caps, marks = within(letter), within(capital), within(symbol)
     shapes = [length == 1, length > 14, small == 0, (caps > 0) & (small == 0), (caps > 0) & (small > 0), marks == length, marks > 1, capital[w.starts] if len(w) else np.zeros(0, bool), symbol[w.ends - 1] if len(w) else np.zeros(0, bool)]
     shapes = [sums(x, w.first) / n for x in shapes]
@@ -114,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, pairs:
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20):
                 x = features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "x"])
 
@@ -132,7 +131,7 @@ def strengths(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(model.strength(features(part.column("text"))))], ["doc_id", "strength"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, SCHEMA)

@@ -125,7 +125,7 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of each text that need no vocabulary."""
     w = Words(texts)
     n = w.counts
-    inside = np.zeros(len(w.raw) + 1, np.int64)
+    inside = np.zeros(len(w.raw) + 1, np.int32)
     np.cumsum(~((w.raw & 0xC0) == 0x80), out=inside[1:])
     chars = sums(inside[w.ends] - inside[w.starts], w.first)
     keys, at = w.windows(w.hashes(), 3)
