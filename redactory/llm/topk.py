@@ -31,7 +31,7 @@ from pyspark.sql.window import Window as W
 from .session import Scratch, arrow_rows
 
 LEAF, K = 128, 5
-SAMPLE, CELLS, LENGTHS, SHARD_ROWS = 2048, 256, 8, 65_536
+SAMPLE, CELLS, CELL_ROWS, LENGTHS, SHARD_ROWS = 2048, 256, 4096, 8, 65_536
 #: How many cells a query has visited, best bound first, after each round.
 ROUNDS = (1, 8, CELLS)
 FOUND = "query_key long, query_id long, vec_id long, score long"
@@ -251,8 +251,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int |
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).withColumn("dim", F.size("v"))
 
     points, scratch = clean(vectors), Scratch(spark, "topk")
+    cells = min(CELLS, cells or max(1, vectors.count() // CELL_ROWS))
     sample = [r["v"] for r in points.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).collect()]
-    plan = Cells.fitted(sample, min(CELLS, cells or CELLS))
+    plan = Cells.fitted(sample, cells)
     points = scratch.write(points.mapInArrow(_celled(plan), "vec_id long, v array<long>, dim int, cell int"), "points")
     _boxes(points, plan)
 

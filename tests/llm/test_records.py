@@ -96,7 +96,7 @@ def test_search(spark, shards):
     whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     expected = brute.top_k(list(whole.items()), [(i, v) for i, v in whole.items() if i % 50 == 0])
     got = {}
-    for r in topk.search(df, df.where("vec_id % 50 = 0"), shard_rows=shards).collect():
+    for r in topk.search(df, df.where("vec_id % 50 = 0"), shard_rows=shards, cells=16 if shards else None, block_rows=3 if shards else 1000).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: v for q, v in expected.items() if v}
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
