@@ -1,15 +1,17 @@
 """Exact substring deduplication by prefix-partitioned suffix trees.
 
-Every position of a text where a window of ``length`` words fits begins a suffix. One pass counts suffixes by their first
-word, first two and first four words; a prefix that is too frequent is lengthened (in the end to the whole window), and
-the prefixes, now of variable length, are packed into parts of about ``part_rows`` suffixes that fit in a task's memory.
+Every position of a text where a window of ``length`` words fits begins a suffix. A suffix goes by a prefix of one, two or
+four words: of those that begin inside its window the one of least hash, so that equal windows go by the same prefix, and
+neighbours in a text mostly do too and travel together. One pass counts suffixes by their prefixes; a prefix that is too
+frequent is lengthened (in the end to the whole window), and the prefixes, now of variable length, are packed into parts
+of about ``part_rows`` suffixes that fit in a task's memory.
 
 A suffix that hangs on no deep internal node is a leaf by itself, and most are. So parts first see 32-bit fingerprints of
 windows alone and tell which stand in several chunks of texts; a false one costs work but no result. Of those, chunks send
-the words: for each part the suffixes that begin with its prefixes, cut at depth ``length``, with the word before and the
-word behind. The part's task sorts them by their words, takes the common-prefix lengths of neighbours, and reads the deep
-internal nodes, those of depth ``length``, off them: the smallest document below a node, and whether what stands before
-or behind its leaves differs. Words are compared as words, nowhere by a hash, so results are exact.
+the words: for each part the stretches of text that its suffixes begin in, with a word before and a word behind. The part's
+task sorts the suffixes, cut at depth ``length``, by their words, takes the common-prefix lengths of neighbours, and reads
+the deep internal nodes, those of depth ``length``, off them: the smallest document below a node, and whether what stands
+before or behind its leaves differs. Words are compared as words, nowhere by a hash, so results are exact.
 
 Every leaf of a larger document than its node's smallest is a repeat, and the words its window covers go. Consecutive
 repeats whose nodes branch neither to the left nor to the right between them have the same places everywhere: they make
@@ -53,17 +55,21 @@ LAST = np.iinfo(np.int64).max
 
 
 def suffixes(w: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Fingerprint and word number of every suffix's window, and the bins of its prefixes."""
+    """Fingerprint and word number of every suffix's window, and the bins of the prefixes of each length that it goes by."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(PREFIXES)
     last = np.repeat(w.first[1:], w.counts)
     at = np.flatnonzero(last[:n] >= np.arange(length, n + length))
-    total, bins = np.zeros(n, np.uint64), []
+    total, bins = np.zeros(len(hashes), np.uint64), []
     for j in range(length):
-        total += hashes[j : j + n] * _ODD[j]
+        total[: len(hashes) - j] += hashes[j:] * _ODD[j]
         if j + 1 in PREFIXES and j + 1 < length:
-            bins.append((mix(total[at] + np.uint64(j)) >> np.uint64(64 - BITS)).astype(np.int64))
+            here = mix(total + np.uint64(j))
+            least = here[:n].copy()  # over the prefixes of this length that begin and end inside each window
+            for k in range(1, length - j):
+                np.minimum(least, here[k : n + k], out=least)
+            bins.append((mix(least[at]) >> np.uint64(64 - BITS)).astype(np.int64))
     return mix(total[at]), at, bins
 
 
@@ -184,20 +190,20 @@ class _Chunk:
         for j in range(-1, n + 1):
             inside[np.maximum(begin + j, 0)] = True
         placed = np.flatnonzero(inside[: len(self.w)])
-        number, self.spelt = self.w.numbered(placed, self.hashes)
-        self.number = np.full(len(self.w), -1, np.int64)
-        self.number[placed] = number
-        labels = np.stack([self.number[begin + j] for j in range(n)], 1).astype(np.int32) if len(begin) else np.zeros((0, n), np.int32)
+        number = np.full(len(self.w), -1, np.int64)
+        number[placed] = self.w.numbered(placed, self.hashes)[0]
         _, rep, self.window = np.unique(self.of[self.found], return_index=True, return_inverse=True)
-        if not (labels == labels[rep][self.window]).all():  # windows that share a fingerprint: go by their words
+        like = begin[rep][self.window]
+        if not all((number[begin + j] == number[like + j]).all() for j in range(n)):  # windows that share a fingerprint: go by their words
+            labels = np.stack([number[begin + j] for j in range(n)], 1)
             _, rep, self.window = np.unique(labels, axis=0, return_index=True, return_inverse=True)
             self.window = self.window.ravel()
-        self.first, self.labels = rep, labels[rep]  # suffixes come by document, so the first is of the smallest
+        self.first = rep  # suffixes come by document, so the first is of the smallest
         self.away = away[self.of[self.found[rep]]]
         first = self.w.first
         row = self.w.rows()[begin] if len(begin) else begin
-        before = np.where(begin > first[row], self.number[np.maximum(begin - 1, 0)], -1)
-        behind = np.where(begin + n < first[row + 1], self.number[np.minimum(begin + n, max(len(self.w) - 1, 0))], -1) if len(begin) else begin
+        before = np.where(begin > first[row], number[np.maximum(begin - 1, 0)], -1)
+        behind = np.where(begin + n < first[row + 1], number[np.minimum(begin + n, max(len(self.w) - 1, 0))], -1) if len(begin) else begin
         self.before, self.behind = (self._one(x) for x in (before, behind))
 
     def _one(self, word: np.ndarray) -> np.ndarray:
@@ -245,11 +251,12 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([c for c, _ in told], pa.int32()), pa.array([part] * len(told), pa.int32()), pa.array([b for _, b in told], pa.binary())], ["chunk", "part", "bits"])
 
 
-SUFFIXES = "chunk int, part int, bits binary, words binary, ends binary, labels binary, docs binary, runs binary"
+SUFFIXES = "chunk int, part int, bits binary, text binary, ends binary, sizes binary, lead binary, several binary, docs binary, runs binary"
+_SUFFIXES = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in ("bits", "text", "ends", "sizes", "lead", "several", "docs", "runs"))])
 
 
 def _send(plan: Plan) -> Callable:
-    """Of a chunk, for each part, its distinct suffixes that other chunks may have: a list of words, and by suffix their numbers in it (0: no single word), column by column."""
+    """Of a chunk, for each part, its distinct suffixes that other chunks may have: the stretches of text that hold them, how many begin in each, whether a word leads, and by suffix whether several words stand before or behind."""
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
@@ -257,27 +264,31 @@ def _send(plan: Plan) -> Callable:
         chunk, rows = _Chunk(table, plan), []
         chunk.judged(told)
         out, stretches = chunk.sent()
-        labels = np.column_stack([chunk.labels, chunk.before, chunk.behind])
-        size = chunk.w.ends - chunk.w.starts
+        w, raw = chunk.w, memoryview(np.ascontiguousarray(chunk.w.raw))
+        place = chunk.found[chunk.first[out]]
+        begin, doc = chunk.at[place], chunk.doc[place]
+        row = w.rows()[begin] if len(begin) else begin
         for part, a, b in stretches:
-            own = labels[out[a:b]]
-            used, number = np.unique(np.append(own.ravel(), -1), return_inverse=True)  # -1 sorts first: number 0
-            spelt = chunk.spelt[used[1:]]
-            raw = b"".join(chunk.w.raw[x:y].tobytes() for x, y in zip(chunk.w.starts[spelt], chunk.w.ends[spelt], strict=True))
-            number = number[:-1].reshape(own.shape).astype(np.uint16 if len(used) <= 65536 else np.uint32)
-            doc = chunk.doc[chunk.found[chunk.first[out[a:b]]]]
-            new = _runs(doc)
-            rows.append((part, chunk.bits[part], raw, np.cumsum(size[spelt]).astype(np.uint32).tobytes(), np.asfortranarray(number).tobytes("F"), doc[new[:-1]].tobytes(), np.diff(new).astype(np.uint32).tobytes()))
-        columns = zip(*rows, strict=True) if rows else ((),) * 7
+            own, of = begin[a:b], row[a:b]
+            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (of[1:] != of[:-1])))
+            size = np.diff(np.append(new, b - a))
+            first, of = own[new], of[new]
+            lead = first > w.first[of]
+            behind = np.minimum(first + size + plan.length - 1, w.first[of + 1] - 1)
+            starts, ends = w.starts[first - lead], w.ends[behind]
+            several = np.stack([chunk.before[out[a:b]] < 0, chunk.behind[out[a:b]] < 0])
+            of_doc = _runs(doc[a:b])
+            rows.append((
+                part, chunk.bits[part], b"".join([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]), np.cumsum(ends - starts).astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(),
+                lead.astype(np.uint8).tobytes(), np.packbits(several).tobytes(), doc[a:b][of_doc[:-1]].tobytes(), np.diff(of_doc).astype(np.uint32).tobytes(),
+            ))
+        columns = zip(*rows, strict=True) if rows else ((),) * 9
         number = table.column(CHUNK)[0].as_py()
         return pa.table([pa.array([number] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, _SUFFIXES.types[1:], strict=True))], schema=_SUFFIXES)
 
     return send
 
 
-_SUFFIXES = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in ("bits", "words", "ends", "labels", "docs", "runs"))])
-
-
 @dataclass
 class Tree:
     """The suffix tree of some word sequences, cut at their length, as an array: suffixes in lexicographic order and the common-prefix lengths of neighbours.
@@ -309,18 +320,16 @@ class Tree:
         return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _words(blobs: list[bytes], ends: list[bytes]) -> tuple[list[np.ndarray], int]:
-    """Of the word lists of all chunks the rank of each word among all, 1 first; 0 leads each list."""
-    arrays = []
-    for raw, end in zip(blobs, ends, strict=True):
-        offsets = np.append(0, np.frombuffer(end, np.uint32)).astype(np.int64)
-        arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]))
-    coded = pa.concat_arrays(arrays).dictionary_encode()
-    rank = np.empty(len(coded.dictionary), np.int64)
-    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(coded.dictionary) + 1)
-    ranked = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-    bounds = np.append(0, np.cumsum([len(a) for a in arrays]))
-    return [np.append(0, ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], len(rank)
+def _ranked(w: Words) -> np.ndarray:
+    """Of each word its rank among all in the order of their bytes, from 1."""
+    number, place = w.numbered(np.arange(len(w)), w.hashes())
+    size = (w.ends - w.starts)[place]
+    raw = b"".join([w.raw[a:b].tobytes() for a, b in zip(w.starts[place], w.ends[place], strict=True)])
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+    rank = np.empty(len(place), np.int64)
+    rank[pc.array_sort_indices(spelt).to_numpy()] = np.arange(1, len(place) + 1)
+    return rank[number]
 
 
 def _judge(length: int) -> Callable:
@@ -328,24 +337,32 @@ def _judge(length: int) -> Callable:
 
     def judge(table: pa.Table) -> pa.Table:
         packed = {c: table.column(c).to_pylist() for c in _SUFFIXES.names}
-        ranks, _ = _words(packed["words"], packed["ends"])
-        labels, docs = [], []
-        for rank, raw, d, r in zip(ranks, packed["labels"], packed["docs"], packed["runs"], strict=True):
-            doc = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32))
-            number = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(doc) * (length + 2) else np.uint32)
-            labels.append(rank[number.reshape(length + 2, len(doc)).T])
-            docs.append(doc)
-        ends = np.cumsum([len(d) for d in docs])
-        label, doc = np.concatenate(labels), np.concatenate(docs)
-        tree = Tree.of(label[:, :length])
-        begin, node = tree.nodes(length)
-        doc, before, behind = doc[tree.order], label[tree.order, length], label[tree.order, length + 1]
-        flags = np.zeros((3, len(doc)), bool)
-        flags[0, tree.order] = doc > np.minimum.reduceat(doc, begin)[node]
-        for k, word in ((1, before), (2, behind)):
-            least, most = np.minimum.reduceat(word, begin), np.maximum.reduceat(word, begin)
+        whole = lambda c, kind: [np.frombuffer(x, kind) for x in packed[c]]
+        ends, sizes = whole("ends", np.uint32), whole("sizes", np.uint32)
+        bounds = np.cumsum([len(x) for x in packed["text"]]) - [len(x) for x in packed["text"]]
+        offsets = np.append(0, np.concatenate([e.astype(np.int64) + b for e, b in zip(ends, bounds, strict=True)]))
+        text = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(packed["text"])))
+        w = Words(text)
+        rank, size, lead = _ranked(w), np.concatenate(sizes).astype(np.int64), np.concatenate(whole("lead", np.uint8)).astype(bool)
+        n = int(size.sum())
+        inner = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        begin = np.repeat(w.first[:-1] + lead, size) + inner
+        label = np.stack([rank[begin + j] for j in range(length)], 1)
+        held = [int(x.sum()) for x in sizes]
+        several = np.concatenate([np.unpackbits(x, count=2 * k).reshape(2, k) for x, k in zip(whole("several", np.uint8), held, strict=True)], 1).astype(bool)
+        before = np.where(several[0] | ((inner == 0) & ~np.repeat(lead, size)), 0, rank[np.maximum(begin - 1, 0)])
+        behind = np.where(several[1] | (begin + length >= np.repeat(w.first[1:], size)), 0, rank[np.minimum(begin + length, len(rank) - 1)])
+        doc = np.concatenate([np.repeat(d, r) for d, r in zip(whole("docs", np.int64), whole("runs", np.uint32), strict=True)])
+        tree = Tree.of(label)
+        first, node = tree.nodes(length)
+        doc = doc[tree.order]
+        flags = np.zeros((3, n), bool)
+        flags[0, tree.order] = doc > np.minimum.reduceat(doc, first)[node]
+        for k, word in ((1, before[tree.order]), (2, behind[tree.order])):
+            least, most = np.minimum.reduceat(word, first), np.maximum.reduceat(word, first)
             flags[k, tree.order] = ((least != most) | (least == 0))[node]
-        told = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        upto = np.append(0, np.cumsum(held))
+        told = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
         return pa.table([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), table.column("bits").combine_chunks(), pa.array(told, pa.binary())], ["chunk", "part", "bits", "flags"])
 
     return judge
