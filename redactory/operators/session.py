@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.render import Restoration
+from redactory.functions.render import Restoration, StreamRestorer, restore
+from redactory.plans.errors import VaultError
 from redactory.plans.policy import Resolved
 
-from .redact import Redactor, redact_text
+from . import vault
+from .redact import Redactor, redact_text, restored
+from .structured import walk
 
 OUT = "conv_id long, turn long, role string, redacted string, map map<string,string>"
 
@@ -61,3 +64,52 @@ def conversation_maps(redacted: DataFrame) -> DataFrame:
     """(conv_id, map): all placeholders of each conversation, to hydrate a later session with."""
     pairs = redacted.select("conv_id", F.explode("map").alias("placeholder", "original")).distinct()
     return pairs.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("map"))
+
+
+class Shared:
+    """One numbering over all texts it is given, in one process: what adapters of clients work by.
+
+    With ``by_value`` equal values keep one placeholder, as in a session; ``given`` are placeholders of an earlier one.
+    """
+
+    def __init__(self, redactor: Redactor, by_value: bool = False, given: dict[str, str] | None = None):
+        self.policy, self.by_value, self.given = redactor.policy, by_value, dict(given or {})
+        self.reset()
+
+    def reset(self) -> None:
+        self.state = Restoration(self.by_value).hydrate(self.given)
+
+    @property
+    def map(self) -> dict[str, str]:
+        return dict(self.state.map)
+
+    def redact(self, text: str) -> str:
+        return redact_text(self.policy, text, self.state)
+
+    def redact_value(self, value: object) -> object:
+        return walk(value, self.redact)
+
+    def restore(self, text: str) -> str:
+        return restore(text, self.state.map)
+
+    def stream(self) -> StreamRestorer:
+        return StreamRestorer(self.map)
+
+
+def redact_turns_sealed(turns: DataFrame, redactor: Redactor, provider: vault.Provider, given: DataFrame | None = None) -> DataFrame:
+    """redact_turns whose maps leave as sealed blobs: conv_id, turn, role, redacted, sealed. ``given`` (conv_id, sealed) hydrates conversations."""
+    if redactor.policy.detect_only:
+        raise VaultError("VAULT_ENCRYPT_FAILED")
+    prior = vault.open_sealed(given, provider) if given is not None else None
+    return vault.seal(redact_turns(turns, redactor, prior), provider)
+
+
+def sealed_conversations(sealed: DataFrame, provider: vault.Provider) -> DataFrame:
+    """(conv_id, sealed): the whole map of each conversation, sealed anew, to hydrate a later session with."""
+    return vault.seal(conversation_maps(vault.open_sealed(sealed, provider)), provider)
+
+
+def restore_turns_sealed(sealed: DataFrame, provider: vault.Provider, text: str = "redacted") -> DataFrame:
+    """The rows with their texts restored by their sealed maps, which go."""
+    opened = vault.open_sealed(sealed, provider)
+    return opened.withColumn(text, restored(F.col(text), F.coalesce("map", F.create_map().cast("map<string,string>")))).drop("map")

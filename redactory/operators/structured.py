@@ -51,7 +51,7 @@ def has_text(kind: T.DataType) -> bool:
 
 
 def walk(value: object, text: Callable[[str], str], name: str = "") -> object:
-    """A nested Python value redacted."""
+    """A nested Python value redacted; the names of its fields stay."""
     if value is None:
         return None
     if name and secret(name):
@@ -62,7 +62,7 @@ def walk(value: object, text: Callable[[str], str], name: str = "") -> object:
     if isinstance(value, str):
         return text(value)
     if isinstance(value, dict):
-        return {text(k) if isinstance(k, str) else k: walk(v, text, k if isinstance(k, str) else "") for k, v in value.items()}
+        return {k: walk(v, text, k if isinstance(k, str) else "") for k, v in value.items()}
     if isinstance(value, (list, tuple, set)):
         return [walk(v, text) for v in value]
     return value

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-# Codes, messages and default HTTP statuses.
+# Codes and default HTTP statuses.
 CODES = {
-    "INVALID_CONFIG": (400, "Configuration or input has an invalid shape."),
-    "UNKNOWN_RULE": (400, "Configuration contains an unknown rule."),
-    "EMPTY_POLICY": (400, "At least one rule must be enabled."),
-    "INPUT_LIMIT": (413, "Input exceeds the complete-string limit."),
-    "DETECTOR_CONTRACT": (500, "A detector violated its declared contract."),
-    "POLICY_CONFLICT": (409, "Presets contain conflicting rule settings that require explicit override."),
-    "STREAM_UNSUPPORTED": (400, "One or more active rules do not support streaming."),
-    "BUFFER_LIMIT": (413, "Streaming buffer exceeded the configured limit."),
-    "SOURCE_FAILURE": (424, "The stream source produced an error."),
-    "CANCELLED": (499, "The operation was cancelled."),
+    "INVALID_CONFIG": (400, "A setting or an input does not have the shape it should."),
+    "UNKNOWN_RULE": (400, "No rule or preset goes by a name that was given."),
+    "EMPTY_POLICY": (400, "A policy needs a rule that is on."),
+    "INPUT_LIMIT": (413, "A text is longer than the limit for whole texts."),
+    "DETECTOR_CONTRACT": (500, "A detector did what its declaration rules out."),
+    "POLICY_CONFLICT": (409, "Presets disagree about a rule; say under rules which setting counts."),
+    "STREAM_UNSUPPORTED": (400, "A rule that is on cannot work on streams."),
+    "BUFFER_LIMIT": (413, "A stream held back more text than its buffer may hold."),
+    "SOURCE_FAILURE": (424, "What feeds the stream failed."),
+    "CANCELLED": (499, "The work was called off."),
 }
 VAULT_CODES = {
-    "VAULT_ENCRYPT_FAILED": "Vault encryption operation failed.",
-    "VAULT_DECRYPT_FAILED": "Vault decryption operation failed.",
-    "VAULT_INVALID_KEY": "The provided key is invalid. Expected 32 bytes or a passphrase string.",
-    "VAULT_INVALID_SEALED_BLOB": "The sealed blob is malformed or has an unsupported version.",
-    "VAULT_PROVIDER_MISMATCH": "The sealed blob was created with a different vault provider.",
-    "VAULT_DEK_GENERATION_FAILED": "Failed to generate data encryption key.",
-    "VAULT_DEK_DECRYPT_FAILED": "Failed to decrypt the data encryption key.",
+    "VAULT_ENCRYPT_FAILED": "Could not encrypt for the vault.",
+    "VAULT_DECRYPT_FAILED": "Could not decrypt what the vault holds.",
+    "VAULT_INVALID_KEY": "A key must be 32 bytes or a passphrase.",
+    "VAULT_INVALID_SEALED_BLOB": "Not a sealed blob, or one of another version.",
+    "VAULT_PROVIDER_MISMATCH": "Another provider sealed this blob.",
+    "VAULT_DEK_GENERATION_FAILED": "Could not make a data key.",
+    "VAULT_DEK_DECRYPT_FAILED": "Could not unwrap a data key.",
 }
 
 

@@ -44,3 +44,12 @@ def allowlist_values(spark: SparkSession, path: str, most: int = 100_000) -> tup
 def text_stream(spark: SparkSession, path: str, schema: str = "stream_id string, seq long, chunk string, is_last boolean") -> DataFrame:
     """Chunks that arrive as JSON files."""
     return spark.readStream.schema(schema).json(path)
+
+
+def read_names(spark: SparkSession, path: str, most: int = 500_000) -> frozenset[str]:
+    """A list of names for a policy, one a line, in small letters: the first word of each line, so census tables with figures behind the name do as they are. Bounded, since every task holds it."""
+    word = F.lower(F.regexp_extract(F.col("value"), r"^\s*([\p{L}'’-]+)", 1))
+    rows = spark.read.text(path).select(word.alias("name")).where("name <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise RedactionError("INVALID_CONFIG", "names")
+    return frozenset(r["name"] for r in rows)

@@ -9,8 +9,9 @@ Streaming (transformWithStateInPandas, keyed by stream) run the same code.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass, field
+import warnings
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import asdict, dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -99,10 +100,39 @@ def advance(policy: Resolved, flow: Flow, chunk: str, last: bool, report: bool =
     return events
 
 
-def redact_chunks(chunks: DataFrame, redactor: Redactor, report: bool = False) -> DataFrame:
-    """Batch form: (stream_id, seq, chunk) to events; a stream's last chunk by seq ends it."""
+def policy_of(redactor: Redactor, restore: bool | None = None) -> Resolved:
+    """The policy that a stream works by: ``restore`` says otherwise than the redactor's for this stream; scorers are not asked."""
+    if redactor.given.semantic is not None:
+        warnings.warn("scorers confirm whole texts only: what this stream finds is not confirmed", stacklevel=3)
     policy = redactor.policy
+    if restore is not None and restore != policy.restore:
+        if restore and policy.detect_only:
+            raise RedactionError("INVALID_CONFIG", "restore")
+        policy = replace(policy, restore=restore)
     margins(policy)
+    return policy
+
+
+def events_of(chunks: Iterable[str], redactor: Redactor, report: bool = False, restore: bool | None = None, cancelled: Callable[[], bool] = lambda: False) -> Iterator[dict]:
+    """The events of one stream in this process. It ends with CANCELLED once ``cancelled`` says so, and with SOURCE_FAILURE where its source fails."""
+    policy, flow, source = policy_of(redactor, restore), Flow(), iter(chunks)
+    while True:
+        try:
+            chunk = next(source, None)
+        except RedactionError:
+            raise
+        except Exception as x:
+            raise RedactionError("SOURCE_FAILURE") from x
+        if cancelled():
+            raise RedactionError("CANCELLED")
+        yield from advance(policy, flow, chunk or "", chunk is None, report)
+        if chunk is None:
+            return
+
+
+def redact_chunks(chunks: DataFrame, redactor: Redactor, report: bool = False, restore: bool | None = None) -> DataFrame:
+    """Batch form: (stream_id, seq, chunk) to events; a stream's last chunk by seq ends it."""
+    policy = policy_of(redactor, restore)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, flow, held = None, Flow(), None
@@ -156,11 +186,11 @@ class RedactProcessor(StatefulProcessor):
         pass
 
 
-def redact_stream(chunks: DataFrame, redactor: Redactor, report: bool = False) -> DataFrame:
+def redact_stream(chunks: DataFrame, redactor: Redactor, report: bool = False, restore: bool | None = None) -> DataFrame:
     """Streaming form: (stream_id, seq, chunk, is_last) to events; within a micro-batch chunks go by seq."""
-    margins(redactor.policy)
+    policy = policy_of(redactor, restore)
     # The state store's provider for transformWithState must be RocksDB.
-    return chunks.groupBy("stream_id").transformWithStateInPandas(RedactProcessor(redactor.policy, report), outputStructType=EVENTS, outputMode="Append", timeMode="None")
+    return chunks.groupBy("stream_id").transformWithStateInPandas(RedactProcessor(policy, report), outputStructType=EVENTS, outputMode="Append", timeMode="None")
 
 
 def joined(events: DataFrame) -> DataFrame:
