@@ -10,7 +10,7 @@ backslash is doubled, then ``\\.`` goes behind the first character of each contr
 
 Conversations are brought together by one shuffle and sort on conv_id and turn; formatting and reading stream through
 the sorted rows, so a task holds one conversation's rendered text at most and never a table of them. The output of the
-method itself grows with the square of a conversation's turns.
+method itself grows with the square of a conversation's turns; reading it back shuffles each reply once, not the texts.
 
 Defined results: rows order by turn, then role and text; a null text or role is empty; a null conv_id is one
 conversation; equal rows stay separate turns; other columns are ignored; an empty table gives no rows.
@@ -33,7 +33,6 @@ _CONTROLS = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(\\|\.|n)")
 _TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?)</s>|\[ROLE\] (?P<role>[^\n]*)\n(?P<text>.*?) \[/ROLE\]", re.S)
 EXAMPLES = "conv_id long, example int, n_turns int, text string, target_start long, target_end long"
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -58,6 +57,11 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 def parse(text: str) -> list[tuple[str, str]]:
     """The turns (role, text) of a rendered conversation."""
+    return [(role, said) for role, said, _ in _parsed(text)]
+
+
+def _parsed(text: str) -> list[tuple[str, str, int]]:
+    """The turns with the place where each ends."""
     if not text.startswith("<s>"):
         raise ValueError("a formatted conversation begins with <s>")
     at, turns = 3, []
@@ -66,8 +70,8 @@ def parse(text: str) -> list[tuple[str, str]]:
         if not m:
             raise ValueError(f"no turn at {at}")
         role = next(k for k in ("user", "assistant", "role") if m[k] is not None)
-        turns.append((unescape(m["role"]), unescape(m["text"])) if role == "role" else (role, unescape(m[role])))
         at = m.end()
+        turns.append((unescape(m["role"]), unescape(m["text"]), at) if role == "role" else (role, unescape(m[role]), at))
     return turns
 
 
@@ -84,7 +88,8 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 8 << 20) -> I
 
 
 _EXAMPLE_ROWS = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("n_turns", pa.int32()), ("text", pa.string()), ("target_start", pa.int64()), ("target_end", pa.int64())])
-_DIGEST_ROWS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_PARTS = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("whole", pa.string()), ("before", pa.string()), ("loss", pa.string()), ("chars", pa.int64())])
+PARTS = "conv_id long, example int, n_turns long, turns_sha256 string, whole string, before string, loss string, chars long"
 
 
 def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,37 +123,36 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adjacent examples to a digest of each conversation, from the formatted texts alone."""
+    """What each example says, from its formatted text alone: its turns, what it trains on, and digests of the whole text and of the text up to the reply before."""
 
     def rows() -> Iterator[tuple]:
-        now, last, chars, loss_chars, loss = object(), "", 0, 0, hashlib.sha256()
+        for batch in batches:
+            for conv, example, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "example", "text", "target_start", "target_end")), strict=True):
+                turns, said = _parsed(text), hashlib.sha256()
+                for role, told, _ in turns:
+                    said.update(f"{role}\n{told}\n".encode("utf-8", "surrogatepass"))
+                replies = [at for role, _, at in turns if role == "assistant" and (start is None or at < len(text))]
+                before = _sha(text[: replies[-1]]) if replies else None
+                yield conv, example, len(turns), said.hexdigest(), _sha(text), before, unescape(text[start:end]) if start is not None else "", len(text)
 
-        def digest() -> tuple:
-            turns, said = parse(last), hashlib.sha256()
-            for role, text in turns:
-                said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            return now, len(turns), said.hexdigest(), loss_chars, loss.hexdigest(), chars
+    return _batches(rows(), _PARTS)
 
-        for batch in batches:
-            for conv, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "target_start", "target_end")), strict=True):
-                if conv != now:
-                    if last:
-                        yield digest()
-                    now, chars, loss_chars, loss = conv, 0, 0, hashlib.sha256()
-                last, chars = text, chars + len(text)
-                if start is not None:
-                    trained = unescape(text[start:end])
-                    loss.update(trained.encode("utf-8", "surrogatepass"))
-                    loss_chars += len(trained)
-        if last:
-            yield digest()
 
-    return _batches(rows(), _DIGEST_ROWS)
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What examples() wrote, read back: turns, trained text and length of each conversation."""
-    return formatted.mapInArrow(read_back, DIGESTS)
+    """What examples() wrote, read back in whatever order and splits: turns, trained text and length of each conversation.
+
+    Every example is read. Its context must be the example before it, whole: a conversation where one differs has a null turns_sha256.
+    """
+    told = F.array_sort(F.collect_list(F.struct("example", "n_turns", "turns_sha256", "whole", "before", "loss", "chars"))).alias("e")
+    rows = formatted.mapInArrow(read_back, PARTS).groupBy("conv_id").agg(told)
+    kept = F.forall(F.sequence(F.lit(0), F.size("e") - 1), lambda k: F.col("e")[k]["before"].eqNullSafe(F.when(k > 0, F.col("e")[k - 1]["whole"])))
+    last, loss = F.element_at("e", -1), F.array_join(F.col("e.loss"), "")
+    total = F.aggregate(F.col("e.chars"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("conv_id", last["n_turns"].alias("n_turns"), F.when(kept, last["turns_sha256"]).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), total.alias("formatted_chars"))
 
 
 def probe(spark: SparkSession) -> DataFrame:
