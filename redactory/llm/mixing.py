@@ -10,7 +10,7 @@ finish time; one slice is then ordered.
 
 Defined results: a null text has size 0; size-0 documents are never taken (0 words) and do not move the queue; a null
 source is a source of its own, last in order; rows of equal id, source and size are peers, taken together or not at
-all; a null id hashes as the empty string; an empty table gives no rows; other columns are carried along unchanged.
+all; null ids hash by size; an empty table gives no rows; other columns are carried along unchanged.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import written
+from .session import Scratch, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of a source in a hash bucket, at most about; rows in a slice of finish times, about.
@@ -30,8 +30,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    shuffled = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffled.alias("h"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    shuffled = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))), 1, 15), 16, 10).cast("long")
+    return sized.withColumn("h", shuffled)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -69,19 +70,20 @@ def _finish(epoch: int | Column) -> Column:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, queued (its source's words up to it), epochs (times taken), taken (words)."""
-    rows = written(_sized(docs), "mix-sizes")
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.write(_sized(docs), "sizes")
     count = rows.count()
     slices = max(16, 2 * count // ROWS_IN_SLICE)
 
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / ROWS_IN_BUCKET))).cast("int")
-    sources = written(targets(sources, weights, most).withColumnRenamed("source", "s").withColumn("bits", bits), "mix-sources")
+    sources = scratch.write(targets(sources, weights, most).withColumnRenamed("source", "s").withColumn("bits", bits), "sources")
     known = rows.join(_small(sources, sources.count()), F.col("source").eqNullSafe(F.col("s"))).withColumn("b", F.expr("shiftright(h, 60 - bits)"))
 
     groups = known.groupBy("r", "b").agg(F.sum("size").alias("group_size"))
     running = W.partitionBy("r").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.select(F.col("r").alias("r2"), F.col("b").alias("b2"), F.coalesce(F.sum("group_size").over(running), F.lit(0)).alias("ahead"))
-    groups = written(groups, "mix-groups")
+    groups = scratch.write(groups, "groups")
 
     inside = W.partitionBy("r", "b").orderBy("h", "doc_id", "size")
     queued = (
@@ -90,6 +92,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         .select("doc_id", "source", "size", "h", "r", "source_size", "target", "total", (F.col("ahead") + F.col("here")).alias("queued"))
     )
     queued = written(queued, "mix-queue")
+    scratch.close()
 
     items = queued.where("size > 0").select("size", "r", "h", "doc_id", "total", F.explode(F.array(*[_finish(e) for e in range(most)])).alias("finish"))
     items = items.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(4 * slices)))
@@ -122,7 +125,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'size ' || size)), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (
   SELECT source, source_size, r, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap
