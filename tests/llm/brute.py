@@ -158,3 +158,27 @@ def quality_features(text, symbols):
     lines = raw.count(b"\n")
     more = [math.log1p(len(w)), math.log1p(len(raw)), sum(map(len, w)) / n, len(set(w)) / n, base[4] / n, base[3] / (lines + 1), lines / n]
     return [*(math.sqrt(x / max(len(raw), 1)) for x in share), *(sum(x) / n for x in shapes), *more]
+
+
+def pack(sizes, lengths, overhead):
+    """Bin of each piece and each bin's length: longest first, into the bin it leaves least room in; a new one of the length that costs least a word it can fill."""
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    free, used, bin_of = [], [], [0] * len(sizes)
+    for i, k in enumerate(order):
+        size = sizes[k]
+        fits = [(room, b) for b, room in enumerate(free) if room >= size]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for length in sorted(lengths):
+                if length >= size:
+                    spare = length - size
+                    costs.append(((length + overhead) / (size + min(spare, sum(sizes[j] for j in order[i + 1 :] if sizes[j] <= spare))), length))
+            b = len(free)
+            free.append(min(costs)[1])
+            used.append(0)
+        bin_of[k] = b
+        free[b] -= size
+        used[b] += size
+    return bin_of, [min(x for x in lengths if x >= u) for u in used]
