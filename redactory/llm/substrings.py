@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import arrow_rows
-from .words import _ODD, Words, covered, mix, slices, sums
+from .words import _ODD, Words, covered, grouped, mix, slices, sums
 
 LENGTH = 13
 PART_ROWS, CHUNK_BYTES, LEAST_CHUNKS = 2_000_000, 8 << 20, 24
@@ -166,9 +166,11 @@ class _Chunk:
         fingerprint, self.at, bins = suffixes(self.w, self.hashes, plan.length)
         self.doc = self.ids[self.w.rows()[self.at]]
         self.part = plan.part(fingerprint, bins)
-        key = (self.part.astype(np.uint64) << np.uint64(32)) | (fingerprint >> np.uint64(64 - plan.fingerprint))
-        self.asked, self.of, held = np.unique(key, return_inverse=True, return_counts=True)
-        self.shared = held > 1
+        self.key = (self.part.astype(np.uint64) << np.uint64(32)) | (fingerprint >> np.uint64(64 - plan.fingerprint))
+        self.fingerprint = fingerprint >> np.uint64(64 - 2 * plan.fingerprint)  # twice as long where nothing has to be sent
+        every = np.sort(self.key)
+        new = np.append(True, every[1:] != every[:-1]) if len(every) else np.zeros(0, bool)
+        self.asked, self.shared = every[new], np.diff(np.append(np.flatnonzero(new), len(every))) > 1
         ends = _runs(self.asked >> np.uint64(32))
         self.runs = {int(self.asked[a] >> np.uint64(32)): (int(a), int(b)) for a, b in zip(ends[:-1], ends[1:], strict=True)}
 
@@ -184,7 +186,7 @@ class _Chunk:
             a, b = self.runs[part]
             away[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         n = self.plan.length
-        self.found = np.flatnonzero((away | self.shared)[self.of])
+        self.found, of = self._having(away | self.shared)
         begin = self.at[self.found]
         inside = np.zeros(len(self.w) + 2, bool)
         for j in range(-1, n + 1):
@@ -192,20 +194,29 @@ class _Chunk:
         placed = np.flatnonzero(inside[: len(self.w)])
         number = np.full(len(self.w), -1, np.int64)
         number[placed] = self.w.numbered(placed, self.hashes)[0]
-        _, rep, self.window = np.unique(self.of[self.found], return_index=True, return_inverse=True)
+        self.window, rep = grouped(self.fingerprint[self.found])
         like = begin[rep][self.window]
         if not all((number[begin + j] == number[like + j]).all() for j in range(n)):  # windows that share a fingerprint: go by their words
             labels = np.stack([number[begin + j] for j in range(n)], 1)
             _, rep, self.window = np.unique(labels, axis=0, return_index=True, return_inverse=True)
             self.window = self.window.ravel()
         self.first = rep  # suffixes come by document, so the first is of the smallest
-        self.away = away[self.of[self.found[rep]]]
+        self.away = away[of[rep]]
         first = self.w.first
         row = self.w.rows()[begin] if len(begin) else begin
         before = np.where(begin > first[row], number[np.maximum(begin - 1, 0)], -1)
         behind = np.where(begin + n < first[row + 1], number[np.minimum(begin + n, max(len(self.w) - 1, 0))], -1) if len(begin) else begin
         self.before, self.behind = (self._one(x) for x in (before, behind))
 
+    def _having(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes whose fingerprint is one of those wanted, and the place of each one's in ``asked``."""
+        some, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+        some[self.asked[wanted] & low] = True
+        found = np.flatnonzero(some[self.key & low])  # few others; the search tells
+        of = np.searchsorted(self.asked, self.key[found])
+        kept = wanted[of]
+        return found[kept], of[kept]
+
     def _one(self, word: np.ndarray) -> np.ndarray:
         """Of each window the word that stands there at all its places, or -1."""
         least, most = np.full(len(self.first), np.iinfo(np.int64).max), np.full(len(self.first), -1)
@@ -410,7 +421,7 @@ class _Verdict:
         keep[starts] += 1
         stop = ends.copy()
         stop[spaced] += 1
-        np.subtract.at(keep, stop, 1)
+        keep[stop] -= 1
         keep = np.cumsum(keep[:-1], dtype=np.int8) > 0
         at = np.concatenate([[0], np.cumsum(keep)])[w.offsets]
         out = raw[keep]

@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
@@ -126,7 +127,7 @@ class Words:
 
     def numbered(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the words at some places a number each, equal for equal words alone, and a place of each number's word."""
-        _, first, number = np.unique(hashes[at], return_index=True, return_inverse=True)
+        number, first = grouped(hashes[at])
         if self.same(at, at[first][number]).all():
             return number, at[first]
         seen: dict[bytes, int] = {}  # words that share a hash: go by their bytes
@@ -146,12 +147,20 @@ class Words:
         return mix(total[at]), at
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, equal for equal ones, in order of appearance, and where each number first stands."""
+    number, distinct = pd.factorize(values)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(values))[::-1]
+    return number, first
+
+
 def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:
-    """Of n words, those inside a window of k words that begins at one of ``at``."""
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + k, -1)
-    return np.cumsum(steps[:-1]) > 0
+    """Of n words, those inside a window of k words that begins at one of ``at`` (each once)."""
+    steps = np.zeros(n + 1, np.int32)
+    steps[at] += 1
+    steps[at + k] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
