@@ -20,7 +20,9 @@ from .detectors import DETECTORS, WHITE, Detector, portable
 
 PLACEHOLDER = re.compile(r"\[[A-Z][A-Z0-9_]*\]")
 NUMBERED = re.compile(r"\[[A-Z][A-Z0-9_]*_[0-9]+\]")
-_DIGIT = re.compile("[0-9]")
+_NUMBER = re.compile("[0-9]+")
+#: Patterns up to this width are looked for around digits; with so few runs of digits in a text that comes before all other tests.
+NEAR, FEW = 64, 24
 SPACES = re.compile(f"[{WHITE}]")
 
 
@@ -181,9 +183,45 @@ def digital(pattern: str) -> bool:
     return True
 
 
-def _spans(pattern: str, flags: str) -> Callable[[str], Iterator[tuple[int, int, str]]]:
-    compiled = re.compile(portable(pattern), re.A | (re.I if "i" in flags else 0))
-    return lambda text: ((m.start(), m.end(), m[0]) for m in compiled.finditer(text) if m.end() > m.start())
+class _Digits:
+    """Where digits stand in the text at hand; all rules of a scanner ask for the same text in turn."""
+
+    text: str | None = None
+    runs: list[tuple[int, int]] = []
+
+    @classmethod
+    def of(cls, text: str) -> list[tuple[int, int]]:
+        if cls.text is not text:
+            cls.text, cls.runs = text, [m.span() for m in _NUMBER.finditer(text)]
+        return cls.runs
+
+
+def _width(pattern: str) -> int:
+    """The longest text that a pattern can match; large if there is no bound, or if the pattern looks beyond its match."""
+    if re.search(r"\(\?[=!<]|\\[bBAZ]|(?<!\[)\^|\$", pattern):
+        return 1 << 30
+    return re._parser.parse(portable(pattern), re.A).getwidth()[1]
+
+
+def _spans(pattern: str, flags: str, near: bool = False) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+    """All matches in a text. Those that surely hold a digit and are of bounded width are looked for around digits alone (near)."""
+    compiled, reach = re.compile(portable(pattern), re.A | (re.I if "i" in flags else 0)), _width(pattern)
+
+    def everywhere(text: str) -> Iterator[tuple[int, int, str]]:
+        return ((m.start(), m.end(), m[0]) for m in compiled.finditer(text) if m.end() > m.start())
+
+    def around(text: str) -> Iterator[tuple[int, int, str]]:
+        begin = end = -1
+        for a, b in _Digits.of(text):
+            if a - reach > end:
+                if end >= 0:
+                    yield from ((m.start(), m.end(), m[0]) for m in compiled.finditer(text, begin, end) if m.end() > m.start())
+                begin = max(0, a - reach)
+            end = b + reach
+        if end >= 0:
+            yield from ((m.start(), m.end(), m[0]) for m in compiled.finditer(text, begin, end) if m.end() > m.start())
+
+    return around if near and reach <= NEAR else everywhere
 
 
 class Rule:
@@ -196,6 +234,8 @@ class Rule:
         self.context = Context(spec.labels, spec.left, spec.right) if not custom and spec.labels else None
         self.gate, self.folded, self.labelled = None, False, None
         self.numeric = not custom and bool(spec.pattern) and (digital(spec.pattern) or spec.id in checks.NEED_DIGIT)
+        #: Every match holds a digit and is short, so a few digits in a text leave little to look at.
+        self.near = self.numeric and digital(spec.pattern) and _width(spec.pattern) <= NEAR
         if not custom:
             if self.context:
                 self.gate, self.folded = literals(spec.labels), True
@@ -210,16 +250,19 @@ class Rule:
             self.find = self._custom()
         elif hasattr(self, f"_{spec.id}"):
             self.find = getattr(self, f"_{spec.id}")
-            self.spans = _spans(spec.pattern, spec.flags) if spec.pattern else None
+            self.spans = _spans(spec.pattern, spec.flags, self.near) if spec.pattern else None
         elif spec.kind == "capture":
             self.find = self._capture
             self.compiled = re.compile(portable(spec.pattern), re.A | re.I)
         else:
-            self.find, self.spans = self._plain, _spans(spec.pattern, spec.flags)
+            self.find, self.spans = self._plain, _spans(spec.pattern, spec.flags, self.near)
 
-    def wanted(self, text: str, lower: str, numbers: bool) -> bool:
+    def wanted(self, text: str, lower: str, numbers: int) -> bool:
+        """Whether the rule may find something in the text, which holds so many runs of digits."""
         if self.numeric and not numbers:
             return False
+        if self.near and numbers <= FEW:
+            return True
         if self.id in _FIRST and not _FIRST[self.id](text):
             return False
         if self.id == "person_name_lite" and not any(names.known(w.lower(), self.known) for w in set(_CAPITALISED.findall(text))):
@@ -419,7 +462,7 @@ class Scanner:
         self.rules, self.allow = [Rule(r, known) for r in rules], allow
 
     def __call__(self, text: str) -> list[Match]:
-        lower, numbers = text.lower(), bool(_DIGIT.search(text))
+        lower, numbers = text.lower(), len(_Digits.of(text))
         found = [m for rule in self.rules if rule.wanted(text, lower, numbers) for m in rule(text)]
         if found and "[" in text:
             held = [m.span() for m in PLACEHOLDER.finditer(text)]
