@@ -477,4 +477,4 @@ def scanner(rules: tuple[str, ...], allow: frozenset[str] = frozenset()) -> Scan
 
 def utf16(text: str, at: int) -> int:
     """A code-point offset in UTF-16 units."""
-    return at + sum(c > "￿" for c in text[:at])
+    return at if text.isascii() else len(text[:at].encode("utf-16-le", "surrogatepass")) // 2

@@ -253,7 +253,9 @@ def sql_detect(rule: str, table: str, key: str, text: str = "text") -> str:
     p = _quote(pattern(d))
     tests = [f"NOT regexp_matches(CASE WHEN \"start\" > 0 THEN t[\"start\"] ELSE '' END || ' ' || coalesce(t[\"end\" + 1], ''), {_quote(WORDLIKE)})", _sql_check(d)]
     before, after = f't[greatest("start" - {d.left}, 0) + 1 : "start"]', f't["end" + 1 : "end" + {d.right}]'
+    worth = f"regexp_matches({text}, {p})"
     if d.labels:
+        worth += f" AND regexp_matches({text}, {_quote('(?i)' + d.labels)})"
         a, b, c = map(_quote, _labels(d))
         tests.append(f"(regexp_matches(CASE WHEN \"start\" = 0 THEN '' ELSE {before} END, {a}) OR regexp_matches({after}, {b}) OR regexp_matches({after}, {c}))")
     if d.keywords:
@@ -262,7 +264,7 @@ def sql_detect(rule: str, table: str, key: str, text: str = "text") -> str:
   SELECT {key}, t, list_sum(list_transform(g[1:i], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0)::INT AS "start",
          list_sum(list_transform(g[1:i], lambda x: length(x)))::INT + list_sum(list_transform(v[1:i], lambda x: length(x)))::INT AS "end", v[i] AS value
   FROM (SELECT {key}, t, g, v, unnest(range(1, len(v) + 1)) AS i FROM (
-    SELECT {key}, {text} AS t, string_split_regex({text}, {p}) AS g, regexp_extract_all({text}, {p}) AS v FROM {table} WHERE regexp_matches({text}, {p}))))
+    SELECT {key}, {text} AS t, string_split_regex({text}, {p}) AS g, regexp_extract_all({text}, {p}) AS v FROM {table} WHERE {worth})))
 WHERE {" AND ".join(tests)}"""
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from redactory.functions.detectors import DETECTORS, PRESETS, preset
 from redactory.functions.render import Restoration
-from redactory.functions.scan import CustomDetector
-from redactory.operators import evaluate, native, semantic, session, structured, vault
+from redactory.functions.scan import EMPLOYEE_ID, CustomDetector
+from redactory.operators import evaluate, logs, native, session, structured, vault
 from redactory.operators.redact import Redactor, detectors_frame, redact_text, restored, scan
 from redactory.plans.policy import Policy, Semantic
 from redactory.streaming import redact as streams
@@ -307,6 +307,97 @@ def page_query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", Redactor({"rules": {"url_query_key": "redact"}}).redact(linked).alias("html"))
 
 
+@query("allowlist_arrow", f"SELECT doc_id, rule_id, \"start\", \"end\", value FROM ({_PLANTED_FOUND}) WHERE value NOT IN ('8.8.4.4', '90210-1234', '123-45-6789')")
+def allowlist_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values on a policy's allowlist are no detections."""
+    found = _under(allowlist=("8.8.4.4", "90210-1234", "123-45-6789")).detections(_planted(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "rule_id", "start", "end", "value")
+
+
+@query("detect_only", f"SELECT doc_id, text AS redacted, coalesce(n, 0) AS n FROM {_PLANTED} LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({native.sql_entities(_PLANTED_FOUND, 'doc_id')}) GROUP BY doc_id) USING (doc_id)")
+def detect_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy that only detects leaves texts as they are and still reports every group."""
+    r = _under(detect_only=True)
+    return _planted(spark, sf_dir).select("doc_id", r.redact(F.col("text")).alias("redacted"), F.size(r.inspect(F.col("text"))).cast("long").alias("n"))
+
+
+@query("redact_twice", native.sql_redact(_PLANTED_FOUND, _PLANTED, "doc_id"))
+def redact_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacting what is redacted changes nothing more."""
+    r = _under()
+    return _planted(spark, sf_dir).select("doc_id", r.redact(F.col("text")).alias("text")).select("doc_id", r.redact(F.col("text")).alias("redacted"))
+
+
+@query("stream_events", f"""SELECT CAST(doc_id AS VARCHAR) AS stream_id, group_start::BIGINT AS pos, '[' || e || ']' AS text, group_end::BIGINT AS "end" FROM ({native.sql_entities(_PLANTED_FOUND, 'doc_id')}) WHERE e <> 'REDACTED'
+UNION ALL SELECT CAST(doc_id AS VARCHAR), group_start::BIGINT, '[REDACTED]', group_end::BIGINT FROM ({native.sql_entities(_PLANTED_FOUND, 'doc_id')}) WHERE e = 'REDACTED'""")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections that streams report, by their offsets in the whole stream, whatever the chunks."""
+    pieces = F.transform(F.sequence(F.lit(0), (F.length("text") / 97).cast("int")), lambda k: F.struct(k.alias("seq"), F.substr(F.col("text"), k * 97 + 1, F.lit(97)).alias("chunk")))
+    chunks = _planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), F.explode(pieces).alias("c")).select("stream_id", "c.*")
+    events = streams.redact_chunks(chunks, _under(), report=True).where("event_type = 'detection'")
+    return events.select("stream_id", "pos", "text", F.get_json_object("group", "$.end").cast("long").alias("end"))
+
+
+@query("restore_chunks", f"SELECT CAST(doc_id AS VARCHAR) AS stream_id, text FROM {_PLANTED}")
+def restore_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted text that comes in pieces of 11 characters, placeholders cut between them, restored by its map."""
+    done = _planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), _under(restore=True).redact(F.col("text")).alias("r"))
+    pieces = F.transform(F.sequence(F.lit(0), (F.length("r.text") / 11).cast("int")), lambda k: F.struct(k.cast("long").alias("seq"), F.substr(F.col("r.text"), k * 11 + 1, F.lit(11)).alias("chunk")))
+    back = streams.restore_chunks(done.select("stream_id", F.explode(pieces).alias("c")).select("stream_id", "c.*"), done.select("stream_id", F.col("r.map").alias("map")))
+    rows = back.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("e"))
+    return rows.select("stream_id", F.array_join(F.col("e.text"), "").alias("text"))
+
+
+@query("custom_detector", """SELECT doc_id, 'Employee ID: [EMPLOYEE_ID] or ' || CASE WHEN doc_id % 3 = 0 THEN 'Employee ID: [EMPLOYEE_ID]. ' ELSE 'code XY654321. ' END || coalesce(text, '') AS redacted FROM documents""")
+def custom_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector of the caller's that looks at what stands before its matches."""
+    told = F.format_string("Employee ID: AB%06d or %sXY654321. %s", F.col("doc_id") % 1_000_000, F.when(F.col("doc_id") % 3 == 0, "Employee ID: ").otherwise("code "), F.coalesce("text", F.lit("")))
+    r = Redactor(Policy(rules={EMPLOYEE_ID.id: "redact"}, detectors=(EMPLOYEE_ID,)))
+    return table(spark, sf_dir, "documents").select("doc_id", r.redact(told).alias("redacted"))
+
+
+@query("custom_settings", """SELECT doc_id, 'X-Own-Auth: <key>' || chr(10) || 'SSN: XXX-XX-XXXX' || chr(10) || 'zip 90210' || chr(10) || coalesce(text, '') AS redacted FROM documents""")
+def custom_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preset of the caller's, a header of the caller's, a rule that a preset has and the policy turns off."""
+    policy = Policy(presets=("own",), custom_presets={"own": {"http_auth_header": {"action": "redact", "replacement": "<key>"}, "us_ssn": "redact", "postal_code": "redact"}}, rules={"postal_code": "off", "us_ssn": {"action": "format-preserve"}}, custom_headers=("X-Own-Auth",))
+    told = F.concat(F.lit("X-Own-Auth: Zx81Yw72\nSSN: 123-45-6789\nzip 90210\n"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", Redactor(policy).redact(told).alias("redacted"))
+
+
+@query("grapheme_edges", """SELECT doc_id, 'SSN: 123-45-6789' || chr(769) || '; SSN: [US_SSN]; SSN: 123-45-6789_ ' || coalesce(text, '') AS redacted FROM documents""")
+def grapheme_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value that a combining mark or an underscore touches is none."""
+    told = F.concat(F.lit("SSN: 123-45-6789\u0301; SSN: 123-45-6789; SSN: 123-45-6789_ "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", Redactor({"rules": {"us_ssn": "redact"}}).redact(told).alias("redacted"))
+
+
+@query("log_lines", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"msg":"[IPV4] said","session":"[REDACTED]","n":' || event_id || '}' ELSE 'from [IPV4] at ' || event_id END AS line FROM events""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log, some of them records."""
+    line = F.when(F.col("event_id") % 2 == 0, F.format_string('{"msg": "8.8.4.4 said", "session": "abc", "n": %d}', "event_id")).otherwise(F.format_string("from 8.8.4.4 at %d", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", logs.redact_lines(line, Redactor({"rules": {"ipv4": "redact"}})).alias("line"))
+
+
+@query("session_hydrated", "SELECT conv_id, '[US_SSN_7] and [IPV4_1]' AS redacted, '123-45-6789 and 8.8.4.4' AS restored FROM conversations WHERE turn = 0 AND conv_id IS NOT NULL")
+def session_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later session goes on with the placeholders of an earlier one."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id is not null")
+    turns = first.select("conv_id", "turn", "role", F.lit("SSN: 123-45-6789 and 8.8.4.4").alias("text"))
+    given = first.select("conv_id", F.create_map(F.lit("[US_SSN_7]"), F.lit("123-45-6789")).alias("map"))
+    done = session.redact_turns(turns, _under(), given)
+    told = lambda c: F.regexp_replace(c, "^SSN: ", "")
+    return done.select("conv_id", told(F.col("redacted")).alias("redacted"), told(restored(F.col("redacted"), F.col("map"))).alias("restored"))
+
+
+@query("nested_types", f"""SELECT doc_id, redacted AS body, TIMESTAMP '2024-01-02 03:04:05.123456' AS seen, 12345678901234567.89::DECIMAL(20, 2) AS amount, '[REDACTED]' AS password, '[IPV4]' AS host, 1 AS n FROM ({native.sql_redact(_PLANTED_FOUND, _PLANTED, "doc_id")})""")
+def nested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of other types come through nested redaction as they were."""
+    stamp, amount = F.to_timestamp(F.lit("2024-01-02 03:04:05.123456")), F.lit("12345678901234567.89").cast("decimal(20,2)")
+    record = F.struct(F.array("text").alias("parts"), stamp.cast("timestamp_ntz").alias("seen"), amount.alias("amount"), F.lit(77).alias("password"), F.create_map(F.lit("host"), F.lit("8.8.4.4")).alias("tags"), F.struct(F.lit(1).alias("n")).alias("inner"))
+    done = structured.redact_nested(_planted(spark, sf_dir).select("doc_id", record.alias("r")), _under())
+    return done.select("doc_id", F.col("r.parts")[0].alias("body"), "r.seen", "r.amount", "r.password", F.col("r.tags")["host"].alias("host"), "r.inner.n")
+
+
 # Each row by the one rule that its case is of. ------------------------------------------------------------------
 def _cases(rules: tuple[str, ...]) -> tuple[str, Query]:
     held = [c for c in _CASES if c.rule_id in rules]

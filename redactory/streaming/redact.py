@@ -26,6 +26,8 @@ from redactory.plans.errors import RedactionError
 from redactory.plans.policy import Resolved
 
 BUFFER_LIMIT = 65_536
+#: Characters that become final at a time in batches, where nobody waits for the first.
+STEP = 4_096
 EVENTS = "stream_id string, pos long, event_type string, text string, group string, map string"
 
 
@@ -46,14 +48,19 @@ def margins(policy: Resolved) -> tuple[int, int]:
     return max(d.max_match + max(d.left, d.right) + 1 for d in policy.specs), max(max(d.left, 1) for d in policy.specs)
 
 
-def advance(policy: Resolved, flow: Flow, chunk: str, last: bool, report: bool = False) -> list[dict]:
-    """Takes a chunk in and gives the events it allows: text, detection (with its group), and at the end complete."""
+def advance(policy: Resolved, flow: Flow, chunk: str, last: bool, report: bool = False, step: int = 1) -> list[dict]:
+    """Takes a chunk in and gives the events it allows: text, detection (with its group), and at the end complete.
+
+    Nothing is looked at before ``step`` more characters are final: small chunks need not each scan what is held back.
+    """
     ahead, behind = margins(policy)
     flow.buffer += chunk
     text = flow.buffer
-    if utf16(text, len(text)) - flow.cursor > BUFFER_LIMIT and not last and len(text) - ahead < flow.cursor:
+    if not last and len(text) - ahead < flow.cursor and 2 * len(text) > BUFFER_LIMIT and utf16(text, len(text)) - flow.cursor > BUFFER_LIMIT:
         raise RedactionError("BUFFER_LIMIT")
     upto = len(text) if last else max(flow.cursor, len(text) - ahead)
+    if not last and upto - flow.cursor < step:
+        return []
     while not last and upto > flow.cursor and not aligned(text, upto):
         upto -= 1
     events: list[dict] = []
@@ -138,7 +145,7 @@ def redact_chunks(chunks: DataFrame, redactor: Redactor, report: bool = False, r
         now, flow, held = None, Flow(), None
 
         def events(last: bool) -> list[dict]:
-            return [{"stream_id": now, **e} for e in advance(policy, flow, held or "", last, report)] if held is not None else []
+            return [{"stream_id": now, **e} for e in advance(policy, flow, held or "", last, report, STEP)] if held is not None else []
 
         names = [x.split()[0] for x in EVENTS.split(", ")]
         types = [pa.string(), pa.int64(), *[pa.string()] * 4]
