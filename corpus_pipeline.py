@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed windows: passages of 13 words or more that a document with a smaller id has are cut; n_chars follows the text."""
+    """Suffix trees by prefix: passages of 13 words or more that a document with a smaller id has are cut; n_chars follows the text."""
     cut = substrings.deduplicated(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else cut
 
