@@ -277,8 +277,8 @@ def _met(cells: DataFrame, n: int, threshold: float) -> DataFrame:
     return cells.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
 
 
-def _with_hubs(star: DataFrame, sets: DataFrame, block: int, threshold: float) -> DataFrame:
-    """Links of texts with their hubs: cells of one hub and ``block`` texts at most, roughly."""
+def _with_hubs(star: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Texts beside their hubs, with their sets: cells of one hub and ``block`` texts at most, roughly."""
     counted = with_figure(star, "b", "a", F.count("*"), F.sum("__p"), "degree")
     dealt = counted.select("a", "b", (2 * F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("degree") / block))).cast("int").alias("low"))
     leaves = dealt.select(F.col("a").alias("node"), (F.col("low") + 1).alias("own"), F.col("b").alias("root"), "low", (F.col("low") + 1).alias("high"))
@@ -341,14 +341,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     sets = some.mapInArrow(_prepare, PREPARED).join(wanted.hint("merge"), (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     sets = scratch.write(sets.select("node", *SETS), "sets")
 
-    links = scratch.write(_met(_with_hubs(star, sets, block, threshold), 2 * star.count(), threshold), "hub-links")
+    links = _met(_with_hubs(star, sets, block), 2 * star.count(), threshold)
     families = scratch.write(components(links, scratch, "families"), "families")
     rest = scratch.write(_left(star, families, block), "rest")
     met = rest.count()
     tight = families
     if met:
         more = _met(rest.join(sets.hint("merge"), "node"), met, threshold)
-        tight = scratch.write(components(more.union(families.select("node", "root")), scratch, "tight"), "tight")
+        tight = components(more.union(families.select("node", "root")), scratch, "tight")
 
     # Classes of texts, and by copies and salt of rows.
     grouped = with_figure(texts.join(tight.hint("merge"), "node"), "root", "node", F.sum("n"), F.sum("__p"), "class_size").select("copies", "root", "class_size")

@@ -11,7 +11,9 @@ from . import chat, language, mixing, neardup, packing, preference, rules, subst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One that comes in fewer pieces than there are cores (a small file of one row group) is dealt out; larger ones are read as they lie."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, 64) else df.repartition(min(cores, 64))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Brute-force versions of the operators, over Python lists."""
 
+import base64
 import hashlib
 import math
 import re
 from collections import Counter, defaultdict
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -182,3 +185,30 @@ def pack(sizes, lengths, overhead):
         free[b] -= size
         used[b] += size
     return bin_of, [min(x for x in lengths if x >= u) for u in used]
+
+
+def fertility(text, path, pattern):
+    """Tokens, characters per token, share of tokens that are no whole characters, and entropy, by merging pairs of lowest rank one at a time."""
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    tokens = []
+    for m in regex.finditer(pattern, text):
+        parts = [bytes([x]) for x in m[0].encode()]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda k: ranks.get(parts[k] + parts[k + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        tokens += parts
+    n = len(tokens)
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+
+    def cut(token):
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    return n, len(text) / n, sum(map(cut, tokens)) / n, -sum(c / n * math.log2(c / n) for c in Counter(tokens).values())

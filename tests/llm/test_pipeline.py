@@ -45,6 +45,33 @@ def test_stages_against_brute_force(spark):
     assert sum(r.n_words for r in packed) == total
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids and texts, empty and very long texts, and columns with names that stages use themselves."""
+    base = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60).collect()]
+    long = " ".join(f"word{k % 977} and{k % 13}" for k in range(30_000))
+    odd = [(None, None, None, None), (None, "", "en", "s"), (None, base[0][1], "en", None), (None, base[1][1] + " more", None, "s"), (7001, long, "en", "s"), (7002, "   ", "fr", "s"), (7003, None, "en", "s"), base[5], base[5], (base[6][0], "another text under an id that is taken", "en", "s"), (7004, "12 34", "en", "s")]
+    rows = [(*r, len(r[1] or ""), k, "x", k) for k, r in enumerate(base + odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, node string, h long")
+    stages, counts = dict(corpus_pipeline.STAGES), {}
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in stages.items():
+            path = str(tmp_path / f"{name}-{given is docs}")
+            stage(spark, now, DIR).write.parquet(path)
+            after = spark.read.parquet(path)
+            if name != "packing":
+                assert after.columns == docs.columns
+            now, counts[name, given is docs] = after, after.count()
+        assert given is docs or now.count() == 0
+    kept = spark.read.parquet(str(tmp_path / "language_id-True"))
+    # Language ID lets go of what has no letters; a text without words or id is nobody's near copy.
+    assert counts["language_id", True] == len(rows) - 5 and kept.where("doc_id = 7001").count() == 1
+    near = spark.read.parquet(str(tmp_path / "near_duplicates-True"))
+    assert near.where(f"doc_id = {base[5][0]}").count() == 3 and near.where(f"doc_id = {base[6][0]}").count() == 2
+    cut = spark.read.parquet(str(tmp_path / "substring_dedup-True"))
+    assert cut.where("text is null or trim(text) = ''").count() == 0 and cut.where("doc_id = 7001").count() == 1
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
 

@@ -60,6 +60,29 @@ def test_quality_rules(spark):
     assert rules.script_of("привет мир") == "cyrillic" and rules.script_of("日本") == "cjk" and rules.script_of("12") == "latin"
 
 
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_fertility_against_brute_force(vocabulary):
+    path = f"/opt/tokenizers/{vocabulary}.tiktoken"
+    texts = ["Hello there, isn't it 42?\n\n  Indeed!", "naïve café — 日本語 の 文 😀 x", "aaaa " * 30, "a\tb  c   d\r\ne ", "", "Ελληνικά και русский текст", "\u0301\u0489 %%% ***"]
+    for text in texts:
+        assert np.allclose(rules.fertility(text, path), brute.fertility(text, path, rules.PATTERN)), text
+
+
+def test_pieces_change_no_token():
+    """A long text has the tokens that it has as a whole, wherever it is cut."""
+    rng = random.Random(4)
+    parts = ["word", " ", "  ", "\n", " \n ", "don't", "42", "é", "日本", "!?", "\t", " x", "\u00a0y", "'s"]
+    encoding = rules._encoding(rules.VOCABULARY)[0]
+    for size in (1, 5, 40):
+        text = "".join(rng.choice(parts) for _ in range(4000))
+        got = list(rules.pieces(text, size))
+        assert "".join(got) == text and len(got) > 3
+        assert [t for x in got for t in encoding.encode_ordinary(x)] == encoding.encode_ordinary(text)
+    long = "some words of a text that goes on, " * 15_000
+    assert len(long) > 2 * rules.PIECE and len(list(rules.pieces(long))) > 2
+    assert rules.fertility(long, rules.VOCABULARY)[0] == len(encoding.encode_ordinary(long))
+
+
 def test_fertility_rejects_noise():
     rng = random.Random(1)
     noise = " ".join("".join(rng.choice("̀́҉⃝\U0001f9ff\U000e0041") for _ in range(6)) for _ in range(80))
