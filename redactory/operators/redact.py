@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from redactory.plans.errors import RedactionError
 from redactory.plans.policy import Policy, Resolved, Semantic, describe
 
 MATCH = "struct<start:int,end:int,rule_id:string,entity_type:string,reasons:array<string>,value:string>"
+MATCHED = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule_id", pa.string()), ("entity_type", pa.string()), ("reasons", pa.list_(pa.string())), ("value", pa.string())])
 INSPECTION = f"array<struct<start:int,end:int,replacement:string,matches:array<{MATCH}>>>"
 RESTORED = "struct<text:string,map:map<string,string>>"
 CONFIRMED = f"struct<text:string,detections:array<{MATCH[:-1]},confirmed:boolean,score:double>>,map:map<string,string>,warnings:array<string>>"
@@ -70,22 +72,24 @@ class Redactor:
         policy = self.policy
         if policy.restore:
 
-            def both(text: str) -> dict:
+            def both(text: str) -> tuple[str, list]:
                 kept = Restoration()
-                return {"text": redact_text(policy, text, kept), "map": kept.map}
+                return redact_text(policy, text, kept), list(kept.map.items())
 
-            @F.pandas_udf(RESTORED)
-            def restorable(texts: pd.Series) -> pd.DataFrame:
+            @F.arrow_udf(RESTORED)
+            def restorable(column: pa.Array) -> pa.Array:
+                texts = column.to_pylist()
                 prepare(policy, texts)
-                found = [both(t) if t is not None else {"text": None, "map": None} for t in texts]
-                return pd.DataFrame({"text": [x["text"] for x in found], "map": [x["map"] for x in found]})
+                found = [both(t) if t is not None else (None, None) for t in texts]
+                return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([m for _, m in found], pa.map_(pa.string(), pa.string()))], ["text", "map"])
 
             return restorable(text)
 
-        @F.pandas_udf("string")
-        def plain(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def plain(column: pa.Array) -> pa.Array:
+            texts = column.to_pylist()
             prepare(policy, texts)
-            return pd.Series([None if t is None else redact_text(policy, t) for t in texts], dtype=object)
+            return pa.array([None if t is None else redact_text(policy, t) for t in texts], pa.string())
 
         return plain(text)
 
@@ -93,24 +97,25 @@ class Redactor:
         """Groups with their replacements and matches; values are the original ones."""
         policy = self.policy
 
-        @F.pandas_udf(INSPECTION)
-        def groups(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf(INSPECTION)
+        def groups(column: pa.Array) -> pa.Array:
+            texts, out = column.to_pylist(), []
             prepare(policy, texts)
-            out = []
             for t in texts:
                 found = [] if t is None else render(policy, t, scan(policy, t), Restoration() if policy.restore else None)
                 out.append([{"start": s.start, "end": s.end, "replacement": s.replacement, "matches": [_match(t, m) for m in s.matches]} for s in found])
-            return pd.Series(out, dtype=object)
+            return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string()), ("matches", pa.list_(MATCHED))])))
 
         return groups(text)
 
     def detect(self, text: Column) -> Column:
         policy = self.policy
 
-        @F.pandas_udf(f"array<{MATCH}>")
-        def matches(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf(f"array<{MATCH}>")
+        def matches(column: pa.Array) -> pa.Array:
+            texts = column.to_pylist()
             prepare(policy, texts)
-            return pd.Series([[] if t is None else [_match(t, m) for m in scan(policy, t)] for t in texts], dtype=object)
+            return pa.array([[] if t is None else [_match(t, m) for m in scan(policy, t)] for t in texts], pa.list_(MATCHED))
 
         return matches(text)
 

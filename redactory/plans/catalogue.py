@@ -24,7 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer pieces than there are cores (a small file of one row group) is dealt out, since texts take long to look through."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, 64) else df.repartition(min(cores, 64))
 
 
 QUERIES: dict[str, Query] = {}
