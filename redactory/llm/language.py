@@ -12,7 +12,7 @@ are an error, not a smaller model.
 
 Defined results: null or letterless text: ``und``, score 0, rejected; text of a single letter has a zero vector and
 falls to the first language with score 0; ties go to the first language in order; no labelled rows: all texts are
-``und``; a language without texts of ``short`` trigrams rejects none by distance; repeated rows get equal results, and however often an id
+``und``; a language with fewer learnable texts of ``short`` trigrams than have a ``quantile`` (100 for 0.01) rejects none by distance; repeated rows get equal results, and however often an id
 is repeated no more than about ``per_label`` of its rows are sampled; other columns are ignored.
 """
 
@@ -126,8 +126,8 @@ def _cuts(labels: DataFrame, model: Model, quantile: float) -> np.ndarray:
     for r in rows:
         total[r["language"], r["bin"]] = r["n"]
     upto = total.cumsum(1)
-    # The lower end of the first bin that the quantile does not leave out.
-    return np.where(upto[:, -1] > 0, (upto <= quantile * upto[:, -1:]).sum(1) / BINS, 0.0)
+    # The lower end of the first bin that the quantile does not leave out; too few texts have no such quantile.
+    return np.where(quantile * upto[:, -1] >= 1, (upto <= quantile * upto[:, -1:]).sum(1) / BINS, 0.0)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
