@@ -47,7 +47,7 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 512
 #: Texts that a verification group holds, roughly; small clusters share a group.
-GROUP = 2_000
+GROUP = 512
 #: Numbers of texts whose copies all lack a doc_id begin here.
 UNNUMBERED = 1 << 62
 SIGNED = "doc_id long, copies binary, bands array<long>"

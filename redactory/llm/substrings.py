@@ -314,10 +314,8 @@ class Tree:
     def of(cls, labels: np.ndarray) -> Tree:
         """labels: rows of word ranks."""
         n, length = labels.shape
-        wide = np.zeros((n, length + length % 2), np.uint64)
-        wide[:, :length] = labels
-        keys = (wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]
-        order = np.lexsort(keys.T[::-1])
+        pair = lambda j: (labels[:, j].astype(np.uint64) << np.uint64(32)) | (labels[:, j + 1].astype(np.uint64) if j + 1 < length else np.uint64(0))
+        order = np.lexsort([pair(j) for j in range(0, length, 2)][::-1])
         common, going = np.zeros(max(n - 1, 0), np.int64), np.ones(max(n - 1, 0), bool)
         for j in range(length):
             column = labels[order, j]
@@ -338,7 +336,7 @@ def _ranked(w: Words) -> np.ndarray:
     raw = b"".join([w.raw[a:b].tobytes() for a, b in zip(w.starts[place], w.ends[place], strict=True)])
     offsets = np.append(0, np.cumsum(size)).astype(np.int64)
     spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
-    rank = np.empty(len(place), np.int64)
+    rank = np.empty(len(place), np.int32)
     rank[pc.array_sort_indices(spelt).to_numpy()] = np.arange(1, len(place) + 1)
     return rank[number]
 
@@ -374,6 +372,7 @@ def _judge(length: int) -> Callable:
             flags[k, tree.order] = ((least != most) | (least == 0))[node]
         upto = np.append(0, np.cumsum(held))
         told = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        pa.default_memory_pool().release_unused()
         return pa.table([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), table.column("bits").combine_chunks(), pa.array(told, pa.binary())], ["chunk", "part", "bits", "flags"])
 
     return judge

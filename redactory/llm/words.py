@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
@@ -149,8 +148,9 @@ class Words:
 
 def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each value, equal for equal ones, in order of appearance, and where each number first stands."""
-    number, distinct = pd.factorize(values)
-    first = np.empty(len(distinct), np.int64)
+    coded = pa.array(values).dictionary_encode()
+    number = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
     first[number[::-1]] = np.arange(len(values))[::-1]
     return number, first
 
