@@ -11,9 +11,13 @@ from . import chat, language, mixing, neardup, packing, preference, rules, subst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. One that comes in fewer pieces than there are cores (a small file of one row group) is dealt out; larger ones are read as they lie."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(cores, 64) else df.repartition(min(cores, 64))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts Python looks through. One that comes in fewer pieces than there are cores (a small file of one row group) is dealt out; larger ones are read as they lie."""
+    df, pieces = table(spark, sf_dir, name), min(spark.sparkContext.defaultParallelism, 64)
+    return df if df.rdd.getNumPartitions() >= pieces else df.repartition(pieces)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,19 +25,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digests(table(spark, sf_dir, "documents")).drop("passages")
+    return substrings.digests(dealt(spark, sf_dir, "documents")).drop("passages")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.fitted(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return language.fitted(dealt(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return preference.fitted(dealt(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality(table(spark, sf_dir, "documents"))
+    return rules.quality(dealt(spark, sf_dir, "documents"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(dealt(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
