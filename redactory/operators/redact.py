@@ -41,6 +41,8 @@ def prepare(policy: Resolved, texts: Iterable[str | None]) -> None:
     """Asks a policy's recogniser about a whole batch at once."""
     if policy.recogniser is not None:
         names.BATCH.ask(policy.recogniser, texts)
+    else:
+        names.BATCH.spans = {}
 
 
 def render(policy: Resolved, text: str, found: list[Match], restoration: Restoration | None = None) -> list[Segment]:
