@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import Scratch, arrow_rows
+from .session import Scratch, arrow_rows, settled, small_plans
 from .sieve import SALTS, sifted, with_figure, with_lookup
 from .words import Words, mix, slices
 
@@ -150,11 +150,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Large star: each node's larger neighbours go to the smallest node near it. Small star: its smaller ones and itself do.
     Rounds grow with the logarithm of a chain's length; each costs one look at whether all edges lead to a root.
     """
+    edges = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    with small_plans(scratch.spark):
+        edges = _stars(edges, scratch, name)
+    settled(scratch.spark)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def _stars(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Edges (u, v) as a star forest: each node that is no root hangs on its root."""
 
     def least(rows: DataFrame) -> DataFrame:
         return with_figure(rows, "u", "v", F.min("v"), F.min("__p"), "m")
 
-    edges = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = edges.union(edges.select("v", "u"))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
@@ -165,8 +173,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # Done when every node hangs on one root and no root hangs on another.
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)).distinct())
         if not ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).where("n > 1 or (n = 1 and low = 0)").limit(1).count():
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+            return edges
 
 
 class Shared:
@@ -343,7 +350,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
     links = _met(_with_hubs(star, sets, block), 2 * star.count(), threshold)
     families = scratch.write(components(links, scratch, "families"), "families")
-    rest = scratch.write(_left(star, families, block), "rest")
+    with small_plans(scratch.spark):
+        rest = scratch.write(_left(star, families, block), "rest")
     met = rest.count()
     tight = families
     if met:

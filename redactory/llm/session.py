@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,24 @@ class Scratch:
     def close(self) -> None:
         """Removes all tables; only once what was made of them is written elsewhere."""
         removed(self.spark, self.root)
+        settled(self.spark)
+
+
+def settled(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what finished plans left: only then do their shuffle files and generated classes go."""
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def small_plans(spark: SparkSession) -> Iterator[None]:
+    """For many short jobs in a row: plans without whole-stage code, whose classes would fill the driver's memory before they repay."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
