@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import histogram, letters, remainder, sample, sampled_rows, trigrams
-from .session import arrow_rows
+from .session import arrow_rows, frugal, settled
 from .words import buffers, slices
 
 BITS, PER_LABEL, CLUSTERS = 13, 512, 3
@@ -76,7 +76,7 @@ def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
     total = np.zeros(1 + (1 << BITS), np.int64)
-    for row in texts.mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in texts.mapInArrow(frugal(tally), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[row["at"]] = row["n"]
     return int(total[-1]), total[:-1]
 
@@ -98,7 +98,7 @@ def train(labels: DataFrame, per_label: int = PER_LABEL, clusters: int = CLUSTER
         return pa.table([pa.array([table.column("lang")[0].as_py()] * len(centers)), pa.array([c.astype("<f4").tobytes() for c in centers], pa.binary())], ["lang", "center"])
 
     rows = sampled_rows(labels, sample(labels, "lang", per_label), ["doc_id", "lang"], "lang", per_label)
-    made = rows.groupBy("lang").applyInArrow(cluster, "lang string, center binary").limit(clusters * LANGUAGES + 1).collect()
+    made = rows.groupBy("lang").applyInArrow(frugal(cluster), "lang string, center binary").limit(clusters * LANGUAGES + 1).collect()
     if len({r["lang"] for r in made}) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn: is the language column one?")
     made.sort(key=lambda r: (r["lang"], r["center"]))
@@ -121,7 +121,7 @@ def _cuts(labels: DataFrame, model: Model, quantile: float) -> np.ndarray:
                 own = (size >= held.value.short) & (named == np.array(part.column("lang").to_pylist(), object))
                 yield pa.RecordBatch.from_arrays([pa.array(best[own]), pa.array(cosine[own])], ["language", "cosine"])
 
-    rows = histogram(labels.select("text", "lang").mapInArrow(near, "language long, cosine double"), ["language"], F.col("cosine"), 0.0, 1.0, BINS).collect()
+    rows = histogram(labels.select("text", "lang").mapInArrow(frugal(near), "language long, cosine double"), ["language"], F.col("cosine"), 0.0, 1.0, BINS).collect()
     total = np.zeros((len(model.languages), BINS), np.int64)
     for r in rows:
         total[r["language"], r["bin"]] = r["n"]
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 named, score, far = _predict(part.column("text"), held.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(named, pa.string()), pa.array(score), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(frugal(predict), SCHEMA)
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,12 +190,14 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 yield part.filter(pa.array(~_predict(part.column("text"), held.value)[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that a model of its own labelled rows does not reject."""
-    return kept(docs, train(labelled(docs)))
+    model = train(labelled(docs))
+    settled(docs.sparkSession)
+    return kept(docs, model)
 
 
 def labelled(docs: DataFrame) -> DataFrame:

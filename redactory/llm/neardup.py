@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import Scratch, arrow_rows, settled, small_plans
+from .session import Scratch, arrow_rows, frugal, settled, small_plans
 from .sieve import SALTS, sifted, with_figure, with_lookup
 from .words import Words, mix, slices
 
@@ -281,7 +281,7 @@ def _verify(threshold: float):
 def _met(cells: DataFrame, n: int, threshold: float) -> DataFrame:
     """Verified links (a, b) of texts that are dealt to cells (root, low, high) and have n copies in all."""
     groups = max(1, -(-n // GROUP))
-    return cells.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(_verify(threshold), "a long, b long")
+    return cells.groupBy(F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)).alias("g")).applyInArrow(frugal(_verify(threshold)), "a long, b long")
 
 
 def _with_hubs(star: DataFrame, sets: DataFrame, block: int) -> DataFrame:
@@ -325,7 +325,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     arrow_rows(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("copies"))
-    rows = scratch.write(docs.mapInArrow(_sign, SIGNED), "signed")
+    rows = scratch.write(docs.mapInArrow(frugal(_sign), SIGNED), "signed")
 
     # A text's number is the smallest id of its copies; those without any are numbered behind all ids.
     worded = rows.where("copies is not null").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
@@ -333,6 +333,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     texts = parts.groupBy("copies").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
     texts = scratch.write(texts.withColumn("node", F.coalesce("first_id", F.lit(UNNUMBERED) + F.pmod(F.xxhash64("copies"), F.lit(UNNUMBERED)))), "texts")
 
+    settled(scratch.spark)
     # Hubs: the smallest text of each band that several texts have. Bands of one text don't leave their scan.
     first = texts.select(F.col("copies").alias("copy"), "first_id", "node")
     one = rows.join(first.hint("merge"), (rows["copies"] == F.col("copy")) & rows["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "bands")
@@ -345,8 +346,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     wanted = scratch.write(nodes.join(texts.hint("merge"), "node").select("node", F.col("copies").alias("copy"), "first_id"), "wanted")
     some = sifted(docs, ["doc_id", "copies"], wanted, ["first_id", "copy"], wanted.count()).where("__hit").select("doc_id", "copies", "text")
-    sets = some.mapInArrow(_prepare, PREPARED).join(wanted.hint("merge"), (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    sets = some.mapInArrow(frugal(_prepare), PREPARED).join(wanted.hint("merge"), (F.col("copies") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     sets = scratch.write(sets.select("node", *SETS), "sets")
+    settled(scratch.spark)
 
     links = _met(_with_hubs(star, sets, block), 2 * star.count(), threshold)
     families = scratch.write(components(links, scratch, "families"), "families")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
 
@@ -59,8 +64,16 @@ class Scratch:
 
 
 def settled(spark: SparkSession) -> None:
-    """Has the driver's JVM collect what finished plans left: only then do their shuffle files and generated classes go."""
-    spark.sparkContext._jvm.System.gc()
+    """Has the JVMs collect what finished plans left.
+
+    Only then do shuffle files and generated classes go on the driver. Executors otherwise let their heaps grow over garbage
+    up to the limit, and keep native buffers whose owners are garbage; a full collection gives both back to the system.
+    """
+    context = spark.sparkContext
+    context._jvm.System.gc()
+    if context.master.partition("[")[0] != "local":
+        n = context.defaultParallelism  # a task a core, so that each executor has one
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 @contextlib.contextmanager
@@ -88,3 +101,32 @@ def arrow_rows(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def handed_back() -> None:
+    """Has a Python worker return what it freed to the system: workers wait for their next task with the most that they ever held, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another libc than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(work: Callable) -> Callable:
+    """``work`` of a Python worker, batches to batches or tables to a table, that hands memory back when it is over."""
+
+    @functools.wraps(work)
+    def table(*args):
+        try:
+            return work(*args)
+        finally:
+            handed_back()
+
+    @functools.wraps(work)
+    def batches(*args):
+        try:
+            yield from work(*args)
+        finally:
+            handed_back()
+
+    made = batches if inspect.isgeneratorfunction(work) else table
+    made.__signature__ = inspect.signature(work)  # Spark counts arguments
+    return made

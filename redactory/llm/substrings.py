@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import arrow_rows
+from .session import arrow_rows, frugal, settled
 from .words import _ODD, Words, covered, grouped, mix, slices, sums
 
 LENGTH = 13
@@ -107,7 +107,7 @@ def count(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
 
     total, size = np.zeros(len(PREFIXES) << BITS, np.int64), 0
     # At most len(PREFIXES) x 2^BITS sums and one come to the driver.
-    for row in docs.select("text").mapInArrow(tally, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(frugal(tally), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         if row["bin"] < 0:
             size = row["n"]
         else:
@@ -372,7 +372,6 @@ def _judge(length: int) -> Callable:
             flags[k, tree.order] = ((least != most) | (least == 0))[node]
         upto = np.append(0, np.cumsum(held))
         told = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
-        pa.default_memory_pool().release_unused()
         return pa.table([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), table.column("bits").combine_chunks(), pa.array(told, pa.binary())], ["chunk", "part", "bits", "flags"])
 
     return judge
@@ -440,13 +439,14 @@ def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
 def _verdicts(docs: DataFrame, length: int, part_rows: int, finish: Callable, schema: str | T.StructType, fingerprint: int = FINGERPRINT) -> DataFrame:
     arrow_rows(docs.sparkSession)
     p = replace(plan(docs, length, part_rows), fingerprint=fingerprint)
+    settled(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(p)  # bounded: len(PREFIXES) tables of 2^BITS entries
     chunked = _dealt(docs, p.chunks)
-    asked = chunked.groupBy(CHUNK).applyInArrow(lambda t: _ask(held.value)(t), "chunk int, part int, low binary, step binary")
-    shared = asked.groupBy("part").applyInArrow(_tell, "chunk int, part int, bits binary")
-    sent = chunked.groupBy(CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(lambda a, b: _send(held.value)(a, b), SUFFIXES)
-    told = sent.groupBy("part").applyInArrow(_judge(length), "chunk int, part int, bits binary, flags binary")
-    return chunked.groupBy(CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, _Verdict(a, b, held.value)), schema)
+    asked = chunked.groupBy(CHUNK).applyInArrow(frugal(lambda t: _ask(held.value)(t)), "chunk int, part int, low binary, step binary")
+    shared = asked.groupBy("part").applyInArrow(frugal(_tell), "chunk int, part int, bits binary")
+    sent = chunked.groupBy(CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(frugal(lambda a, b: _send(held.value)(a, b)), SUFFIXES)
+    told = sent.groupBy("part").applyInArrow(frugal(_judge(length)), "chunk int, part int, bits binary, flags binary")
+    return chunked.groupBy(CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(frugal(lambda a, b: finish(a, _Verdict(a, b, held.value))), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS, fingerprint: int = FINGERPRINT) -> DataFrame:
