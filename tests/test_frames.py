@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from redactory.functions.detectors import DETECTORS
 from redactory.functions.scan import scanner
 from redactory.operators import evaluate, native, semantic, session, structured, vault
 from redactory.operators.redact import Redactor, redact_text, restored
-from redactory.plans.errors import VaultError
+from redactory.plans import catalogue
+from redactory.plans.errors import RedactionError, VaultError
 from redactory.plans.policy import Policy, Semantic
 from redactory.sources import cli, files
 from redactory.streaming import redact as streams
@@ -45,6 +47,26 @@ def test_redactions_agree(docs):
     assert a[0] == "SSN: [REDACTED] and [IPV4], card [REDACTED]; zip [POSTAL_CODE]" and a[7] is None
 
 
+def test_redaction_again_adds_nothing(spark, tmp_path):
+    texts = ["+1 (269) 555-3296 4524132264652876 and", "at 99.114.106.61 4080166431094600\n", "4451718024887799 27.65.93.188", "12345-490154203237518", "5550123 SSN: 123-45-6789 4111111111111111", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = dict(tuple(x) for x in catalogue.redact_twice(spark, str(tmp_path)).select("doc_id", "redacted").collect())
+    assert got == dict(c.execute(f"SELECT doc_id, redacted FROM ({catalogue.ORACLES['redact_twice']})").fetchall())
+    assert got[0].endswith("+1 (269) 555-[POSTAL_CODE] 4524132264652876 and")
+
+
+def test_text_behind_what_was_redacted_is_redacted(spark):
+    r = Redactor({"rules": dict.fromkeys(("payment_card", "postal_code"), "redact")})
+    once = "555-[POSTAL_CODE] 4524132264652876"
+    rows = [(once, None), (once, len(once)), (once + "; 4111111111111111", len(once)), (once + ", 9021", len(once) + 4), (None, 3)]
+    got = [x[0] for x in spark.createDataFrame(rows, "t string, n int").coalesce(1).select(r.redact(F.col("t"), F.col("n"))).collect()]
+    assert got == ["555-[POSTAL_CODE] [PAYMENT_CARD]", once, once + "; [PAYMENT_CARD]", once + ", [POSTAL_CODE]", None]
+    with pytest.raises(RedactionError):
+        Redactor({"rules": {"email": "redact"}, "restore": True}).redact(F.col("t"), F.col("n"))
+
+
 def test_plans_have_no_shuffle_for_row_local_work(docs):
     r = Redactor({"presets": ("pii",)})
     plan = docs.select(r.redact(F.col("text")))._jdf.queryExecution().toString()
